@@ -45,3 +45,473 @@ def q_rename_verdicts(spark, sf):
 @query("verdict_counts")
 def q_verdict_counts(spark, sf):
     return R.verdict_counts(R.rename_verdicts(adapter_patches(spark, sf)))
+
+
+# ------------------------------------------------------------------ shared inputs
+from ..functions import text as T  # noqa: E402
+from ..operators import clean as C  # noqa: E402
+from ..operators import collect as CO  # noqa: E402
+from ..operators import dataset as D  # noqa: E402
+from ..operators import diff as DF  # noqa: E402
+from ..operators import model as M  # noqa: E402
+from ..operators import select as S  # noqa: E402
+from ..operators import tokens as TK  # noqa: E402
+from ..operators import vocab as V  # noqa: E402
+from ..sources.files import label_from_path  # noqa: E402
+
+TRUNCATE_AT = 80
+SPAWN_COPIES = 10
+
+
+def adapter_examples(spark, sf):
+    """Labelled patches: adapter patch text of every labelled document."""
+    p = adapter_patches(spark, sf)
+    labels = TB.read_table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("patch_id"), F.col("quality").cast("int").alias("label")
+    )
+    return p.join(labels, "patch_id").select(
+        F.concat_ws("/", "repo", F.when(F.col("label") == 1, "yes").otherwise("no"),
+                    F.concat(F.col("patch_id"), F.lit(".diff"))).alias("path"),
+        "label", "text", "n_bytes",
+    )
+
+
+def loaded(spark, sf):
+    return D.load_examples(adapter_examples(spark, sf))
+
+
+def adapter_combined(spark, sf):
+    return TB.combined_from_documents(_docs(spark, sf))
+
+
+def adapter_commits(spark, sf):
+    return TB.commits_from_orders(TB.read_table(spark, sf, "orders"))
+
+
+def adapter_changes(spark, sf):
+    return TB.changes_from_lineitem(TB.read_table(spark, sf, "lineitem"))
+
+
+def verdicts(spark, sf):
+    return R.rename_verdicts(adapter_patches(spark, sf))
+
+
+# ------------------------------------------------------------------ rename building blocks
+@query("rename_map")
+def q_rename_map(spark, sf):
+    m = R.rename_map(adapter_patches(spark, sf))
+    return m.select("repo", "patch_id", F.size("renames").cast("long").alias("n_renames"),
+                    F.when(F.size("renames") > 0, T.rename_message("renames")).alias("message"))
+
+
+def _all_changed(spark, sf):
+    p = adapter_patches(spark, sf).withColumn("text", T.normalise_newlines("text"))
+    return R.changed_lines_of(p)
+
+
+@query("change_runs")
+def q_change_runs(spark, sf):
+    r = R.change_runs(_all_changed(spark, sf))
+    return r.select("repo", "patch_id", F.col("run_start").cast("long").alias("run_start"),
+                    F.col("run_removed").cast("long").alias("run_removed"),
+                    F.col("run_added").cast("long").alias("run_added")).distinct()
+
+
+@query("align_runs")
+def q_align_runs(spark, sf):
+    a = R.align_runs(R.change_runs(_all_changed(spark, sf)))
+    return a.select("repo", "patch_id", F.col("pos").cast("long").alias("pos"), F.col("akey").cast("long").alias("akey"))
+
+
+@query("pair_lines")
+def q_pair_lines(spark, sf):
+    p = R.pair_lines(R.align_runs(R.change_runs(_all_changed(spark, sf)))).where("is_pair")
+    return p.select("repo", "patch_id", F.col("akey").cast("long").alias("ord"), "old_line", "new_line")
+
+
+@query("balanced_filter")
+def q_balanced(spark, sf):
+    c = R.with_cheap_checks(adapter_patches(spark, sf))
+    return c.select("repo", "patch_id", F.col("n_removed").cast("long").alias("n_removed"),
+                    F.col("n_added").cast("long").alias("n_added"),
+                    (F.col("n_removed") == F.col("n_added")).alias("balanced"))
+
+
+@query("package_filter")
+def q_package(spark, sf):
+    c = R.with_cheap_checks(adapter_patches(spark, sf))
+    return c.select("repo", "patch_id", "has_package")
+
+
+# ------------------------------------------------------------------ collect
+@query("commit_filter")
+def q_commit_filter(spark, sf):
+    return CO.commit_filter(adapter_commits(spark, sf)).select("repo", "commit_id")
+
+
+@query("java_change_filter")
+def q_java_change_filter(spark, sf):
+    return CO.java_change_filter(adapter_changes(spark, sf)).select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path")
+
+
+@query("decode_lenient")
+def q_decode(spark, sf):
+    ch = adapter_changes(spark, sf)
+    return ch.select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path", T.decode_lenient("patch").alias("text"))
+
+
+@query("normalise_newlines")
+def q_newlines(spark, sf):
+    ch = adapter_changes(spark, sf)
+    return ch.select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path",
+                     T.normalise_newlines(T.decode_lenient("patch")).alias("text"))
+
+
+@query("normalise_eof_newline")
+def q_eof(spark, sf):
+    ch = adapter_changes(spark, sf)
+    t = CO.normalise_eof_newline(T.normalise_newlines(T.decode_lenient("patch")))
+    return ch.select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path", t.alias("text"))
+
+
+@query("assemble_commit_patch")
+def q_assemble(spark, sf):
+    return CO.assemble_commit_patch(adapter_changes(spark, sf))
+
+
+@query("collect_patches")
+def q_collect(spark, sf):
+    return CO.collect_patches(adapter_commits(spark, sf), adapter_changes(spark, sf))
+
+
+# ------------------------------------------------------------------ clean
+@query("java_sections")
+def q_java_sections(spark, sf):
+    c = adapter_combined(spark, sf)
+    return c.select("patch_id", C.java_sections("text").alias("text"))
+
+
+@query("clean_patches")
+def q_clean(spark, sf):
+    c = C.clean_patches(adapter_combined(spark, sf))
+    return c.select("patch_id", "cleaned", "lines_removed", "status")
+
+
+@query("drop_empty_patches")
+def q_drop_empty(spark, sf):
+    c = C.clean_patches(adapter_combined(spark, sf))
+    return C.drop_empty_patches(c, "cleaned").select("patch_id")
+
+
+@query("strip_headers")
+def q_strip(spark, sf):
+    return C.strip_headers(adapter_combined(spark, sf)).select("patch_id", "text")
+
+
+@query("require_hunk_start")
+def q_hunk_start(spark, sf):
+    c = C.clean_patches(adapter_combined(spark, sf)).select("patch_id", F.col("cleaned").alias("text"))
+    return C.require_hunk_start(C.drop_empty_patches(c)).select("patch_id", "starts_with_hunk")
+
+
+@query("convert_encoding")
+def q_convert(spark, sf):
+    e = C.convert_encoding(TB.encoded_documents(_docs(spark, sf)))
+    return e.select("doc_id", "charset", "charset_used", "converted", (F.col("text_decoded") == F.col("text")).alias("restored"))
+
+
+# ------------------------------------------------------------------ examples and tokens
+@query("load_examples")
+def q_load(spark, sf):
+    l = loaded(spark, sf)
+    return l.select("path", "label", "n_tokens", D.join_tokens("tokens").alias("tokens"))
+
+
+@query("label_from_path")
+def q_label_from_path(spark, sf):
+    e = adapter_examples(spark, sf).withColumn("label_dir", F.element_at(F.split("path", "/"), -2))
+    return label_from_path(e).select("path", F.col("label").cast("int").alias("label"))
+
+
+@query("standardise_numbers")
+def q_standardise(spark, sf):
+    e = adapter_examples(spark, sf)
+    return e.select("path", T.standardise_numbers("text").alias("text"))
+
+
+@query("tokenise")
+def q_tokenise(spark, sf):
+    e = adapter_examples(spark, sf)
+    t = T.tokenise(T.standardise_numbers("text"))
+    return e.select("path", F.size(t).cast("long").alias("n_tokens"), D.join_tokens(t).alias("tokens"))
+
+
+@query("split_tokens")
+def q_split_tokens(spark, sf):
+    l = loaded(spark, sf)
+    back = D.split_tokens(D.join_tokens("tokens"))
+    return l.select("path", F.size(back).cast("long").alias("n_pieces"))
+
+
+@query("class_counts")
+def q_class_counts(spark, sf):
+    return D.class_counts(loaded(spark, sf))
+
+
+@query("row_count")
+def q_row_count(spark, sf):
+    return loaded(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("max_sequence_length")
+def q_max_seq(spark, sf):
+    return D.max_sequence_length(loaded(spark, sf))
+
+
+@query("class_filter")
+def q_class_filter(spark, sf):
+    return loaded(spark, sf).where(F.col("label") == 1).select("path")
+
+
+@query("select_column")
+def q_select_column(spark, sf):
+    return loaded(spark, sf).select(D.join_tokens("tokens").alias("tokens"), "label")
+
+
+@query("union_examples")
+def q_union(spark, sf):
+    l = loaded(spark, sf)
+    return l.where("label = 1").unionByName(l.where("label = 0")).select("path", "label")
+
+
+@query("sort_paths")
+def q_sort_paths(spark, sf):
+    return loaded(spark, sf).select("path").orderBy("path")
+
+
+@query("ngrams")
+def q_ngrams(spark, sf):
+    g = TK.ngrams("tokens", 2)
+    return loaded(spark, sf).select("path", F.size(g).cast("long").alias("n_ngrams"),
+                                    F.md5(F.array_join(g, "\u0001")).alias("ngrams_md5"))
+
+
+@query("token_frequency")
+def q_token_frequency(spark, sf):
+    return TK.token_frequency(loaded(spark, sf))
+
+
+@query("top_k_tokens")
+def q_top_k(spark, sf):
+    l = loaded(spark, sf).select(TK.ngrams("tokens", 2).alias("tokens"))
+    return TK.top_k_tokens(TK.token_frequency(l))
+
+
+@query("token_ids")
+def q_token_ids(spark, sf):
+    l = loaded(spark, sf)
+    length = D.max_sequence_length(l).first()[0]
+    g = l.select("path", TK.ngrams("tokens", 2).alias("tokens"))
+    vocab = TK.top_k_tokens(TK.token_frequency(g))
+    ids = TK.token_ids(g, vocab, length)
+    return ids.select("path", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"),
+                      F.size("ids").cast("long").alias("n_ids"), "n_unknown")
+
+
+@query("vocabulary_report")
+def q_vocab_report(spark, sf):
+    return TK.vocabulary_report(loaded(spark, sf))
+
+
+@query("truncate_line")
+def q_truncate(spark, sf):
+    return TK.truncation_counts(adapter_examples(spark, sf), "text", TRUNCATE_AT)
+
+
+# ------------------------------------------------------------------ ranks and splits
+@query("seeded_rank")
+def q_seeded_rank(spark, sf):
+    return D.seeded_rank(loaded(spark, sf), "path").select("path", "rank")
+
+
+@query("holdout_take_skip")
+def q_holdout(spark, sf):
+    l = loaded(spark, sf)
+    n = l.count()
+    v, rest = D.holdout_take_skip(D.seeded_rank(l, "path"), n)
+    return v.select("path", F.lit("validation").alias("split")).unionByName(rest.select("path", F.lit("rest").alias("split")))
+
+
+@query("balance_classes")
+def q_balance(spark, sf):
+    l = loaded(spark, sf)
+    n = l.count()
+    _, rest = D.holdout_take_skip(D.seeded_rank(l, "path"), n)
+    return D.balance_classes(rest.drop("rank")).select("path", "label")
+
+
+@query("split_dataset")
+def q_split(spark, sf):
+    return D.split_dataset(loaded(spark, sf)).select("path", "label", "split")
+
+
+@query("train_test_split")
+def q_train_test(spark, sf):
+    return D.split_dataset(loaded(spark, sf)).where("split <> 'validation'").select("path", "split")
+
+
+@query("stability_check")
+def q_stability(spark, sf):
+    return D.stability_check(lambda: D.split_dataset(loaded(spark, sf)))
+
+
+@query("cache_dataset")
+def q_cache(spark, sf):
+    return D.class_counts(D.cache_dataset(loaded(spark, sf)))
+
+
+# ------------------------------------------------------------------ vocabulary
+@query("extract_identifiers")
+def q_identifiers(spark, sf):
+    p = adapter_patches(spark, sf)
+    return p.select("repo", "patch_id", F.explode(V.extract_identifiers("text")).alias("word"))
+
+
+@query("extract_short_identifiers")
+def q_short_identifiers(spark, sf):
+    p = adapter_patches(spark, sf)
+    return p.select("repo", "patch_id", F.explode(V.extract_short_identifiers("text")).alias("word"))
+
+
+@query("keyword_minus")
+def q_keyword_minus(spark, sf):
+    p = adapter_patches(spark, sf)
+    words = F.array_distinct(F.filter(T.words_only("text"), lambda w: w.rlike(r"^[A-Za-z_]")))
+    return p.select("repo", "patch_id", F.size(words).cast("long").alias("n_words"),
+                    F.size(V.keyword_minus(words)).cast("long").alias("n_identifiers"))
+
+
+@query("distinct_words")
+def q_distinct_words(spark, sf):
+    return V.distinct_words(adapter_patches(spark, sf))
+
+
+@query("build_vocabulary")
+def q_build_vocab(spark, sf):
+    return V.build_vocabulary(adapter_patches(spark, sf))
+
+
+@query("seed_letters_union")
+def q_seed_letters(spark, sf):
+    v = V.build_vocabulary(adapter_patches(spark, sf))
+    return v.where(F.length("word") == 1)
+
+
+@query("sort_vocabulary")
+def q_sort_vocab(spark, sf):
+    return V.sort_vocabulary(V.build_vocabulary(adapter_patches(spark, sf)))
+
+
+def _templates(spark, sf):
+    return V.spawn_templates(adapter_patches(spark, sf))
+
+
+@query("vocabulary_minus")
+def q_vocab_minus(spark, sf):
+    vocab = V.build_vocabulary(adapter_patches(spark, sf))
+    tw = _templates(spark, sf).select(F.explode("words").alias("word"))
+    return V.vocabulary_minus(vocab, tw)
+
+
+@query("exact_dedup")
+def q_dedup(spark, sf):
+    return V.exact_dedup(_docs(spark, sf), "text", "doc_id")
+
+
+@query("sample_pairs")
+def q_sample_pairs(spark, sf):
+    vocab = V.build_vocabulary(adapter_patches(spark, sf))
+    return V.sample_pairs(vocab, _templates(spark, sf), SPAWN_COPIES)
+
+
+@query("spawn_patches")
+def q_spawn(spark, sf):
+    patches = adapter_patches(spark, sf)
+    t = V.spawn_templates(patches)
+    pairs = V.sample_pairs(V.build_vocabulary(patches), t, SPAWN_COPIES)
+    sp = V.spawn_patches(t, pairs)
+    relabel = R.rename_map(sp.select("repo", "patch_id", "text"), keep_rejected=True)
+    return sp.join(relabel, ["repo", "patch_id"]).select(
+        "repo", "patch_id", "template_id", "pair_old", "pair_new",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        (F.col("renames") == F.array(F.struct(F.col("pair_old").alias("old"), F.col("pair_new").alias("new")))).alias("relabel_ok"),
+    )
+
+
+# ------------------------------------------------------------------ diffs
+@query("changed_lines")
+def q_changed_lines(spark, sf):
+    return DF.changed_lines(TB.versions_from_documents(_docs(spark, sf)))
+
+
+@query("synthetic_edits")
+def q_synthetic(spark, sf):
+    e = DF.synthetic_edits(_docs(spark, sf), "doc_id", "text", variants=20)
+    e = e.withColumn("pair_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("variant").cast("string"), "choice"))
+    return DF.changed_lines(e)
+
+
+# ------------------------------------------------------------------ selection
+@query("select_by_verdict")
+def q_select_by_verdict(spark, sf):
+    return S.select_by_verdict(adapter_patches(spark, sf), verdicts(spark, sf)).select("repo", "patch_id", "label")
+
+
+@query("presumed_negatives")
+def q_presumed(spark, sf):
+    return S.presumed_negatives(adapter_patches(spark, sf), verdicts(spark, sf)).select("repo", "patch_id")
+
+
+@query("size_filter")
+def q_size_filter(spark, sf):
+    p = adapter_patches(spark, sf)
+    return p.where(F.col("n_bytes") <= 5 * 1024).select("repo", "patch_id", "n_bytes")
+
+
+@query("select_examples")
+def q_select_examples(spark, sf):
+    return S.select_examples(adapter_patches(spark, sf), verdicts(spark, sf)).select("repo", "patch_id", "label", "origin")
+
+
+@query("verdict_lines")
+def q_verdict_lines(spark, sf):
+    return S.verdict_lines(verdicts(spark, sf)).select("repo", "line")
+
+
+# ------------------------------------------------------------------ evaluation (rule-based predictions for the oracle)
+def rule_predictions(spark, sf):
+    """Validation rows with a fixed rule as prediction (long patches -> 1)."""
+    s = D.split_dataset(loaded(spark, sf)).where("split = 'validation'")
+    return s.select("path", "label", (F.col("n_tokens") > 500).cast("int").alias("prediction"))
+
+
+@query("confusion_matrix")
+def q_confusion(spark, sf):
+    return M.confusion_matrix(rule_predictions(spark, sf))
+
+
+@query("error_rates")
+def q_error_rates(spark, sf):
+    return M.error_rates(rule_predictions(spark, sf))
+
+
+@query("sort_errors")
+def q_sort_errors(spark, sf):
+    return M.sort_errors(rule_predictions(spark, sf)).select("path", "label", "prediction")
+
+
+@query("evaluate")
+def q_evaluate(spark, sf):
+    s = D.split_dataset(loaded(spark, sf))
+    model, _ = M.train_classifier(s.where("split = 'train'"), s.where("split = 'test'"), iterations=(10,))
+    return M.predict(model, s.where("split = 'validation'"))

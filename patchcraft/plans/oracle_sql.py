@@ -63,9 +63,9 @@ patches AS (
 # addition by a join; every other addition pairs with the changed line before
 # it in file order when that is a removal.  Words of a pair are compared by a
 # full join on the word index.
-RENAME_LINES = f"""
+_RENAME_LINES = f"""
 plines AS (
-  SELECT p.repo, p.patch_id, t.pos, t.line, substr(t.line, 1, 1) AS sign
+  SELECT p.repo, p.patch_id, t.pos - 1 AS pos, t.line, substr(t.line, 1, 1) AS sign
   FROM patches p, unnest(string_split(p.text, chr(10))) WITH ORDINALITY AS t(line, pos)
 ),
 pstats AS (
@@ -76,7 +76,7 @@ pstats AS (
   FROM plines GROUP BY repo, patch_id
 ),
 kept AS (
-  SELECT repo, patch_id FROM pstats WHERE n_minus = n_plus AND NOT has_pkg
+  SELECT repo, patch_id FROM pstats WHERE {{KEPT}}
 ),
 chg AS (
   SELECT l.repo, l.patch_id, l.pos, l.line, l.sign,
@@ -100,7 +100,7 @@ chg2 AS (
   FROM chg c JOIN islands i USING (repo, patch_id, island)
 ),
 pairs AS (
-  SELECT a.repo, a.patch_id, a.i_start + 2 * a.j - 1 AS ord, substr(m.line, 2) AS old_line, substr(a.line, 2) AS new_line
+  SELECT a.repo, a.patch_id, a.i_start + 2 * (a.j - 1) + 1 AS ord, substr(m.line, 2) AS old_line, substr(a.line, 2) AS new_line
   FROM chg2 a JOIN chg2 m
     ON a.repo = m.repo AND a.patch_id = m.patch_id AND a.island = m.island AND a.j = m.j
   WHERE a.in_block AND a.sign = '+' AND m.sign = '-'
@@ -151,6 +151,10 @@ verdicts AS (
 )"""
 
 
+RENAME_LINES = _RENAME_LINES.replace("{KEPT}", "n_minus = n_plus AND NOT has_pkg")
+ALL_LINES = _RENAME_LINES.replace("{KEPT}", "true")
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + select
 
@@ -170,7 +174,350 @@ SELECT repo, CASE WHEN n_renames = 0 THEN 'n' WHEN n_renames <= 2 THEN 'y' ELSE
 FROM verdicts GROUP BY ALL""")
 
 
+
+
+def _q(select: str, *ctes: str) -> str:
+    return with_ctes(*ctes, select=select)
+
+
+NUM = fixed.NUMBER_RE
+IDENT = fixed.IDENT_WORD_RE
+
+EXAMPLES = """
+examples AS (
+  SELECT p.repo || '/' || CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END || '/' || p.patch_id || '.diff' AS path,
+         CAST(l.quality AS INTEGER) AS label, p.text, CAST(strlen(p.text) AS BIGINT) AS n_bytes
+  FROM patches p JOIN labels l ON p.patch_id = CAST(l.doc_id AS VARCHAR)
+)"""
+
+LOADED = f"""
+loaded AS (
+  SELECT path, label, n_bytes,
+         regexp_extract_all(regexp_replace(text, '{NUM}', '1', 'g'), '{TOKEN}', 1) AS tokens
+  FROM examples WHERE n_bytes <= 10240 AND starts_with(text, '@@')
+)"""
+
+NGRAMS_EXPR = "list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))"
+
+# ---- splits: validation = first n//10 by md5('977:'||path); rest balanced by
+# per-label rank on md5('977:balance:'||path); then 80/20 on md5('977:order:'||path).
+SPLITS = """
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY md5('977:' || path), path) AS rk, count(*) OVER () AS n_all FROM loaded
+),
+rest AS (SELECT * FROM ranked WHERE rk > n_all // 10),
+cls AS (
+  SELECT count(*) FILTER (WHERE label = 1) AS ny, count(*) FILTER (WHERE label = 0) AS nn FROM rest
+),
+rest_ranked AS (
+  SELECT r.*, row_number() OVER (PARTITION BY label ORDER BY md5('977:balance:' || path), path) AS lr FROM rest r
+),
+balanced AS (
+  SELECT r.* FROM rest_ranked r, cls
+  WHERE NOT (cls.ny > cls.nn * 1.1 OR cls.nn > cls.ny * 1.1) OR r.lr <= least(cls.ny, cls.nn)
+),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY md5('977:order:' || path), path) AS rk2, count(*) OVER () AS m FROM balanced
+),
+splits AS (
+  SELECT path, label, n_tokens, 'validation' AS split
+  FROM (SELECT path, label, len(tokens) AS n_tokens FROM ranked WHERE rk <= n_all // 10)
+  UNION ALL
+  SELECT path, label, len(tokens), CASE WHEN rk2 <= (4 * m) // 5 THEN 'train' ELSE 'test' END FROM ordered
+),
+rule_pred AS (
+  SELECT path, label, CAST(n_tokens > 500 AS INTEGER) AS prediction FROM splits WHERE split = 'validation'
+)"""
+
+VOCAB = f"""
+idents AS (
+  SELECT DISTINCT p.repo, p.patch_id, w AS word
+  FROM patches p, unnest(regexp_extract_all(p.text, '{IDENT}', 1)) AS u(w)
+  WHERE regexp_matches(w, '^[A-Za-z_]') AND w NOT IN ({KW})
+),
+vocab AS (
+  SELECT DISTINCT word FROM idents
+  UNION
+  SELECT chr(c) FROM range(97, 123) AS r(c)
+)"""
+
+TEMPLATES = f"""
+one_rename AS (
+  SELECT r.repo, r.patch_id, r.old, r.new FROM renames r
+  JOIN verdicts v ON r.repo = v.repo AND r.patch_id = v.patch_id WHERE v.n_renames = 1
+),
+templates AS (
+  SELECT o.* FROM one_rename o
+  WHERE NOT EXISTS (SELECT 1 FROM plines l WHERE l.repo = o.repo AND l.patch_id = o.patch_id AND l.sign = '-'
+                      AND list_contains(regexp_extract_all(substr(l.line, 2), '{WORD}', 1), o.new))
+    AND NOT EXISTS (SELECT 1 FROM plines l WHERE l.repo = o.repo AND l.patch_id = o.patch_id AND l.sign = '+'
+                      AND list_contains(regexp_extract_all(substr(l.line, 2), '{WORD}', 1), o.old))
+)"""
+
+# ---- commits and changes straight from orders / lineitem
+COMMITS = """
+commits AS (
+  SELECT 'repo-' || substr(o_orderpriority, 1, 1) AS repo, md5(CAST(o_orderkey AS VARCHAR)) AS commit_id,
+         CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 0
+              WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 2
+              WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END AS n_parents
+  FROM orders
+)"""
+
+CHANGES = """
+changes AS (
+  SELECT md5(CAST(l_orderkey AS VARCHAR)) AS commit_id, CAST(l_linenumber AS BIGINT) AS ord,
+         CAST(l_quantity AS INTEGER) AS q, l_linestatus,
+         CASE WHEN l_discount <> 0 THEN 'src/P' || l_partkey || CASE l_returnflag WHEN 'N' THEN '.java' WHEN 'A' THEN '.JAVA' ELSE '.md' END END AS a_path,
+         l_discount <> 0 AND l_tax <> 0 AND l_returnflag IN ('N', 'A') AS is_java,
+         CAST(l_quantity AS INTEGER) < 4 AS is_empty,
+         '-int v' || l_partkey || ' = ' || l_suppkey || ';' AS minus_line,
+         '+int v' || l_partkey || ' = ' || CASE WHEN CAST(l_quantity AS INTEGER) % 5 = 0 THEN l_suppkey ELSE l_linenumber END || ';' AS plus_line
+  FROM lineitem
+),
+change_text AS (
+  SELECT *,
+    CASE WHEN is_empty THEN '' ELSE
+      '@@ -1 +1 @@' || eol || minus_line || eol ||
+      CASE WHEN q % 5 = 0 THEN '\\ No newline at end of file' || eol ELSE '' END || plus_line || eol END AS raw_text,
+    CASE WHEN is_empty THEN '' ELSE
+      '@@ -1 +1 @@' || chr(10) || minus_line || chr(10) ||
+      CASE WHEN q % 5 = 0 THEN '\\ No newline at end of file' || chr(10) ELSE '' END || plus_line || chr(10) END AS lf_text,
+    CASE WHEN is_empty OR q % 5 = 0 THEN '' ELSE
+      '@@ -1 +1 @@' || chr(10) || minus_line || chr(10) || plus_line || chr(10) END AS fixed_text
+  FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN chr(13) || chr(10) ELSE chr(10) END AS eol FROM changes)
+),
+assembled AS (
+  SELECT commit_id,
+         coalesce(string_agg(fixed_text, '' ORDER BY ord, a_path, fixed_text) FILTER (WHERE is_java AND NOT is_empty), '') AS text,
+         count(*) FILTER (WHERE is_java AND NOT is_empty) AS n_java
+  FROM change_text GROUP BY commit_id
+  HAVING bool_or(NOT (is_java AND is_empty))
+)"""
+
+# ---- combined git patches and their Java sections, by line unnest
+COMBINED = """
+comb_src AS (
+  SELECT doc_id, source,
+    '@@ -1 +1 @@' || chr(10) ||
+      array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: l <> ''), lambda l: '+' || l), chr(10)) ||
+      chr(10) AS hunk,
+    ['java', 'md', 'JAVA'][doc_id % 3 + 1] AS ext_a, ['java', 'md', 'JAVA'][(doc_id + 1) % 3 + 1] AS ext_b
+  FROM documents
+),
+comb_paths AS (
+  SELECT *, source || '/' || doc_id || '.' || ext_a AS pa, source || '/' || doc_id || '_b.' || ext_b AS pb FROM comb_src
+),
+combined AS (
+  SELECT CAST(doc_id AS VARCHAR) AS patch_id,
+    CASE WHEN doc_id % 7 = 0 THEN hunk ELSE
+      'diff --git a/' || pa || ' b/' || pa || chr(10) || 'index 0000000..1111111 100644' || chr(10) ||
+      '--- a/' || pa || chr(10) || '+++ b/' || pa || chr(10) || hunk ||
+      'diff --git a/' || pb || ' b/' || pb || chr(10) || 'index 0000000..1111111 100644' || chr(10) ||
+      CASE WHEN doc_id % 5 <> 0 THEN '--- a/' || pb || chr(10) || '+++ b/' || pb || chr(10) || hunk
+           ELSE 'new file mode 100644' || chr(10) END
+    END AS text
+  FROM comb_paths
+),
+clines AS (
+  SELECT c.patch_id, t.pos, t.line, len(string_split(c.text, chr(10))) AS n_pieces,
+         sum(CASE WHEN starts_with(t.line, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY c.patch_id ORDER BY t.pos) AS sec
+  FROM combined c, unnest(string_split(c.text, chr(10))) WITH ORDINALITY AS t(line, pos)
+),
+csec AS (
+  SELECT patch_id, sec,
+         max(CASE WHEN starts_with(line, 'diff --git ') THEN line END) AS header,
+         min(pos) FILTER (WHERE starts_with(line, '@@')) AS first_hunk
+  FROM clines GROUP BY patch_id, sec
+),
+cleaned AS (
+  SELECT c.patch_id, c.text,
+    CASE WHEN NOT starts_with(c.text, 'diff --git ') THEN c.text ELSE coalesce((
+      SELECT string_agg(CASE WHEN l.pos < l.n_pieces THEN l.line || chr(10) ELSE l.line END, '' ORDER BY l.pos)
+      FROM clines l JOIN csec s ON l.patch_id = s.patch_id AND l.sec = s.sec
+      WHERE l.patch_id = c.patch_id AND s.sec > 0 AND rtrim(s.header) LIKE '%.java'
+        AND s.first_hunk IS NOT NULL AND l.pos >= s.first_hunk), '') END AS cleaned
+  FROM combined c
+),
+audit AS (
+  SELECT patch_id, cleaned,
+    CAST((strlen(text) - strlen(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)
+       - (strlen(cleaned) - strlen(replace(cleaned, chr(10), '')) + CASE WHEN cleaned <> '' AND NOT ends_with(cleaned, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) AS lines_removed
+  FROM cleaned
+)"""
+
+VERSIONS = """
+versions AS (
+  SELECT CAST(doc_id AS VARCHAR) AS pair_id, text AS old,
+    array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+        lambda l, i: CASE WHEN (i - 1) % 7 = 3 THEN '# ' || l ELSE l END), lambda l, i: (i - 1) % 5 <> 2), chr(10))
+      || chr(10) || 'added line ' || doc_id AS new
+  FROM documents
+)"""
+
+SYNTH = """
+variants AS (
+  SELECT d.doc_id, v.variant, d.text, string_split(d.text, chr(10)) AS lines,
+    ['delete', 'add', 'both'][CAST(('0x' || substr(md5('977:' || d.doc_id || ':' || v.variant || ':choice'), 1, 12)) AS BIGINT) % 3 + 1] AS choice,
+    CAST(('0x' || substr(md5('977:' || d.doc_id || ':' || v.variant || ':line'), 1, 12)) AS BIGINT) AS hline,
+    substr(md5('977:' || d.doc_id || ':' || v.variant || ':text'), 1, 20) AS new_line
+  FROM documents d, range(1, 21) AS v(variant)
+),
+edits AS (
+  SELECT doc_id || ':' || variant || ':' || choice AS pair_id, text AS old,
+    array_to_string(CASE choice
+      WHEN 'delete' THEN list_concat(lines[1:p - 1], lines[p + 1:])
+      WHEN 'add' THEN list_concat(lines[1:p - 1], [new_line], lines[p:])
+      ELSE list_concat(lines[1:p - 1], [new_line], lines[p + 1:]) END, chr(10)) AS new
+  FROM (SELECT *, CAST(hline % len(lines) + 1 AS BIGINT) AS p FROM variants)
+)"""
+
+
+def _changed(src: str) -> str:
+    return f"""
+o_lines AS (SELECT pair_id, line FROM {src}, unnest(string_split(old, chr(10))) AS u(line)),
+n_lines AS (SELECT pair_id, line FROM {src}, unnest(string_split(new, chr(10))) AS u(line)),
+only_old AS (SELECT * FROM o_lines EXCEPT ALL SELECT * FROM n_lines),
+only_new AS (SELECT * FROM n_lines EXCEPT ALL SELECT * FROM o_lines)"""
+
+
+CHANGED_SELECT = """
+SELECT pair_id, '-' AS sign, line, count(*) AS n FROM only_old GROUP BY pair_id, line
+UNION ALL
+SELECT pair_id, '+' AS sign, line, count(*) AS n FROM only_new GROUP BY pair_id, line"""
+
+P = PATCHES
 ORACLES: dict[str, str] = {
     "rename_verdicts": rename_verdicts(),
     "verdict_counts": verdict_counts(),
+    "rename_map": _q("SELECT repo, patch_id, n_renames, message FROM verdicts", P, RENAME_LINES),
+    "change_runs": _q("SELECT DISTINCT repo, patch_id, CAST(i_start AS BIGINT) AS run_start, CAST(k_minus AS BIGINT) AS run_removed, CAST(k_plus AS BIGINT) AS run_added FROM islands", P, ALL_LINES),
+    "align_runs": _q("""
+SELECT repo, patch_id, CAST(pos AS BIGINT) AS pos,
+       CAST(CASE WHEN in_block THEN i_start + 2 * (j - 1) + CASE WHEN sign = '+' THEN 1 ELSE 0 END ELSE pos END AS BIGINT) AS akey
+FROM chg2""", P, ALL_LINES),
+    "pair_lines": _q("SELECT repo, patch_id, CAST(ord AS BIGINT) AS ord, old_line, new_line FROM pairs", P, ALL_LINES),
+    "balanced_filter": _q("SELECT repo, patch_id, n_minus AS n_removed, n_plus AS n_added, n_minus = n_plus AS balanced FROM pstats", P, ALL_LINES),
+    "package_filter": _q("SELECT repo, patch_id, has_pkg AS has_package FROM pstats", P, ALL_LINES),
+    "commit_filter": _q("SELECT repo, commit_id FROM commits WHERE n_parents = 1", COMMITS),
+    "java_change_filter": _q("SELECT commit_id, ord, a_path FROM changes WHERE is_java AND NOT is_empty", CHANGES),
+    "decode_lenient": _q("SELECT commit_id, ord, a_path, raw_text AS text FROM change_text", CHANGES),
+    "normalise_newlines": _q("SELECT commit_id, ord, a_path, lf_text AS text FROM change_text", CHANGES),
+    "normalise_eof_newline": _q("SELECT commit_id, ord, a_path, CASE WHEN q % 5 = 0 AND NOT is_empty THEN '' ELSE lf_text END AS text FROM change_text", CHANGES),
+    "assemble_commit_patch": _q("SELECT commit_id, text, n_java FROM assembled", CHANGES),
+    "collect_patches": _q("""
+SELECT c.repo, c.commit_id, a.text, a.n_java, a.text = '' AS is_empty
+FROM commits c JOIN assembled a ON c.commit_id = a.commit_id WHERE c.n_parents = 1""", COMMITS, CHANGES),
+    "java_sections": _q("SELECT patch_id, cleaned AS text FROM cleaned", COMBINED),
+    "clean_patches": _q("""
+SELECT patch_id, cleaned, lines_removed,
+       CASE WHEN cleaned = '' THEN 'deleted' WHEN lines_removed <> 0 THEN 'trimmed' ELSE 'unchanged' END AS status
+FROM audit""", COMBINED),
+    "drop_empty_patches": _q("SELECT patch_id FROM cleaned WHERE cleaned <> ''", COMBINED),
+    "strip_headers": _q("SELECT patch_id, regexp_extract(text, '(?s)(?:^|\\n)(@@.*)', 1) AS text FROM combined", COMBINED),
+    "require_hunk_start": _q("SELECT patch_id, starts_with(cleaned, '@@') AS starts_with_hunk FROM cleaned WHERE cleaned <> ''", COMBINED),
+    "load_examples": _q("SELECT path, label, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM loaded", P, EXAMPLES, LOADED),
+    "label_from_path": _q("SELECT path, CASE split_part(path, '/', 2) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS label FROM examples", P, EXAMPLES),
+    "standardise_numbers": _q(f"SELECT path, regexp_replace(text, '{NUM}', '1', 'g') AS text FROM examples", P, EXAMPLES),
+    "tokenise": _q(f"""
+SELECT path, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT path, regexp_extract_all(regexp_replace(text, '{NUM}', '1', 'g'), '{TOKEN}', 1) AS t FROM examples)""", P, EXAMPLES),
+    "split_tokens": _q("SELECT path, CAST(len(string_split(array_to_string(tokens, ' '), ' ')) AS BIGINT) AS n_pieces FROM loaded", P, EXAMPLES, LOADED),
+    "class_counts": _q("SELECT count(*) FILTER (WHERE label = 1) AS n_yes, count(*) FILTER (WHERE label = 0) AS n_no, count(*) AS n_total FROM loaded", P, EXAMPLES, LOADED),
+    "cache_dataset": _q("SELECT count(*) FILTER (WHERE label = 1) AS n_yes, count(*) FILTER (WHERE label = 0) AS n_no, count(*) AS n_total FROM loaded", P, EXAMPLES, LOADED),
+    "row_count": _q("SELECT count(*) AS n_rows FROM loaded", P, EXAMPLES, LOADED),
+    "max_sequence_length": _q("SELECT CAST(max(len(tokens)) AS BIGINT) AS max_sequence_length FROM loaded", P, EXAMPLES, LOADED),
+    "class_filter": _q("SELECT path FROM loaded WHERE label = 1", P, EXAMPLES, LOADED),
+    "select_column": _q("SELECT array_to_string(tokens, ' ') AS tokens, label FROM loaded", P, EXAMPLES, LOADED),
+    "union_examples": _q("SELECT path, label FROM loaded", P, EXAMPLES, LOADED),
+    "sort_paths": _q("SELECT path FROM loaded ORDER BY path", P, EXAMPLES, LOADED),
+    "ngrams": _q(f"SELECT path, CAST(len(g) AS BIGINT) AS n_ngrams, md5(array_to_string(g, chr(1))) AS ngrams_md5 FROM (SELECT path, {NGRAMS_EXPR} AS g FROM loaded)", P, EXAMPLES, LOADED),
+    "token_frequency": _q("SELECT t AS token, count(*) AS n FROM loaded, unnest(tokens) AS u(t) GROUP BY t", P, EXAMPLES, LOADED),
+    "top_k_tokens": _q(f"""
+SELECT token, n, rank FROM (
+  SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rank
+  FROM (SELECT t AS token, count(*) AS n FROM (SELECT {NGRAMS_EXPR} AS g FROM loaded), unnest(g) AS u(t) GROUP BY t))
+WHERE rank <= 19998""", P, EXAMPLES, LOADED),
+    "token_ids": _q(f"""
+SELECT ng.path, md5(array_to_string(list_concat(coalesce(a.ids, []), list_transform(range(coalesce(len(a.ids), 0), mx.L), lambda x: 0)), ',')) AS ids_md5,
+       CAST(mx.L AS BIGINT) AS n_ids, coalesce(a.n_unknown, 0) AS n_unknown
+FROM ng CROSS JOIN mx LEFT JOIN (
+  SELECT p.path, list(coalesce(v.id, 1) ORDER BY p.k) AS ids, count(*) FILTER (WHERE v.id IS NULL) AS n_unknown
+  FROM (SELECT path, t, k FROM ng, unnest(g) WITH ORDINALITY AS u(t, k)) p
+  LEFT JOIN vocab_ids v ON p.t = v.token, mx
+  WHERE p.k <= mx.L GROUP BY p.path) a ON a.path = ng.path""", P, EXAMPLES, LOADED, f"""
+ng AS (SELECT path, {NGRAMS_EXPR} AS g FROM loaded),
+mx AS (SELECT max(len(tokens)) AS L FROM loaded),
+vocab_ids AS (
+  SELECT token, rank + 1 AS id FROM (
+    SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rank
+    FROM (SELECT t AS token, count(*) AS n FROM ng, unnest(g) AS u(t) GROUP BY t))
+  WHERE rank <= 19998
+)"""),
+    "vocabulary_report": _q(f"""
+SELECT (SELECT count(DISTINCT t) FROM loaded, unnest(tokens) AS u(t)) AS unigram_vocabulary,
+       (SELECT count(DISTINCT t) FROM (SELECT {NGRAMS_EXPR} AS g FROM loaded), unnest(g) AS u(t)) AS bigram_vocabulary,
+       (SELECT bool_or(t = chr(10)) FROM loaded, unnest(tokens) AS u(t)) AS has_newline_token,
+       (SELECT count(DISTINCT t) FROM loaded, unnest(tokens) AS u(t)
+         WHERE length(t) > 1 AND (starts_with(t, chr(10)) OR ends_with(t, chr(10)))) AS glued_newline_tokens""", P, EXAMPLES, LOADED),
+    "truncate_line": _q("""
+SELECT path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       CAST(len(list_filter(string_split(text, chr(10)), lambda l: length(l) >= 80)) AS BIGINT) AS n_cut
+FROM examples""", P, EXAMPLES),
+    "seeded_rank": _q("SELECT path, rk AS rank FROM ranked", P, EXAMPLES, LOADED, SPLITS),
+    "holdout_take_skip": _q("SELECT path, CASE WHEN rk <= n_all // 10 THEN 'validation' ELSE 'rest' END AS split FROM ranked", P, EXAMPLES, LOADED, SPLITS),
+    "balance_classes": _q("SELECT path, label FROM balanced", P, EXAMPLES, LOADED, SPLITS),
+    "split_dataset": _q("SELECT path, label, split FROM splits", P, EXAMPLES, LOADED, SPLITS),
+    "train_test_split": _q("SELECT path, split FROM splits WHERE split <> 'validation'", P, EXAMPLES, LOADED, SPLITS),
+    "confusion_matrix": _q("SELECT label, prediction, count(*) AS n FROM rule_pred GROUP BY ALL", P, EXAMPLES, LOADED, SPLITS),
+    "error_rates": _q("""
+SELECT count(*) AS n, count(*) FILTER (WHERE label <> prediction) AS n_wrong,
+       count(*) FILTER (WHERE label = 0 AND prediction = 1) AS false_positives,
+       count(*) FILTER (WHERE label = 1 AND prediction = 0) AS false_negatives,
+       1.0 - (count(*) FILTER (WHERE label <> prediction))::DOUBLE / nullif(count(*), 0) AS accuracy,
+       (count(*) FILTER (WHERE label = 0 AND prediction = 1))::DOUBLE / nullif(count(*), 0) AS false_positive_rate,
+       (count(*) FILTER (WHERE label = 1 AND prediction = 0))::DOUBLE / nullif(count(*), 0) AS false_negative_rate
+FROM rule_pred""", P, EXAMPLES, LOADED, SPLITS),
+    "sort_errors": _q("SELECT path, label, prediction FROM rule_pred WHERE label <> prediction ORDER BY path", P, EXAMPLES, LOADED, SPLITS),
+    "extract_identifiers": _q("SELECT repo, patch_id, word FROM idents", P, VOCAB),
+    "extract_short_identifiers": _q(f"""
+SELECT DISTINCT p.repo, p.patch_id, w AS word
+FROM patches p, unnest(regexp_extract_all(p.text, '{IDENT}', 1)) AS u(w)
+WHERE regexp_matches(w, '^[A-Za-z]') AND length(w) <= 10 AND w NOT IN ({KW})""", P),
+    "keyword_minus": _q(f"""
+SELECT repo, patch_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_filter(ws, lambda w: w NOT IN ({KW}))) AS BIGINT) AS n_identifiers
+FROM (SELECT repo, patch_id, list_distinct(list_filter(regexp_extract_all(text, '{IDENT}', 1), lambda w: regexp_matches(w, '^[A-Za-z_]'))) AS ws FROM patches)""", P),
+    "distinct_words": _q("SELECT DISTINCT word FROM idents", P, VOCAB),
+    "build_vocabulary": _q("SELECT word FROM vocab", P, VOCAB),
+    "seed_letters_union": _q("SELECT word FROM vocab WHERE length(word) = 1", P, VOCAB),
+    "sort_vocabulary": _q("SELECT word FROM vocab ORDER BY word", P, VOCAB),
+    "vocabulary_minus": _q("""
+SELECT word FROM vocab
+WHERE word NOT IN (SELECT i.word FROM idents i JOIN templates t ON i.repo = t.repo AND i.patch_id = t.patch_id)""",
+        P, RENAME_LINES, VOCAB, TEMPLATES),
+    "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
+    "changed_lines": _q(CHANGED_SELECT, VERSIONS, _changed("versions")),
+    "synthetic_edits": _q(CHANGED_SELECT, SYNTH, _changed("edits")),
+    "select_by_verdict": _q("""
+SELECT repo, patch_id, CASE WHEN n_renames = 0 THEN 0 ELSE 1 END AS label FROM verdicts WHERE n_renames <= 2""", P, RENAME_LINES),
+    "presumed_negatives": _q("""
+SELECT repo, patch_id FROM (
+  SELECT p.repo, p.patch_id, row_number() OVER (PARTITION BY p.repo ORDER BY p.patch_id) AS r
+  FROM patches p
+  WHERE strlen(p.text) <= 5120
+    AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2))
+WHERE r <= 1000""", P, RENAME_LINES),
+    "size_filter": _q("SELECT repo, patch_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM patches WHERE strlen(text) <= 5120", P),
+    "select_examples": _q("""
+SELECT repo, patch_id, CASE WHEN n_renames = 0 THEN 0 ELSE 1 END AS label, 'verdict' AS origin FROM verdicts WHERE n_renames <= 2
+UNION ALL
+SELECT repo, patch_id, 0, 'presumed' FROM (
+  SELECT p.repo, p.patch_id, row_number() OVER (PARTITION BY p.repo ORDER BY p.patch_id) AS r
+  FROM patches p
+  WHERE strlen(p.text) <= 5120
+    AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2))
+WHERE r <= 1000""", P, RENAME_LINES),
+    "verdict_lines": _q("""
+SELECT repo, patch_id || '||' || CASE WHEN n_renames = 0 THEN 'n' WHEN n_renames <= 2 THEN 'y' ELSE 'skip' END
+       || coalesce('|' || message, '') AS line FROM verdicts""", P, RENAME_LINES),
 }
