@@ -160,8 +160,9 @@ def spawn_templates(patches: DataFrame) -> DataFrame:
 
     Output: ``repo, patch_id, template_id, text, old, new, words``.
     """
+    first = F.try_element_at("renames", F.lit(1))
     m = rename_map(patches).where(F.size("renames") == 1).select(
-        "repo", "patch_id", F.col("renames")[0]["old"].alias("old"), F.col("renames")[0]["new"].alias("new")
+        "repo", "patch_id", first["old"].alias("old"), first["new"].alias("new")
     )
     t = patches.select("repo", "patch_id", T.normalise_newlines("text").alias("text")).join(m, ["repo", "patch_id"])
     lines = F.split("text", "\n", -1)

@@ -238,7 +238,7 @@ idents AS (
 vocab AS (
   SELECT DISTINCT word FROM idents
   UNION
-  SELECT chr(c) FROM range(97, 123) AS r(c)
+  SELECT chr(CAST(c AS INTEGER)) FROM range(97, 123) AS r(c)
 )"""
 
 TEMPLATES = f"""
