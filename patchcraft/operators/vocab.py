@@ -116,6 +116,8 @@ def sample_pairs(
     across copies.  A template whose class has no free word gets no rows.
     """
     indexed, sizes = _index_vocabulary(vocab, seed)
+    # The indexed vocabulary feeds three joins; keep one materialisation.
+    indexed = indexed.persist()
     t = templates.select(
         "template_id", "old", "new", "words",
         letter_shape(F.col("old")).alias("s_old"), letter_shape(F.col("new")).alias("s_new"),
@@ -175,9 +177,17 @@ def spawn_templates(patches: DataFrame) -> DataFrame:
         )
 
     ok = ~has_word("-", F.col("new")) & ~has_word("+", F.col("old"))
+    # Lines are split and word-tokenised once per template, not once per copy.
+    line_tokens = F.transform(
+        lines,
+        lambda l: F.struct(
+            F.substring(l, 1, 1).alias("sign"), l.alias("line"),
+            T.word_tokens(F.substring(l, 2, 1 << 30)).alias("toks"),
+        ),
+    )
     return t.where(ok).select(
         "repo", "patch_id", F.concat_ws("/", "repo", "patch_id").alias("template_id"),
-        "text", "old", "new", extract_identifiers("text").alias("words"),
+        "text", "old", "new", extract_identifiers("text").alias("words"), line_tokens.alias("line_tokens"),
     )
 
 
@@ -191,22 +201,17 @@ def spawn_patches(templates: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     j = templates.join(pairs, "template_id")
 
-    def rewrite(l: Column) -> Column:
-        sign = F.substring(l, 1, 1)
-        body = F.substring(l, 2, 1 << 30)
-
+    def rewrite(x: Column) -> Column:
         def swap(src: Column, dst: Column) -> Column:
-            return F.array_join(
-                F.transform(T.word_tokens(body), lambda t: F.when(t == src, dst).otherwise(t)), ""
-            )
+            return F.array_join(F.transform(x["toks"], lambda t: F.when(t == src, dst).otherwise(t)), "")
 
         return (
-            F.when(sign == "-", F.concat(F.lit("-"), swap(F.col("old"), F.col("pair_old"))))
-            .when(sign == "+", F.concat(F.lit("+"), swap(F.col("new"), F.col("pair_new"))))
-            .otherwise(l)
+            F.when(x["sign"] == "-", F.concat(F.lit("-"), swap(F.col("old"), F.col("pair_old"))))
+            .when(x["sign"] == "+", F.concat(F.lit("+"), swap(F.col("new"), F.col("pair_new"))))
+            .otherwise(x["line"])
         )
 
-    text = F.array_join(F.transform(F.split("text", "\n", -1), rewrite), "\n")
+    text = F.array_join(F.transform("line_tokens", rewrite), "\n")
     return j.select(
         "repo",
         F.concat(F.col("patch_id"), F.lit("-"), F.col("copy").cast("string")).alias("patch_id"),

@@ -430,14 +430,17 @@ def q_dedup(spark, sf):
 
 @query("sample_pairs")
 def q_sample_pairs(spark, sf):
-    vocab = V.build_vocabulary(adapter_patches(spark, sf))
-    return V.sample_pairs(vocab, _templates(spark, sf), SPAWN_COPIES)
+    patches = adapter_patches(spark, sf).persist()
+    vocab = V.build_vocabulary(patches)
+    return V.sample_pairs(vocab, V.spawn_templates(patches).persist(), SPAWN_COPIES)
 
 
 @query("spawn_patches")
 def q_spawn(spark, sf):
-    patches = adapter_patches(spark, sf)
-    t = V.spawn_templates(patches)
+    # Patches and templates feed several branches (vocabulary, templates,
+    # exclusions); one materialisation each instead of one per branch.
+    patches = adapter_patches(spark, sf).persist()
+    t = V.spawn_templates(patches).persist()
     pairs = V.sample_pairs(V.build_vocabulary(patches), t, SPAWN_COPIES)
     sp = V.spawn_patches(t, pairs)
     relabel = R.rename_map(sp.select("repo", "patch_id", "text"), keep_rejected=True)
@@ -515,3 +518,9 @@ def q_evaluate(spark, sf):
     s = D.split_dataset(loaded(spark, sf))
     model, _ = M.train_classifier(s.where("split = 'train'"), s.where("split = 'test'"), iterations=(10,))
     return M.predict(model, s.where("split = 'validation'"))
+
+
+@query("adapter_patches")
+def q_adapter_patches(spark, sf):
+    """The derived patch table itself (input of every rename job)."""
+    return adapter_patches(spark, sf).select("repo", "patch_id", "text", "n_bytes")

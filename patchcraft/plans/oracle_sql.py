@@ -521,3 +521,4 @@ WHERE r <= 1000""", P, RENAME_LINES),
 SELECT repo, patch_id || '||' || CASE WHEN n_renames = 0 THEN 'n' WHEN n_renames <= 2 THEN 'y' ELSE 'skip' END
        || coalesce('|' || message, '') AS line FROM verdicts""", P, RENAME_LINES),
 }
+ORACLES["adapter_patches"] = _q("SELECT repo, patch_id, text, CAST(strlen(text) AS BIGINT) AS n_bytes FROM patches", P)
