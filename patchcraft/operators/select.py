@@ -44,7 +44,7 @@ def presumed_negatives(
     max_bytes: int = fixed.PRESUMED_NEGATIVE_MAX_BYTES,
     n: int = fixed.PRESUMED_NEGATIVE_COUNT,
     exclude: tuple[str, ...] = ("y",),
-    buckets: int = 64,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Per repository, the first ``n`` patches (by id) of at most ``max_bytes``
     whose verdict is not in ``exclude``; they are presumed negatives (label 0).
@@ -52,7 +52,8 @@ def presumed_negatives(
     Exact top-n per repository in two steps so a repository holding a third
     of all patches is not ranked in one task: the top ``n`` inside each
     ``(repo, hash bucket)``, then the top ``n`` of those candidates
-    (at most ``n x buckets`` rows per repository).
+    (at most ``n x buckets`` rows per repository).  More buckets split a hot
+    repository finer at the cost of a larger second step.
     """
     excluded = verdicts.where(F.col("verdict").isin(*exclude)).select(*KEY)
     small = patches.where(F.col("n_bytes") <= max_bytes).join(excluded, KEY, "left_anti")

@@ -69,10 +69,19 @@ def vocabulary_minus(vocab: DataFrame, words: DataFrame) -> DataFrame:
 def exact_dedup(df: DataFrame, text: str, key: str) -> DataFrame:
     """One row per distinct text, keeping the lowest key; ``n_copies`` counts the group.
 
-    Partial aggregation collapses a hot copy group to one row per map task
-    before the shuffle, so a text repeated in a third of all rows is cheap.
+    The grouping key is a fixed-size digest (SHA-256 and length) rather than
+    the text itself, so the shuffle moves ~80 bytes per row instead of whole
+    documents; equal texts always share it, and different texts sharing it
+    would need a SHA-256 collision.  Partial aggregation collapses a hot copy
+    group to one row per map task before the shuffle, so a text repeated in
+    a third of all rows is cheap.
     """
-    return df.groupBy(text).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")).drop(text)
+    digest = df.select(
+        F.sha2(F.col(text), 256).alias("_sha"), F.length(text).alias("_len"), F.col(key)
+    )
+    return digest.groupBy("_sha", "_len").agg(
+        F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")
+    ).drop("_sha", "_len")
 
 
 # ------------------------------------------------------------------ sampling

@@ -12,8 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import clean as C
+from ..operators import collect as CO
+from ..operators import dataset as D
+from ..operators import diff as DF
+from ..operators import model as M
 from ..operators import rename as R
+from ..operators import select as S
+from ..operators import tokens as TK
+from ..operators import vocab as V
 from ..sources import tables as TB
+from ..sources.files import label_from_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -48,16 +58,6 @@ def q_verdict_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ shared inputs
-from ..functions import text as T  # noqa: E402
-from ..operators import clean as C  # noqa: E402
-from ..operators import collect as CO  # noqa: E402
-from ..operators import dataset as D  # noqa: E402
-from ..operators import diff as DF  # noqa: E402
-from ..operators import model as M  # noqa: E402
-from ..operators import select as S  # noqa: E402
-from ..operators import tokens as TK  # noqa: E402
-from ..operators import vocab as V  # noqa: E402
-from ..sources.files import label_from_path  # noqa: E402
 
 TRUNCATE_AT = 80
 SPAWN_COPIES = 10
@@ -524,3 +524,26 @@ def q_evaluate(spark, sf):
 def q_adapter_patches(spark, sf):
     """The derived patch table itself (input of every rename job)."""
     return adapter_patches(spark, sf).select("repo", "patch_id", "text", "n_bytes")
+
+
+@query("join_tokens")
+def q_join_tokens(spark, sf):
+    return loaded(spark, sf).select("path", D.join_tokens("tokens").alias("joined"))
+
+
+@query("limit_n")
+def q_limit_n(spark, sf):
+    """Presumed negatives capped at 1,000 per repository (the cap is the feature)."""
+    return S.presumed_negatives(adapter_patches(spark, sf), verdicts(spark, sf)).select("repo", "patch_id", "label")
+
+
+@query("accuracy")
+def q_accuracy(spark, sf):
+    return M.error_rates(rule_predictions(spark, sf)).select("n", "n_wrong", "accuracy")
+
+
+@query("train_classifier")
+def q_train(spark, sf):
+    s = D.split_dataset(loaded(spark, sf))
+    _, history = M.train_classifier(s.where("split = 'train'"), s.where("split = 'test'"), iterations=(5, 10))
+    return history.select("max_iter", (F.col("test_accuracy") >= 0).alias("trained"))

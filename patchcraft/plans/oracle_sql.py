@@ -17,14 +17,16 @@ TOKEN = fixed.TOKEN_RE.replace("'", "''")
 # ------------------------------------------------------------------ adapters
 # Mirrors tables.patches_from_documents.
 _NEW_LINE = f"""
-  (array_to_string(list_transform(regexp_extract_all(l, '{WORD}', 1), lambda t:
+  (CASE WHEN c = 6 OR (coalesce(strpos(l, w1), 0) = 0 AND coalesce(strpos(l, w2), 0) = 0
+                       AND coalesce(strpos(l, w3), 0) = 0) THEN l ELSE
+   array_to_string(list_transform(regexp_extract_all(l, '{WORD}', 1), lambda t:
       CASE
         WHEN c IN (0, 4, 5, 7) AND t = w1 THEN t || '_1'
         WHEN c = 1 AND (t = w1 OR t = w2) THEN t || '_1'
         WHEN c = 2 AND (t = w1 OR t = w2 OR t = w3) THEN t || '_1'
         WHEN c = 3 AND t = w1 AND (i - 1) % 2 = 0 THEN t || '_1'
         WHEN c = 3 AND t = w1 THEN t || '_2'
-        ELSE t END), '') || CASE WHEN c = 4 THEN ' ' ELSE '' END)"""
+        ELSE t END), '') END || CASE WHEN c = 4 THEN ' ' ELSE '' END)"""
 
 PATCHES = f"""
 doc_words AS (
@@ -522,3 +524,15 @@ SELECT repo, patch_id || '||' || CASE WHEN n_renames = 0 THEN 'n' WHEN n_renames
        || coalesce('|' || message, '') AS line FROM verdicts""", P, RENAME_LINES),
 }
 ORACLES["adapter_patches"] = _q("SELECT repo, patch_id, text, CAST(strlen(text) AS BIGINT) AS n_bytes FROM patches", P)
+ORACLES["join_tokens"] = _q("SELECT path, array_to_string(tokens, ' ') AS joined FROM loaded", P, EXAMPLES, LOADED)
+ORACLES["limit_n"] = _q("""
+SELECT repo, patch_id, 0 AS label FROM (
+  SELECT p.repo, p.patch_id, row_number() OVER (PARTITION BY p.repo ORDER BY p.patch_id) AS r
+  FROM patches p
+  WHERE strlen(p.text) <= 5120
+    AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2))
+WHERE r <= 1000""", P, RENAME_LINES)
+ORACLES["accuracy"] = _q("""
+SELECT count(*) AS n, count(*) FILTER (WHERE label <> prediction) AS n_wrong,
+       1.0 - (count(*) FILTER (WHERE label <> prediction))::DOUBLE / nullif(count(*), 0) AS accuracy
+FROM rule_pred""", P, EXAMPLES, LOADED, SPLITS)
