@@ -432,7 +432,8 @@ def q_dedup(spark, sf):
 def q_sample_pairs(spark, sf):
     patches = adapter_patches(spark, sf).persist()
     vocab = V.build_vocabulary(patches)
-    return V.sample_pairs(vocab, V.spawn_templates(patches).persist(), SPAWN_COPIES)
+    pairs = V.sample_pairs(vocab, V.spawn_templates(patches).persist(), SPAWN_COPIES)
+    return pairs.select("template_id", F.col("copy").cast("long").alias("copy"), "pair_old", "pair_new")
 
 
 @query("spawn_patches")
@@ -441,13 +442,22 @@ def q_spawn(spark, sf):
     # exclusions); one materialisation each instead of one per branch.
     patches = adapter_patches(spark, sf).persist()
     t = V.spawn_templates(patches).persist()
-    pairs = V.sample_pairs(V.build_vocabulary(patches), t, SPAWN_COPIES)
-    sp = V.spawn_patches(t, pairs)
+    sp = V.spawn_patches(t, V.sample_pairs(V.build_vocabulary(patches), t, SPAWN_COPIES))
+    return sp.select("repo", "patch_id", "template_id", "pair_old", "pair_new",
+                     F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("spawn_relabel_check")
+def q_spawn_relabel(spark, sf):
+    """Every spawned copy must re-label to exactly its drawn pair (``relabel_ok``)."""
+    patches = adapter_patches(spark, sf).persist()
+    t = V.spawn_templates(patches).persist()
+    sp = V.spawn_patches(t, V.sample_pairs(V.build_vocabulary(patches), t, SPAWN_COPIES)).persist()
     relabel = R.rename_map(sp.select("repo", "patch_id", "text"), keep_rejected=True)
-    return sp.join(relabel, ["repo", "patch_id"]).select(
-        "repo", "patch_id", "template_id", "pair_old", "pair_new",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        (F.col("renames") == F.array(F.struct(F.col("pair_old").alias("old"), F.col("pair_new").alias("new")))).alias("relabel_ok"),
+    want = F.array(F.struct(F.col("pair_old").alias("old"), F.col("pair_new").alias("new")))
+    return sp.join(relabel, ["repo", "patch_id"]).groupBy("template_id").agg(
+        F.count(F.lit(1)).alias("n_copies"),
+        F.bool_and(F.coalesce(F.col("renames") == want, F.lit(False))).alias("relabel_ok"),
     )
 
 

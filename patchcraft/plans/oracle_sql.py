@@ -536,3 +536,67 @@ ORACLES["accuracy"] = _q("""
 SELECT count(*) AS n, count(*) FILTER (WHERE label <> prediction) AS n_wrong,
        1.0 - (count(*) FILTER (WHERE label <> prediction))::DOUBLE / nullif(count(*), 0) AS accuracy
 FROM rule_pred""", P, EXAMPLES, LOADED, SPLITS)
+
+# ---- exact pair sampling: vocabulary indexed within letter-shape classes by
+# md5('977:vocab:'||word); each draw is folded past the template's own words.
+_SHAPE = "CASE WHEN regexp_matches({w}, '^\\p{{Lu}}') THEN 'U' WHEN regexp_matches({w}, '^[\\p{{Ll}}_]') THEN 'L' ELSE 'O' END"
+_SKIP = "lambda acc, e: CASE WHEN e <= acc THEN acc + 1 ELSE acc END"
+PAIRS = f"""
+tpl AS (
+  SELECT t.repo, t.patch_id, t.repo || '/' || t.patch_id AS template_id, t.old, t.new,
+         {_SHAPE.format(w='t.old')} AS s_old, {_SHAPE.format(w='t.new')} AS s_new
+  FROM templates t
+),
+vidx AS (
+  SELECT word, shape, row_number() OVER (PARTITION BY shape ORDER BY md5('977:vocab:' || word), word) - 1 AS idx,
+         count(*) OVER (PARTITION BY shape) AS class_size
+  FROM (SELECT word, {_SHAPE.format(w='word')} AS shape FROM vocab)
+),
+csize AS (SELECT DISTINCT shape, class_size FROM vidx),
+tex AS (
+  SELECT t.template_id, v.shape, list_sort(list(v.idx)) AS excl
+  FROM tpl t JOIN idents i ON i.repo = t.repo AND i.patch_id = t.patch_id JOIN vidx v ON v.word = i.word
+  GROUP BY t.template_id, v.shape
+),
+draws1 AS (
+  SELECT t.*, c.copy,
+         coalesce(eo.excl, []::BIGINT[]) AS excl_old, coalesce(en.excl, []::BIGINT[]) AS excl_new,
+         so.class_size - len(coalesce(eo.excl, []::BIGINT[])) AS free_old,
+         sn.class_size - len(coalesce(en.excl, []::BIGINT[])) - CASE WHEN t.s_old = t.s_new THEN 1 ELSE 0 END AS free_new
+  FROM tpl t CROSS JOIN range(1, 11) AS c(copy)
+  LEFT JOIN tex eo ON eo.template_id = t.template_id AND eo.shape = t.s_old
+  LEFT JOIN tex en ON en.template_id = t.template_id AND en.shape = t.s_new
+  JOIN csize so ON so.shape = t.s_old JOIN csize sn ON sn.shape = t.s_new
+),
+draws2 AS (
+  SELECT *, list_reduce(excl_old, {_SKIP},
+           ('0x' || substr(md5('977:' || template_id || ':' || copy || ':old'), 1, 15))::BIGINT % free_old) AS idx_old
+  FROM draws1 WHERE free_old > 0 AND free_new > 0
+),
+draws3 AS (
+  SELECT *, list_reduce(CASE WHEN s_old = s_new THEN list_sort(list_append(excl_new, idx_old)) ELSE excl_new END, {_SKIP},
+           ('0x' || substr(md5('977:' || template_id || ':' || copy || ':new'), 1, 15))::BIGINT % free_new) AS idx_new
+  FROM draws2
+),
+pairs_drawn AS (
+  SELECT d.repo, d.patch_id, d.template_id, d.copy, d.old, d.new, vo.word AS pair_old, vn.word AS pair_new
+  FROM draws3 d JOIN vidx vo ON vo.shape = d.s_old AND vo.idx = d.idx_old
+                JOIN vidx vn ON vn.shape = d.s_new AND vn.idx = d.idx_new
+),
+spawned AS (
+  SELECT d.repo, d.patch_id || '-' || d.copy AS patch_id, d.template_id, d.copy, d.pair_old, d.pair_new,
+    array_to_string(list_transform(string_split(p.text, chr(10)), lambda l:
+      CASE substr(l, 1, 1)
+        WHEN '-' THEN '-' || array_to_string(list_transform(regexp_extract_all(substr(l, 2), '{WORD}', 1),
+                                 lambda w: CASE WHEN w = d.old THEN d.pair_old ELSE w END), '')
+        WHEN '+' THEN '+' || array_to_string(list_transform(regexp_extract_all(substr(l, 2), '{WORD}', 1),
+                                 lambda w: CASE WHEN w = d.new THEN d.pair_new ELSE w END), '')
+        ELSE l END), chr(10)) AS text
+  FROM pairs_drawn d JOIN patches p ON p.repo = d.repo AND p.patch_id = d.patch_id
+)"""
+
+ORACLES["sample_pairs"] = _q("SELECT template_id, copy, pair_old, pair_new FROM pairs_drawn",
+                             P, RENAME_LINES, VOCAB, TEMPLATES, PAIRS)
+ORACLES["spawn_patches"] = _q("""
+SELECT repo, patch_id, template_id, pair_old, pair_new, CAST(strlen(text) AS BIGINT) AS n_bytes FROM spawned""",
+                              P, RENAME_LINES, VOCAB, TEMPLATES, PAIRS)
