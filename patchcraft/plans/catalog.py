@@ -309,7 +309,9 @@ def q_top_k(spark, sf):
 
 @query("token_ids")
 def q_token_ids(spark, sf):
-    l = loaded(spark, sf)
+    # One materialisation of the loaded examples feeds the length, the
+    # vocabulary and the encoding.
+    l = loaded(spark, sf).persist()
     length = D.max_sequence_length(l).first()[0]
     g = l.select("path", TK.ngrams("tokens", 2).alias("tokens"))
     vocab = TK.top_k_tokens(TK.token_frequency(g))
