@@ -63,3 +63,10 @@ IDENT_WORD_RE = r"([\p{L}\p{N}_]+)"
 VOCAB_START_RE = r"^[A-Za-z_]"
 SHORT_VOCAB_START_RE = r"^[A-Za-z]"
 SHORT_IDENTIFIER_MAX = 10
+
+# The same word sets extracted in one pass (no per-word filter): a maximal
+# word is one not preceded by a word character.
+_NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
+LETTER_WORD_RE = _NOT_AFTER_WORD + r"(\p{L}[\p{L}\p{N}_]*)"
+VOCAB_WORD_RE = _NOT_AFTER_WORD + r"([A-Za-z_][\p{L}\p{N}_]*)"
+SHORT_VOCAB_WORD_RE = _NOT_AFTER_WORD + r"([A-Za-z][\p{L}\p{N}_]*)"

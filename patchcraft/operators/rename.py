@@ -3,7 +3,8 @@
 Plan shape (one shuffle):
 
 1. Row-local cheap rejects on the whole text (balanced ``-``/``+`` counts, no
-   package line) and a row-local shortcut for patches with no changed line.
+   package line); rejected patches and patches with no changed line are
+   not split into lines (one dummy row each keeps them in the result).
 2. ``posexplode`` of the surviving patches, keeping changed lines only.
 3. Windows keyed by ``(repo, patch_id)`` (runs, alignment, pairing) and the
    final per-patch aggregate all reuse the single hash exchange on that key.
@@ -136,19 +137,28 @@ def rename_map(patches: DataFrame, keep_rejected: bool = False) -> DataFrame:
     unbalanced, declares a package, has a pair that differs in anything but
     identifiers, or maps one old name to two new names.  Rejected patches are
     dropped unless ``keep_rejected``; then ``renames`` is NULL.
+
+    The input is read once: patches rejected by the row-local checks, and
+    patches without a changed line, enter the exchange as one empty dummy
+    line each instead of all their lines (and rejected ones are filtered out
+    before it unless ``keep_rejected``).
     """
     checked = with_cheap_checks(patches.select(*KEY, "text"))
-    rejected_early = checked.where(F.col("reject_reason").isNotNull()).select(
-        *KEY, F.lit(None).cast("array<struct<old:string,new:string>>").alias("renames"), "reject_reason"
-    )
-    passed = checked.where(F.col("reject_reason").isNull())
-    unchanged = passed.where(F.col("n_removed") == 0).select(
-        *KEY,
-        F.array().cast("array<struct<old:string,new:string>>").alias("renames"),
-        F.lit(None).cast("string").alias("reject_reason"),
+    if not keep_rejected:
+        checked = checked.where(F.col("reject_reason").isNull())
+    explode_all = F.col("reject_reason").isNull() & (F.col("n_removed") > 0)
+    lines_or_dummy = F.when(explode_all, T.split_lines("text")).otherwise(F.array(F.lit("")))
+    exploded = (
+        checked.select(
+            *KEY, F.col("reject_reason").alias("early_reason"), (~explode_all).alias("dummy"),
+            F.posexplode(lines_or_dummy).alias("pos", "line"),
+        )
+        .withColumn("sign", T.line_sign("line"))
+        .where(F.col("sign").isin("-", "+") | F.col("dummy"))
     )
-    lines = compare_pairs(pair_lines(align_runs(change_runs(changed_lines_of(passed.where(F.col("n_removed") > 0))))))
+    lines = compare_pairs(pair_lines(align_runs(change_runs(exploded))))
     per_patch = lines.groupBy(*KEY).agg(
+        F.max("early_reason").alias("early_reason"),
         F.coalesce(F.bool_and("pair_ok"), F.lit(True)).alias("all_ok"),
         F.flatten(F.collect_list("diffs")).alias("diffs"),
     )
@@ -161,16 +171,16 @@ def rename_map(patches: DataFrame, keep_rejected: bool = False) -> DataFrame:
         per_patch.withColumn("renames", renames)
         .withColumn(
             "reject_reason",
-            F.when(~F.col("all_ok"), F.lit("not a rename"))
+            F.when(F.col("early_reason").isNotNull(), F.col("early_reason"))
+            .when(~F.col("all_ok"), F.lit("not a rename"))
             .when(F.size(olds) < F.size("renames"), F.lit("conflicting rename")),
         )
         .withColumn("renames", F.when(F.col("reject_reason").isNull(), F.col("renames")))
         .select(*KEY, "renames", "reject_reason")
     )
-    out = labelled.unionByName(unchanged)
     if keep_rejected:
-        return out.unionByName(rejected_early)
-    return out.where(F.col("reject_reason").isNull())
+        return labelled
+    return labelled.where(F.col("reject_reason").isNull())
 
 
 def rename_verdicts(

@@ -19,17 +19,21 @@ from .rename import rename_map
 
 
 # ------------------------------------------------------------------ identifiers
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def extract_identifiers(text: Column | str) -> Column:
     """Distinct words starting with an ASCII letter or ``_``, keywords removed."""
-    words = F.filter(T.words_only(text), lambda w: w.rlike(fixed.VOCAB_START_RE))
+    words = F.regexp_extract_all(_col(text), F.lit(fixed.VOCAB_WORD_RE), F.lit(1))
     return F.array_except(F.array_distinct(words), T.keyword_array())
 
 
 def extract_short_identifiers(text: Column | str) -> Column:
     """Distinct words starting with an ASCII letter, at most 10 characters, keywords removed."""
     words = F.filter(
-        T.words_only(text),
-        lambda w: w.rlike(fixed.SHORT_VOCAB_START_RE) & (F.length(w) <= fixed.SHORT_IDENTIFIER_MAX),
+        F.regexp_extract_all(_col(text), F.lit(fixed.SHORT_VOCAB_WORD_RE), F.lit(1)),
+        lambda w: F.length(w) <= fixed.SHORT_IDENTIFIER_MAX,
     )
     return F.array_except(F.array_distinct(words), T.keyword_array())
 

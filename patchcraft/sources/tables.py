@@ -30,7 +30,7 @@ def _with_rename_words(df: DataFrame, text: str = "text") -> DataFrame:
     filter push-down or project collapsing, which would otherwise re-tokenise
     the whole text for every token of every line.
     """
-    letters = F.filter(T.word_tokens(text), lambda t: t.rlike(r"^\p{L}"))
+    letters = F.regexp_extract_all(F.col(text), F.lit(fixed.LETTER_WORD_RE), F.lit(1))
     df = df.withColumn("_letters", letters)
     df = df.withColumn("_w1", F.try_element_at("_letters", F.lit(1)))
     df = df.withColumn("_rest", F.filter("_letters", lambda t: t != F.col("_w1")))
