@@ -59,12 +59,14 @@ def change_runs(changed: DataFrame) -> DataFrame:
     runs = changed.withColumn("run", F.col("pos") - F.row_number().over(w_patch))
     w_run = Window.partitionBy(*KEY, "run")
     is_minus = F.col("sign") == "-"
-    return (
-        runs.withColumn("run_start", F.min("pos").over(w_run))
-        .withColumn("run_removed", F.count_if(is_minus).over(w_run))
-        .withColumn("run_added", F.count_if(~is_minus).over(w_run))
-        .withColumn("last_removed", F.max(F.when(is_minus, F.col("pos"))).over(w_run))
-        .withColumn("first_added", F.min(F.when(~is_minus, F.col("pos"))).over(w_run))
+    # One select, so the five run aggregates share a single Window operator.
+    return runs.select(
+        "*",
+        F.min("pos").over(w_run).alias("run_start"),
+        F.count_if(is_minus).over(w_run).alias("run_removed"),
+        F.count_if(~is_minus).over(w_run).alias("run_added"),
+        F.max(F.when(is_minus, F.col("pos"))).over(w_run).alias("last_removed"),
+        F.min(F.when(~is_minus, F.col("pos"))).over(w_run).alias("first_added"),
     )
 
 
@@ -89,11 +91,8 @@ def pair_lines(aligned: DataFrame) -> DataFrame:
     Adds ``is_pair``, ``old_line`` and ``new_line`` (without the sign).
     """
     w = Window.partitionBy(*KEY).orderBy("akey")
-    prev_sign = F.lag("sign").over(w)
-    prev_line = F.lag("line").over(w)
     return (
-        aligned.withColumn("prev_sign", prev_sign)
-        .withColumn("prev_line", prev_line)
+        aligned.select("*", F.lag("sign").over(w).alias("prev_sign"), F.lag("line").over(w).alias("prev_line"))
         .withColumn("is_pair", (F.col("sign") == "+") & (F.col("prev_sign") == "-"))
         .withColumn("old_line", F.when(F.col("is_pair"), F.expr("substring(prev_line, 2)")))
         .withColumn("new_line", F.when(F.col("is_pair"), F.expr("substring(line, 2)")))
@@ -107,7 +106,10 @@ def compare_pairs(paired: DataFrame) -> DataFrame:
     two identifiers (first character a letter or ``_``) that are not keywords.
     ``diffs``: the differing positions as ``(akey, idx, old, new)``.
     """
-    paired = paired.withColumn("old_w", T.word_tokens("old_line")).withColumn("new_w", T.word_tokens("new_line"))
+    # Identical lines differ nowhere: they skip tokenising.
+    differs = F.col("old_line") != F.col("new_line")
+    paired = paired.withColumn("old_w", F.when(differs, T.word_tokens("old_line")).otherwise(F.array())) \
+        .withColumn("new_w", F.when(differs, T.word_tokens("new_line")).otherwise(F.array()))
     old_w, new_w = F.col("old_w"), F.col("new_w")
     zipped = F.zip_with(old_w, new_w, lambda o, n: F.struct(o.alias("old"), n.alias("new")))
     indexed = F.transform(

@@ -18,7 +18,19 @@ from ..functions import text as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read a table; spread it when the files give fewer splits than cores.
+
+    A table stored as one large row group is scanned by a single task, and
+    the row-local work after it (regular expressions, array functions) would
+    then run on one core.  Such a scan is hash-repartitioned on its first
+    column (deterministic on retry) to the default parallelism.  A table of
+    many files, as at scale, already has enough splits and is read as is.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, df.columns[0])
+    return df
 
 
 # ------------------------------------------------------------------ patches
