@@ -1,4 +1,4 @@
-"""Rename detection on inline patches (the reference fixtures' situations plus own cases)."""
+"""Rename detection on inline patches: the situations of the original test cases plus own cases."""
 
 import pytest
 
