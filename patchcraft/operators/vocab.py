@@ -128,9 +128,11 @@ def sample_pairs(
     ``old`` and ``pair_new`` that of ``new``; draws are with replacement
     across copies.  A template whose class has no free word gets no rows.
     """
-    indexed, sizes = _index_vocabulary(vocab, seed)
-    # The indexed vocabulary feeds three joins; keep one materialisation.
+    indexed, _ = _index_vocabulary(vocab, seed)
+    # The indexed vocabulary feeds three joins and the class sizes; one
+    # materialisation, so the vocabulary is mined once.
     indexed = indexed.persist()
+    sizes = indexed.groupBy("shape").agg(F.count(F.lit(1)).alias("class_size"))
     t = templates.select(
         "template_id", "old", "new", "words",
         letter_shape(F.col("old")).alias("s_old"), letter_shape(F.col("new")).alias("s_new"),
@@ -169,6 +171,11 @@ def sample_pairs(
 
 
 # ------------------------------------------------------------------ templates and spawning
+def _whole_word(word: Column) -> Column:
+    """Pattern matching ``word`` as a maximal word (identifiers hold no regex metacharacters)."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), word, F.lit(r"(?![\p{L}\p{N}_])"))
+
+
 def spawn_templates(patches: DataFrame) -> DataFrame:
     """Patches usable as templates: exactly one rename ``old -> new``, the new
     name on no removed line and the old name on no added line.
@@ -183,24 +190,16 @@ def spawn_templates(patches: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
 
     def has_word(sign: str, word: Column) -> Column:
+        pattern = _whole_word(word)
         return F.exists(
             lines,
-            lambda l: (F.substring(l, 1, 1) == sign)
-            & F.array_contains(T.word_tokens(F.substring(l, 2, 1 << 30)), word),
+            lambda l: (F.substring(l, 1, 1) == sign) & F.regexp_like(F.substring(l, 2, 1 << 30), pattern),
         )
 
     ok = ~has_word("-", F.col("new")) & ~has_word("+", F.col("old"))
-    # Lines are split and word-tokenised once per template, not once per copy.
-    line_tokens = F.transform(
-        lines,
-        lambda l: F.struct(
-            F.substring(l, 1, 1).alias("sign"), l.alias("line"),
-            T.word_tokens(F.substring(l, 2, 1 << 30)).alias("toks"),
-        ),
-    )
     return t.where(ok).select(
         "repo", "patch_id", F.concat_ws("/", "repo", "patch_id").alias("template_id"),
-        "text", "old", "new", extract_identifiers("text").alias("words"), line_tokens.alias("line_tokens"),
+        "text", "old", "new", extract_identifiers("text").alias("words"),
     )
 
 
@@ -208,23 +207,22 @@ def spawn_patches(templates: DataFrame, pairs: DataFrame) -> DataFrame:
     """Copies of each template with the rename replaced by the drawn pair.
 
     On removed lines ``old`` becomes ``pair_old``; on added lines ``new``
-    becomes ``pair_new``; other lines are unchanged.  Output: ``repo,
-    patch_id`` (``<template>-<copy>``), ``template_id, copy, pair_old,
-    pair_new, text``.
+    becomes ``pair_new`` (whole words only); other lines are unchanged.
+    Output: ``repo, patch_id`` (``<template>-<copy>``), ``template_id, copy,
+    pair_old, pair_new, text``.
     """
     j = templates.join(pairs, "template_id")
+    old_pat, new_pat = _whole_word(F.col("old")), _whole_word(F.col("new"))
 
-    def rewrite(x: Column) -> Column:
-        def swap(src: Column, dst: Column) -> Column:
-            return F.array_join(F.transform(x["toks"], lambda t: F.when(t == src, dst).otherwise(t)), "")
-
+    def rewrite(l: Column) -> Column:
+        sign = F.substring(l, 1, 1)
         return (
-            F.when(x["sign"] == "-", F.concat(F.lit("-"), swap(F.col("old"), F.col("pair_old"))))
-            .when(x["sign"] == "+", F.concat(F.lit("+"), swap(F.col("new"), F.col("pair_new"))))
-            .otherwise(x["line"])
+            F.when(sign == "-", F.regexp_replace(l, old_pat, F.col("pair_old")))
+            .when(sign == "+", F.regexp_replace(l, new_pat, F.col("pair_new")))
+            .otherwise(l)
         )
 
-    text = F.array_join(F.transform("line_tokens", rewrite), "\n")
+    text = F.array_join(F.transform(F.split("text", "\n", -1), rewrite), "\n")
     return j.select(
         "repo",
         F.concat(F.col("patch_id"), F.lit("-"), F.col("copy").cast("string")).alias("patch_id"),
