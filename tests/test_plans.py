@@ -41,3 +41,12 @@ def test_token_ids_broadcasts_the_bounded_vocabulary(spark):
     plan = _plan(TK.token_ids(df, vocab, 4))
     assert "BroadcastHashJoin" in plan
     assert "TakeOrderedAndProject" in plan  # top-k, not a global sort
+
+
+def test_single_split_table_is_spread_over_cores(spark):
+    from conftest import SF_SMALL
+    from patchcraft.sources import tables as TB
+
+    df = TB.read_table(spark, SF_SMALL, "documents")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()

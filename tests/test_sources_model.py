@@ -86,3 +86,13 @@ def test_classifier_and_metrics(spark):
     assert M.error_rates(M.predict(again, df)).first()["accuracy"] == 1.0
     empty = M.error_rates(pred.where("false")).first()
     assert empty["n"] == 0 and empty["accuracy"] is None
+
+
+def test_scan_dataset_flat_repo_folders(spark):
+    d = tempfile.mkdtemp(prefix="pc-dataset-")
+    _write(d, "repoA/1.diff", "@@\n-a\n+b\n")
+    _write(d, "repoB/2.diff", "@@\n x\n")
+    _write(d, "repoB/sub/3.diff", "@@\n")          # not a direct child: ignored
+    _write(d, ".hidden/4.diff", "@@\n")            # dot folder: ignored
+    got = sorted((r["repo"], r["patch_id"]) for r in FS.scan_dataset(spark, d).collect())
+    assert got == [("repoA", "1"), ("repoB", "2")]
