@@ -145,7 +145,8 @@ def split_dataset(examples: DataFrame, key: str = "path", seed: int | str = fixe
     """
     examples = cache_dataset(examples)
     n = examples.count()
-    ranked = seeded_rank(examples, key, seed)
+    # The ranked rows feed the class counts, the balancing and the hold-out.
+    ranked = seeded_rank(examples, key, seed).persist()
     validation, rest = holdout_take_skip(ranked, n)
     balanced = cache_dataset(balance_classes(rest.drop("rank"), key, seed=seed))
     m = balanced.count()
