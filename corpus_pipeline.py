@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patchcraft.llm import exact, packing, simhash
+from patchcraft.llm import exact, kneser, packing, simhash, suffix
 from patchcraft.llm.common import read_docs, ship, written
 from patchcraft.llm.queries import WORD_BPE
 
@@ -15,6 +16,12 @@ def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is that of trusted text."""
+    ship(spark)
+    return _only(docs, kneser.quality_classifier(docs, read_docs(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     ship(spark)
@@ -27,6 +34,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, simhash.simhash_near_dedup(docs))
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the byte strings that stand elsewhere too.
+
+    A character that loses some of its bytes goes as a whole; n_chars is
+    counted again; a document that loses all its text stays, empty.
+    """
+    ship(spark)
+    done = suffix.remove_repeats(docs, carry=tuple(docs.columns), as_text=True)
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.length("kept").cast("long")}
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, in their sequences."""
     ship(spark)
@@ -34,8 +53,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", quality),
     ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", repeats),
     ("best_fit_packing", pack),
 ]
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, packing, quality, simhash
+from . import exact, kneser, langid, lines, packing, quality, simhash, suffix
 from .common import read_docs, ship
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,17 @@ def op2(spark, sf_dir):
     return simhash.simhash_near_dedup(read_docs(spark, sf_dir))
 
 
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return kneser.quality_classifier(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "labels"))
+
+
+@query("op4_suffix_array_dedup")
+def op4(spark, sf_dir):
+    done = suffix.remove_repeats(read_docs(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_exact_dedup")
 def op5(spark, sf_dir):
     return exact.exact_dedup(read_docs(spark, sf_dir))
@@ -55,6 +66,11 @@ def op8(spark, sf_dir):
     return packing.pack_documents(read_docs(spark, sf_dir), WORD_BPE)
 
 
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    return langid.language_id(read_docs(spark, sf_dir))
+
+
 @query("op10_line_dedup")
 def op10(spark, sf_dir):
     pages = lines.line_dedup(read_docs(spark, sf_dir, "pages"))
