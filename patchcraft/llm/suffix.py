@@ -337,19 +337,21 @@ def heavy_stretches(found: DataFrame) -> DataFrame:
     size = F.octet_length("hashes") / 16
     windows = rows.select("suffix", "uses", "hashes", F.explode(F.sequence(F.lit(0), size.cast("int") - 1)).alias("at"))
     windows = windows.select("suffix", "uses", "at", F.substring("hashes", F.col("at") * 16 + 1, F.lit(16)).alias("hash"))
-    repeated = windows.groupBy("hash").agg(F.sum("uses").alias("n")).where("n > 1").select("hash")
-    marks = windows.join(repeated, "hash", "left_semi").groupBy("suffix").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    # A window that occurs once is in one row, which the group itself names; what is repeated never has to be joined back.
+    once = windows.groupBy("hash").agg(F.sum("uses").alias("n"), F.min("suffix").alias("suffix"), F.min("at").alias("at")).where("n = 1")
+    single = once.groupBy("suffix").agg(F.collect_list("at").alias("single"))
 
     def run(batches):
         for b in batches:
-            for keys, los, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for keys, los, size, alone in zip(*(c.to_pylist() for c in b.columns)):
                 keys, los = np.frombuffer(keys, np.int64), np.frombuffer(los, np.int32)
-                flags = np.zeros(at[-1] + 1, bool)
-                flags[at] = True
+                flags = np.ones(size, bool)
+                flags[alone or []] = False
                 for a, length in _ranges(flags):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(los + np.int32(a)), pa.array(np.full(len(keys), length, np.int32))], names=["key", "start", "n"])
 
-    return rows.select("suffix", "keys", "los").join(marks, "suffix").select("keys", "los", "at").mapInArrow(run, "key long, start int, n int")
+    found = rows.select("suffix", "keys", "los", size.cast("int").alias("size")).join(single, "suffix", "left")
+    return found.select("keys", "los", "size", "single").mapInArrow(run, "key long, start int, n int")
 
 
 def repeated_windows(rows: DataFrame, light: int = LIGHT, merge_size: int = MERGE) -> DataFrame:
