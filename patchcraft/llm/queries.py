@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, kneser, langid, lines, packing, quality, simhash, suffix
+from . import bpe, exact, kneser, langid, lines, packing, quality, simhash, suffix, token_counts
 from .common import read_docs, ship
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,23 @@ def op5(spark, sf_dir):
     return exact.exact_dedup(read_docs(spark, sf_dir))
 
 
+@query("op6_bpe_round_trip")
+def op6(spark, sf_dir):
+    return bpe.encode_documents(read_docs(spark, sf_dir), BYTE_BPE, digest=True)
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    docs = read_docs(spark, sf_dir)
+    # Three edits of each document: a cut at a third, its own beginning put into the middle, a word at its end.
+    n = F.length(F.coalesce("text", F.lit("")))
+    third, half = F.floor(n / 3), F.floor(n / 2)
+    edit = lambda start, stop, new: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), new.alias("new"))
+    edits = F.array(edit(third, third + 7, F.lit("")), edit(half, half, F.substring("text", 1, 40)), edit(n + 33, n + 33, F.lit(" end.")))
+    counted = token_counts.count_with_edits(docs, edits, BYTE_BPE)
+    return counted.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_read")
+
+
 @query("op8_best_fit_packing")
 def op8(spark, sf_dir):
     return packing.pack_documents(read_docs(spark, sf_dir), WORD_BPE)
