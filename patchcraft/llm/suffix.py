@@ -284,15 +284,16 @@ def _resolve(strings: list[bytes], uses: list[int], prefix: list[int], anchor: l
     return out
 
 
-_FOUND = "key long, start int, n int, hashes binary, uses long, keys binary, los binary"
+_FOUND = "key long, start int, n int, hashes binary, uses long"
 
 
 def merge(runs: DataFrame) -> DataFrame:
     """Merges the runs of each bucket.
 
-    Light suffixes give ``key, start, n``: n windows from ``start`` on repeat.  A
-    distinct heavy suffix gives the hashes of its windows, the number of its
-    ``uses`` and where they are.
+    ``key, start, n``: n windows from ``start`` on repeat.  A heavy suffix that
+    occurs more than once is decided by that; each distinct one also gives a
+    row with the ``hashes`` of its windows and the number of its ``uses``, and
+    its place if it has only one.
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -317,25 +318,35 @@ def merge(runs: DataFrame) -> DataFrame:
                 places.append([(run, i)])
         keys = [np.concatenate([used[r][0][used[r][2][i] : used[r][2][i + 1]] for r, i in p]) for p in places]
         los = [np.concatenate([used[r][1][used[r][2][i] : used[r][2][i + 1]] for r, i in p]) for p in places]
-        if heavy:
-            hashes = [b"".join(xxhash.xxh3_128_digest(s[j : j + WINDOW]) for j in range(len(s) - WINDOW + 1)) for s in strings]
-            return pd.DataFrame({"key": None, "start": None, "n": None, "hashes": hashes, "uses": [len(k) for k in keys], "keys": [k.tobytes() for k in keys], "los": [x.tobytes() for x in los]}).astype({"key": "Int64", "start": "Int32", "n": "Int32"})
         key, start, n = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-        for i, stretches in enumerate(_resolve(strings, [len(k) for k in keys], prefix, anchor)):
+        windows = [len(s) - WINDOW + 1 for s in strings]
+        uses = [len(k) for k in keys]
+        found = [[(0, w)] if u > 1 else [] for u, w in zip(uses, windows)] if heavy else _resolve(strings, uses, prefix, anchor)
+        for i, stretches in enumerate(found):
             for a, length in stretches:
                 key.append(keys[i])
-                start.append(los[i] + a)
-                n.append(np.full(len(keys[i]), length, np.int32))
-        return pd.DataFrame({"key": np.concatenate(key), "start": np.concatenate(start).astype(np.int32), "n": np.concatenate(n), "hashes": None, "uses": 0, "keys": None, "los": None})
+                start.append(los[i] + np.int32(a))
+                n.append(np.full(uses[i], length, np.int32))
+        ranges = pd.DataFrame({"key": np.concatenate(key), "start": np.concatenate(start), "n": np.concatenate(n)}).astype("Int64")
+        if not heavy:
+            return ranges.assign(hashes=None, uses=0)
+        counted = pd.DataFrame({
+            "key": pd.array([int(k[0]) if len(k) == 1 else None for k in keys], "Int64"),
+            "start": pd.array([int(x[0]) if len(x) == 1 else None for x in los], "Int64"),
+            "n": pd.array(windows, "Int64"),
+            "hashes": [b"".join(xxhash.xxh3_128_digest(s[j : j + WINDOW]) for j in range(w)) for s, w in zip(strings, windows)],
+            "uses": uses,
+        })
+        return pd.concat([ranges.assign(hashes=None, uses=0), counted], ignore_index=True)
+
 
     return runs.groupBy("bucket", "heavy").applyInPandas(one, _FOUND)
 
 
 def heavy_stretches(found: DataFrame) -> DataFrame:
     """``key, start, n`` of the repeated windows of heavy suffixes."""
-    rows = written(found.where("hashes is not null").select(F.monotonically_increasing_id().alias("suffix"), "hashes", "uses", "keys", "los"), "heavy")
-    size = F.octet_length("hashes") / 16
-    windows = rows.select("suffix", "uses", "hashes", F.explode(F.sequence(F.lit(0), size.cast("int") - 1)).alias("at"))
+    rows = written(found.where("hashes is not null").select(F.monotonically_increasing_id().alias("suffix"), "key", "start", "n", "hashes", "uses"), "heavy")
+    windows = rows.select("suffix", "uses", "hashes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     windows = windows.select("suffix", "uses", "at", F.substring("hashes", F.col("at") * 16 + 1, F.lit(16)).alias("hash"))
     # A window that occurs once is in one row, which the group itself names; what is repeated never has to be joined back.
     once = windows.groupBy("hash").agg(F.sum("uses").alias("n"), F.min("suffix").alias("suffix"), F.min("at").alias("at")).where("n = 1")
@@ -343,15 +354,15 @@ def heavy_stretches(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for keys, los, size, alone in zip(*(c.to_pylist() for c in b.columns)):
-                keys, los = np.frombuffer(keys, np.int64), np.frombuffer(los, np.int32)
+            out = []
+            for key, start, size, alone in zip(*(c.to_pylist() for c in b.columns)):
                 flags = np.ones(size, bool)
                 flags[alone or []] = False
-                for a, length in _ranges(flags):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(los + np.int32(a)), pa.array(np.full(len(keys), length, np.int32))], names=["key", "start", "n"])
+                out += [(key, start + a, length) for a, length in _ranges(flags)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["key", "start", "n"])
 
-    found = rows.select("suffix", "keys", "los", size.cast("int").alias("size")).join(single, "suffix", "left")
-    return found.select("keys", "los", "size", "single").mapInArrow(run, "key long, start int, n int")
+    found = rows.where("uses = 1").select("suffix", "key", "start", "n").join(single, "suffix", "left")
+    return found.select("key", "start", "n", "single").mapInArrow(run, "key long, start int, n int")
 
 
 def repeated_windows(rows: DataFrame, light: int = LIGHT, merge_size: int = MERGE) -> DataFrame:
