@@ -284,16 +284,19 @@ def _resolve(strings: list[bytes], uses: list[int], prefix: list[int], anchor: l
     return out
 
 
-_FOUND = "key long, start int, n int, hashes binary, uses long"
+#: What a row of ``merge`` is.
+REPEATED, SINGLE, COUNTED = range(3)
+_FOUND = "kind int, key long, start int, n int, high long, low long, uses long"
 
 
 def merge(runs: DataFrame) -> DataFrame:
     """Merges the runs of each bucket.
 
-    ``key, start, n``: n windows from ``start`` on repeat.  A heavy suffix that
-    occurs more than once is decided by that; each distinct one also gives a
-    row with the ``hashes`` of its windows and the number of its ``uses``, and
-    its place if it has only one.
+    REPEATED rows: n windows from ``start`` of text ``key`` on repeat.  A heavy
+    suffix that occurs more than once is decided by that; one that occurs once
+    gives a SINGLE row of n windows.  Each window of each distinct heavy
+    suffix gives a COUNTED row with its 128-bit hash, the ``uses`` of the suffix
+    and its place, which means something if there is one use.
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -327,17 +330,21 @@ def merge(runs: DataFrame) -> DataFrame:
                 key.append(keys[i])
                 start.append(los[i] + np.int32(a))
                 n.append(np.full(uses[i], length, np.int32))
-        ranges = pd.DataFrame({"key": np.concatenate(key), "start": np.concatenate(start), "n": np.concatenate(n)}).astype("Int64")
+        key, start, n = np.concatenate(key), np.concatenate(start), np.concatenate(n)
+        ranges = pd.DataFrame({"kind": REPEATED, "key": key, "start": start, "n": n, "high": 0, "low": 0, "uses": 0})
         if not heavy:
-            return ranges.assign(hashes=None, uses=0)
+            return ranges
+        first, at = np.array([k[0] for k in keys]), np.array([x[0] for x in los])
+        sizes, uses = np.array(windows), np.array(uses)
+        once = uses == 1
+        single = pd.DataFrame({"kind": SINGLE, "key": first[once], "start": at[once], "n": sizes[once], "high": 0, "low": 0, "uses": 1})
+        hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[j : j + WINDOW]) for s, w in zip(strings, windows) for j in range(w)), "<i8").reshape(-1, 2)
+        each = np.repeat(np.arange(len(sizes)), sizes)
         counted = pd.DataFrame({
-            "key": pd.array([int(k[0]) if len(k) == 1 else None for k in keys], "Int64"),
-            "start": pd.array([int(x[0]) if len(x) == 1 else None for x in los], "Int64"),
-            "n": pd.array(windows, "Int64"),
-            "hashes": [b"".join(xxhash.xxh3_128_digest(s[j : j + WINDOW]) for j in range(w)) for s, w in zip(strings, windows)],
-            "uses": uses,
+            "kind": COUNTED, "key": first[each], "start": at[each], "n": np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes),
+            "high": hashes[:, 0], "low": hashes[:, 1], "uses": uses[each],
         })
-        return pd.concat([ranges.assign(hashes=None, uses=0), counted], ignore_index=True)
+        return pd.concat([ranges, single, counted], ignore_index=True)
 
 
     return runs.groupBy("bucket", "heavy").applyInPandas(one, _FOUND)
@@ -345,12 +352,11 @@ def merge(runs: DataFrame) -> DataFrame:
 
 def heavy_stretches(found: DataFrame) -> DataFrame:
     """``key, start, n`` of the repeated windows of heavy suffixes."""
-    rows = written(found.where("hashes is not null").select(F.monotonically_increasing_id().alias("suffix"), "key", "start", "n", "hashes", "uses"), "heavy")
-    windows = rows.select("suffix", "uses", "hashes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    windows = windows.select("suffix", "uses", "at", F.substring("hashes", F.col("at") * 16 + 1, F.lit(16)).alias("hash"))
     # A window that occurs once is in one row, which the group itself names; what is repeated never has to be joined back.
-    once = windows.groupBy("hash").agg(F.sum("uses").alias("n"), F.min("suffix").alias("suffix"), F.min("at").alias("at")).where("n = 1")
-    single = once.groupBy("suffix").agg(F.collect_list("at").alias("single"))
+    windows = found.where(F.col("kind") == COUNTED)
+    once = windows.groupBy("high", "low").agg(F.sum("uses").alias("uses"), F.min(F.struct("key", "start", "n")).alias("w")).where("uses = 1")
+    single = once.groupBy(F.col("w.key").alias("key"), F.col("w.start").alias("start")).agg(F.collect_list("w.n").alias("single"))
+    suffixes = found.where(F.col("kind") == SINGLE).select("key", "start", "n")
 
     def run(batches):
         for b in batches:
@@ -361,8 +367,8 @@ def heavy_stretches(found: DataFrame) -> DataFrame:
                 out += [(key, start + a, length) for a, length in _ranges(flags)]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["key", "start", "n"])
 
-    found = rows.where("uses = 1").select("suffix", "key", "start", "n").join(single, "suffix", "left")
-    return found.select("key", "start", "n", "single").mapInArrow(run, "key long, start int, n int")
+    rows = suffixes.join(single, ["key", "start"], "left")
+    return rows.select("key", "start", "n", "single").mapInArrow(run, "key long, start int, n int")
 
 
 def repeated_windows(rows: DataFrame, light: int = LIGHT, merge_size: int = MERGE) -> DataFrame:
@@ -374,7 +380,7 @@ def repeated_windows(rows: DataFrame, light: int = LIGHT, merge_size: int = MERG
     marks = anchors(rows).join(grams, "gram").select("key", mark).groupBy("key").agg(F.collect_set("mark").alias("marks"))
     runs = sorted_runs(rows.join(marks, "key").select("key", "body", "marks"), parts)
     found = written(merge(runs), "merged")
-    return found.where("hashes is null").select("key", "start", "n").union(heavy_stretches(found))
+    return found.where(F.col("kind") == REPEATED).select("key", "start", "n").union(heavy_stretches(found))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False, light: int = LIGHT, merge_size: int = MERGE) -> DataFrame:
