@@ -198,7 +198,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fit = [d for i, d in enumerate(data) if i % CALIBRATE]
     rest = [d for i, d in enumerate(data) if not i % CALIBRATE]
     w = fit_ftrl([v for v, _ in fit], [y for _, y in fit], max(1, len(languages)))
-    scores = np.array([v @ w[at] + w[-1] for (at, v), _ in rest]).reshape(len(rest), -1)
+    scores = np.array([v @ w[at] + w[-1] for (at, v), _ in rest]).reshape(len(rest), max(1, len(languages)))
     temperature = fit_temperature(scores, np.array([y for _, y in rest], np.int64))
     sent = spark.sparkContext.broadcast((idf, w, temperature, languages))
 
