@@ -20,16 +20,16 @@ from ..functions import text as T
 # ------------------------------------------------------------------ loading
 def load_examples(
     examples: DataFrame,
-    max_file_kb: int = fixed.DEFAULT_MAX_FILE_KB,
+    max_file_kb: int | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """``path, label, n_bytes, tokens, n_tokens`` from ``path, label, text, n_bytes``.
 
-    Patches over ``max_file_kb`` KB are skipped (inclusive limit); content
-    must begin with ``@@`` (``strict`` raises, otherwise such rows are
-    flagged ``ok_start = false`` and kept out).
+    Content must begin with ``@@``: ``strict`` raises, otherwise such rows are
+    left out.  No size limit unless ``max_file_kb`` (inclusive) is given;
+    ``load_report`` counts what either rule leaves out.
     """
-    df = examples.where(F.col("n_bytes") <= max_file_kb * 1024)
+    df = examples if max_file_kb is None else examples.where(F.col("n_bytes") <= max_file_kb * 1024)
     starts = F.col("text").startswith(fixed.HUNK_PREFIX)
     if strict:
         df = df.withColumn(
@@ -46,6 +46,17 @@ def load_examples(
     )
 
 
+def load_report(examples: DataFrame, max_file_kb: int | None = None) -> DataFrame:
+    """One row: ``n_loaded, n_too_large, n_bad_start`` of what ``load_examples`` does with the same limit."""
+    large = F.lit(False) if max_file_kb is None else F.col("n_bytes") > max_file_kb * 1024
+    starts = F.col("text").startswith(fixed.HUNK_PREFIX)
+    return examples.agg(
+        F.count_if(~large & starts).cast("long").alias("n_loaded"),
+        F.count_if(large).cast("long").alias("n_too_large"),
+        F.count_if(~large & ~starts).cast("long").alias("n_bad_start"),
+    )
+
+
 def join_tokens(tokens: Column | str) -> Column:
     return F.array_join(tokens if isinstance(tokens, Column) else F.col(tokens), " ")
 
@@ -136,39 +147,77 @@ def balance_classes(df: DataFrame, key: str = "path", label: str = "label",
     return df
 
 
-def split_dataset(examples: DataFrame, key: str = "path", seed: int | str = fixed.DEFAULT_SEED) -> DataFrame:
-    """``split`` in validation / train / test, as in the hold-out -> balance -> 80/20 flow.
+def first_by_hash(df: DataFrame, n: int, key: str, seed: int | str, digits: int = 3) -> Column:
+    """True for the first ``n`` rows of ``df`` in the order of ``(md5(seed:key), key)``, as a row-local test.
+
+    A histogram over the hash prefix (16**digits rows at most reach the
+    driver) names the bucket in which the n-th row lies; only that bucket is
+    ranked, to find the row itself.  Nothing else is sorted or exchanged.
+    """
+    h = T.seeded_hash(seed, key)
+    if n <= 0:
+        return F.lit(False)
+    bucket = F.substring(h, 1, digits)
+    left = n
+    for b, size in sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if left <= size:
+            break
+        left -= size
+    else:
+        return F.lit(True)
+    ranked = df.where(bucket == b).select(h.alias("h"), F.col(key).alias("k")).withColumn(
+        "r", F.row_number().over(Window.orderBy("h", "k"))
+    )
+    last = ranked.where(F.col("r") == left).first()
+    return (h < last["h"]) | ((h == last["h"]) & (F.col(key) <= F.lit(last["k"])))
+
+
+def split_dataset(examples: DataFrame, key: str = "path", seed: int | str = fixed.DEFAULT_SEED,
+                  balance: bool = True, label: str = "label") -> DataFrame:
+    """``examples`` with ``split``: validation, train, test or unused.
 
     Validation is the first tenth of the seeded order (taken before
     balancing); the rest is balanced, re-ordered with a second seed, and
-    split 80 / 20.  Driver work is limited to three counts.
+    split 80 / 20.  Rows that balancing leaves out stay, as ``unused``;
+    ``balance=False`` keeps them all.  Every row is placed by comparing its own
+    hash with a few cuts, so no row is sorted or exchanged and the tokens are
+    never cached; ``key`` and ``label`` alone are, while the cuts are found.
     """
-    examples = cache_dataset(examples)
-    n = examples.count()
-    # The ranked rows feed the class counts, the balancing and the hold-out.
-    ranked = seeded_rank(examples, key, seed).persist()
-    validation, rest = holdout_take_skip(ranked, n)
-    balanced = cache_dataset(balance_classes(rest.drop("rank"), key, seed=seed))
-    m = balanced.count()
-    reranked = seeded_rank(balanced, key, f"{seed}:order")
-    train, test = train_test_split(reranked, m)
-    return (
-        validation.withColumn("split", F.lit("validation"))
-        .unionByName(train.withColumn("split", F.lit("train")))
-        .unionByName(test.withColumn("split", F.lit("test")))
+    keys = examples.select(key, label).persist()
+    try:
+        is_validation = first_by_hash(keys, keys.count() // fixed.HOLDOUT_DIVISOR, key, seed)
+        rest = keys.where(~is_validation)
+        kept = F.lit(True)
+        counts = class_counts(rest, label).first()
+        n_yes, n_no = counts["n_yes"], counts["n_no"]
+        if balance and (n_yes > n_no * fixed.BALANCE_TOLERANCE or n_no > n_yes * fixed.BALANCE_TOLERANCE):
+            least, kept = min(n_yes, n_no), F.lit(False)
+            for value in (0, 1):
+                cut = first_by_hash(rest.where(F.col(label) == value), least, key, f"{seed}:balance")
+                kept = kept | ((F.col(label) == value) & cut)
+        used = rest.where(kept)
+        num, den = fixed.TRAIN_FRACTION
+        is_train = first_by_hash(used, int(used.count() / den * num), key, f"{seed}:order")
+    finally:
+        keys.unpersist()
+    return examples.withColumn(
+        "split",
+        F.when(is_validation, "validation").when(~kept, "unused").when(is_train, "train").otherwise("test"),
     )
 
 
 def split_fingerprint(splits: DataFrame, key: str = "path") -> DataFrame:
-    """Order-free fingerprint of a split assignment: one row ``n_rows, fingerprint``."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key), F.col("split"))), 1, 12), 16, 10).cast("long")
-    return splits.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("long").alias("fingerprint"))
+    """Order-free fingerprint of a split assignment: one row ``n_rows, fingerprint`` (a decimal number as text)."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key), F.col("split"))), 1, 12), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return splits.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("fingerprint"))
 
 
 def stability_check(make_splits) -> DataFrame:
-    """Evaluate the split twice and compare order-free fingerprints.
+    """Evaluate the split twice, from the start, and compare order-free fingerprints.
 
-    One row: ``n_rows, fingerprint, stable``.
+    One row: ``n_rows, fingerprint, stable``.  ``split_dataset`` leaves nothing
+    cached, so the second evaluation is not answered from the first.
     """
     a = split_fingerprint(make_splits()).withColumn("run", F.lit(1))
     b = split_fingerprint(make_splits()).withColumn("run", F.lit(2))

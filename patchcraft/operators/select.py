@@ -41,33 +41,38 @@ def select_by_verdict(patches: DataFrame, verdicts: DataFrame) -> DataFrame:
 def presumed_negatives(
     patches: DataFrame,
     verdicts: DataFrame,
-    max_bytes: int = fixed.PRESUMED_NEGATIVE_MAX_BYTES,
-    n: int = fixed.PRESUMED_NEGATIVE_COUNT,
+    max_bytes: int | None = None,
+    n: int | None = None,
     exclude: tuple[str, ...] = ("y",),
     buckets: int = 1024,
 ) -> DataFrame:
-    """Per repository, the first ``n`` patches (by id) of at most ``max_bytes``
-    whose verdict is not in ``exclude``; they are presumed negatives (label 0).
-
-    Exact top-n per repository in two steps so a repository holding a third
-    of all patches is not ranked in one task: the top ``n`` inside each
-    ``(repo, hash bucket)``, then the top ``n`` of those candidates
-    (at most ``n x buckets`` rows per repository).  More buckets split a hot
-    repository finer at the cost of a larger second step.
+    """Patches whose verdict is not in ``exclude``: presumed negatives (label 0).
+
+    ``max_bytes`` keeps small patches only and ``n`` the first n by id of each
+    repository; neither limits anything unless given.  The exact top-n ranks
+    keys, never texts, in two steps, so a repository holding a third of all
+    patches is not ranked in one task: inside each ``(repo, hash bucket)``,
+    then among those candidates (at most ``n x buckets`` keys a repository).
     """
     excluded = verdicts.where(F.col("verdict").isin(*exclude)).select(*KEY)
-    small = patches.where(F.col("n_bytes") <= max_bytes).join(excluded, KEY, "left_anti")
-    b = small.withColumn("_bucket", F.abs(F.hash("patch_id")) % buckets)
-    w1 = Window.partitionBy("repo", "_bucket").orderBy("patch_id")
-    cand = b.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_bucket")
-    w2 = Window.partitionBy("repo").orderBy("patch_id")
-    return cand.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_r").withColumn(
-        "label", F.lit(0)
-    )
+    small = patches if max_bytes is None else patches.where(F.col("n_bytes") <= max_bytes)
+    found = small.join(excluded, KEY, "left_anti")
+    if n is not None:
+        keys = found.select(*KEY, F.pmod(F.hash("patch_id"), F.lit(buckets)).alias("_bucket"))
+        w1 = Window.partitionBy("repo", "_bucket").orderBy("patch_id")
+        keys = keys.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).select(*KEY)
+        w2 = Window.partitionBy("repo").orderBy("patch_id")
+        keys = keys.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).select(*KEY)
+        found = found.join(keys, KEY, "left_semi")
+    return found.withColumn("label", F.lit(0))
 
 
 def select_examples(patches: DataFrame, verdicts: DataFrame, **kw) -> DataFrame:
-    """Verdict-selected examples united with presumed negatives (``origin`` tells which)."""
+    """Verdict-selected examples united with presumed negatives (``origin`` tells which).
+
+    A patch with a ``y`` or ``n`` verdict is never presumed as well, so no
+    patch comes out twice.
+    """
     a = select_by_verdict(patches, verdicts).withColumn("origin", F.lit("verdict"))
-    b = presumed_negatives(patches, verdicts, **kw).withColumn("origin", F.lit("presumed"))
+    b = presumed_negatives(patches, verdicts, **{"exclude": ("y", "n")} | kw).withColumn("origin", F.lit("presumed"))
     return a.unionByName(b)

@@ -61,6 +61,7 @@ def q_verdict_counts(spark, sf):
 
 TRUNCATE_AT = 80
 SPAWN_COPIES = 10
+LIMIT_N = 20
 
 
 def adapter_examples(spark, sf):
@@ -309,13 +310,8 @@ def q_top_k(spark, sf):
 
 @query("token_ids")
 def q_token_ids(spark, sf):
-    # One materialisation of the loaded examples feeds the length, the
-    # vocabulary and the encoding.
-    l = loaded(spark, sf).persist()
-    length = D.max_sequence_length(l).first()[0]
-    g = l.select("path", TK.ngrams("tokens", 2).alias("tokens"))
-    vocab = TK.top_k_tokens(TK.token_frequency(g))
-    ids = TK.token_ids(g, vocab, length)
+    g = loaded(spark, sf).select("path", TK.ngrams("tokens", 2).alias("tokens"))
+    ids = TK.token_ids(g, TK.top_k_tokens(TK.token_frequency(g)))
     return ids.select("path", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"),
                       F.size("ids").cast("long").alias("n_ids"), "n_unknown")
 
@@ -359,7 +355,7 @@ def q_split(spark, sf):
 
 @query("train_test_split")
 def q_train_test(spark, sf):
-    return D.split_dataset(loaded(spark, sf)).where("split <> 'validation'").select("path", "split")
+    return D.split_dataset(loaded(spark, sf)).where("split in ('train', 'test')").select("path", "split")
 
 
 @query("stability_check")
@@ -545,8 +541,15 @@ def q_join_tokens(spark, sf):
 
 @query("limit_n")
 def q_limit_n(spark, sf):
-    """Presumed negatives capped at 1,000 per repository (the cap is the feature)."""
-    return S.presumed_negatives(adapter_patches(spark, sf), verdicts(spark, sf)).select("repo", "patch_id", "label")
+    """The first LIMIT_N presumed negatives of at most 5 KB per repository (the limits are the feature)."""
+    found = S.presumed_negatives(adapter_patches(spark, sf), verdicts(spark, sf), max_bytes=5 * 1024, n=LIMIT_N)
+    return found.select("repo", "patch_id", "label")
+
+
+@query("load_examples_capped")
+def q_load_capped(spark, sf):
+    """What a limit of 10 KB would leave out (the limit is the feature)."""
+    return D.load_report(adapter_examples(spark, sf), max_file_kb=10)
 
 
 @query("accuracy")

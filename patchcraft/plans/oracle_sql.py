@@ -196,7 +196,7 @@ LOADED = f"""
 loaded AS (
   SELECT path, label, n_bytes,
          regexp_extract_all(regexp_replace(text, '{NUM}', '1', 'g'), '{TOKEN}', 1) AS tokens
-  FROM examples WHERE n_bytes <= 10240 AND starts_with(text, '@@')
+  FROM examples WHERE starts_with(text, '@@')
 )"""
 
 NGRAMS_EXPR = "list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))"
@@ -226,6 +226,8 @@ splits AS (
   FROM (SELECT path, label, len(tokens) AS n_tokens FROM ranked WHERE rk <= n_all // 10)
   UNION ALL
   SELECT path, label, len(tokens), CASE WHEN rk2 <= (4 * m) // 5 THEN 'train' ELSE 'test' END FROM ordered
+  UNION ALL
+  SELECT path, label, len(tokens), 'unused' FROM rest WHERE path NOT IN (SELECT path FROM balanced)
 ),
 rule_pred AS (
   SELECT path, label, CAST(n_tokens > 500 AS INTEGER) AS prediction FROM splits WHERE split = 'validation'
@@ -440,16 +442,14 @@ SELECT token, n, rank FROM (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rank
   FROM (SELECT t AS token, count(*) AS n FROM (SELECT {NGRAMS_EXPR} AS g FROM loaded), unnest(g) AS u(t) GROUP BY t))
 WHERE rank <= 19998""", P, EXAMPLES, LOADED),
-    "token_ids": _q(f"""
-SELECT ng.path, md5(array_to_string(list_concat(coalesce(a.ids, []), list_transform(range(coalesce(len(a.ids), 0), mx.L), lambda x: 0)), ',')) AS ids_md5,
-       CAST(mx.L AS BIGINT) AS n_ids, coalesce(a.n_unknown, 0) AS n_unknown
-FROM ng CROSS JOIN mx LEFT JOIN (
+    "token_ids": _q("""
+SELECT ng.path, md5(array_to_string(coalesce(a.ids, []), ',')) AS ids_md5, CAST(coalesce(len(a.ids), 0) AS BIGINT) AS n_ids,
+       coalesce(a.n_unknown, 0) AS n_unknown
+FROM ng LEFT JOIN (
   SELECT p.path, list(coalesce(v.id, 1) ORDER BY p.k) AS ids, count(*) FILTER (WHERE v.id IS NULL) AS n_unknown
   FROM (SELECT path, t, k FROM ng, unnest(g) WITH ORDINALITY AS u(t, k)) p
-  LEFT JOIN vocab_ids v ON p.t = v.token, mx
-  WHERE p.k <= mx.L GROUP BY p.path) a ON a.path = ng.path""", P, EXAMPLES, LOADED, f"""
+  LEFT JOIN vocab_ids v ON p.t = v.token GROUP BY p.path) a ON a.path = ng.path""", P, EXAMPLES, LOADED, f"""
 ng AS (SELECT path, {NGRAMS_EXPR} AS g FROM loaded),
-mx AS (SELECT max(len(tokens)) AS L FROM loaded),
 vocab_ids AS (
   SELECT token, rank + 1 AS id FROM (
     SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rank
@@ -470,7 +470,7 @@ FROM examples""", P, EXAMPLES),
     "holdout_take_skip": _q("SELECT path, CASE WHEN rk <= n_all // 10 THEN 'validation' ELSE 'rest' END AS split FROM ranked", P, EXAMPLES, LOADED, SPLITS),
     "balance_classes": _q("SELECT path, label FROM balanced", P, EXAMPLES, LOADED, SPLITS),
     "split_dataset": _q("SELECT path, label, split FROM splits", P, EXAMPLES, LOADED, SPLITS),
-    "train_test_split": _q("SELECT path, split FROM splits WHERE split <> 'validation'", P, EXAMPLES, LOADED, SPLITS),
+    "train_test_split": _q("SELECT path, split FROM splits WHERE split IN ('train', 'test')", P, EXAMPLES, LOADED, SPLITS),
     "confusion_matrix": _q("SELECT label, prediction, count(*) AS n FROM rule_pred GROUP BY ALL", P, EXAMPLES, LOADED, SPLITS),
     "error_rates": _q("""
 SELECT count(*) AS n, count(*) FILTER (WHERE label <> prediction) AS n_wrong,
@@ -503,22 +503,14 @@ WHERE word NOT IN (SELECT i.word FROM idents i JOIN templates t ON i.repo = t.re
     "select_by_verdict": _q("""
 SELECT repo, patch_id, CASE WHEN n_renames = 0 THEN 0 ELSE 1 END AS label FROM verdicts WHERE n_renames <= 2""", P, RENAME_LINES),
     "presumed_negatives": _q("""
-SELECT repo, patch_id FROM (
-  SELECT p.repo, p.patch_id, row_number() OVER (PARTITION BY p.repo ORDER BY p.patch_id) AS r
-  FROM patches p
-  WHERE strlen(p.text) <= 5120
-    AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2))
-WHERE r <= 1000""", P, RENAME_LINES),
+SELECT p.repo, p.patch_id FROM patches p
+WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2)""", P, RENAME_LINES),
     "size_filter": _q("SELECT repo, patch_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM patches WHERE strlen(text) <= 5120", P),
     "select_examples": _q("""
 SELECT repo, patch_id, CASE WHEN n_renames = 0 THEN 0 ELSE 1 END AS label, 'verdict' AS origin FROM verdicts WHERE n_renames <= 2
 UNION ALL
-SELECT repo, patch_id, 0, 'presumed' FROM (
-  SELECT p.repo, p.patch_id, row_number() OVER (PARTITION BY p.repo ORDER BY p.patch_id) AS r
-  FROM patches p
-  WHERE strlen(p.text) <= 5120
-    AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2))
-WHERE r <= 1000""", P, RENAME_LINES),
+SELECT p.repo, p.patch_id, 0, 'presumed' FROM patches p
+WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames <= 2)""", P, RENAME_LINES),
     "verdict_lines": _q("""
 SELECT repo, patch_id || '||' || CASE WHEN n_renames = 0 THEN 'n' WHEN n_renames <= 2 THEN 'y' ELSE 'skip' END
        || coalesce('|' || message, '') AS line FROM verdicts""", P, RENAME_LINES),
@@ -531,7 +523,15 @@ SELECT repo, patch_id, 0 AS label FROM (
   FROM patches p
   WHERE strlen(p.text) <= 5120
     AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.repo = p.repo AND v.patch_id = p.patch_id AND v.n_renames BETWEEN 1 AND 2))
-WHERE r <= 1000""", P, RENAME_LINES)
+WHERE r <= 20""", P, RENAME_LINES)
+ORACLES["load_examples_capped"] = _q("""
+SELECT count(*) FILTER (WHERE n_bytes <= 10240 AND starts_with(text, '@@')) AS n_loaded,
+       count(*) FILTER (WHERE n_bytes > 10240) AS n_too_large,
+       count(*) FILTER (WHERE n_bytes <= 10240 AND NOT starts_with(text, '@@')) AS n_bad_start
+FROM examples""", P, EXAMPLES)
+ORACLES["stability_check"] = _q("""
+SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(path || '|' || split), 1, 12) AS BIGINT)) AS VARCHAR) AS fingerprint, true AS stable
+FROM splits""", P, EXAMPLES, LOADED, SPLITS)
 ORACLES["accuracy"] = _q("""
 SELECT count(*) AS n, count(*) FILTER (WHERE label <> prediction) AS n_wrong,
        1.0 - (count(*) FILTER (WHERE label <> prediction))::DOUBLE / nullif(count(*), 0) AS accuracy

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..operators.select import parse_verdict_lines
 
 
+def decoded_path(col: str) -> Column:
+    """The path behind a file URL; a ``+`` in a name is a plus sign there, not a blank."""
+    return F.url_decode(F.replace(F.col(col), F.lit("+"), F.lit("%2B")))
+
+
 def scan_patches(
     spark: SparkSession,
     folder: str,
-    max_file_kb: int | None = fixed.DEFAULT_MAX_FILE_KB,
+    max_file_kb: int | None = None,
     recursive: bool = True,
 ) -> DataFrame:
     """Every ``*.diff`` file under ``folder`` as one row: ``path, repo, patch_id, label_dir, text, n_bytes``.
 
-    Names starting with ``.`` (and ``_``, Spark's own rule) are skipped; the
-    size limit is applied to file metadata, so over-size files are never
-    read.  ``repo`` and ``label_dir`` are the parent folder name.
+    Names starting with ``.`` (and ``_``, Spark's own rule) are skipped.  A
+    size limit, if given, is applied to file metadata, so over-size files are
+    never read.  ``repo`` and ``label_dir`` are the parent folder name.
     """
     reader = spark.read.option("pathGlobFilter", "*.diff")
     if recursive:
@@ -32,7 +36,7 @@ def scan_patches(
     )
     if max_file_kb is not None:
         df = df.where(F.col("n_bytes") <= max_file_kb * 1024)
-    parts = F.split(F.url_decode(F.col("path")), "/", -1)
+    parts = F.split(decoded_path("path"), "/", -1)
     name = F.element_at(parts, -1)
     return df.select(
         "path",
@@ -63,7 +67,7 @@ def label_from_path(df: DataFrame, folder_col: str = "label_dir") -> DataFrame:
 def read_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict exports (one folder per repository) -> ``repo, patch_id, verdict, message``."""
     lines = spark.read.text(folder).withColumn(
-        "repo", F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"repo=([^/]+)/", 1)
+        "repo", F.regexp_extract(decoded_path("_metadata.file_path"), r"repo=([^/]+)/", 1)
     )
     return parse_verdict_lines(lines)
 

@@ -17,19 +17,21 @@ from ..functions import fixed
 from ..functions import text as T
 
 
+#: A table of fewer bytes than this is spread over the cores; no larger one is moved.
+SPREAD_BELOW = 64 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a table; spread it when the files give fewer splits than cores.
+    """Read a table; a small one (under SPREAD_BELOW bytes, by Spark's own estimate) is spread over the cores.
 
-    A table stored as one large row group is scanned by a single task, and
-    the row-local work after it (regular expressions, array functions) would
-    then run on one core.  Such a scan is hash-repartitioned on its first
-    column (deterministic on retry) to the default parallelism.  A table of
-    many files, as at scale, already has enough splits and is read as is.
+    Such a table may be a single row group, which one task would scan and
+    process alone.  Larger tables have enough splits and are never exchanged
+    before their first operator.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, df.columns[0])
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD_BELOW:
+        df = df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
     return df
 
 

@@ -7,14 +7,14 @@ from patchcraft.operators import clean as C
 from patchcraft.operators import collect as CO
 
 NEW_FILE = (
-    "diff --git a/test/a/RegisteredTest.java b/test/a/RegisteredTest.java\n"
-    "new file mode 100644\nindex 0000000..8168e59\n--- /dev/null\n+++ b/test/a/RegisteredTest.java\n"
-    "@@ -0,0 +1,3 @@\n+/*\n+ * header\n+ */\n"
+    "diff --git a/app/Greeter.java b/app/Greeter.java\n"
+    "new file mode 100755\nindex 000..aaa\n--- /dev/null\n+++ b/app/Greeter.java\n"
+    "@@ -0,0 +1,2 @@\n+class Greeter {\n+}\n"
 )
 NO_HUNK_THEN_HUNK = (
-    "diff --git a/src/x/Token.java b/src/x/Token.java\nnew file mode 100644\nindex 0000000..e69de29\n"
-    "diff --git a/src/x/Loader.java b/src/x/Loader.java\nnew file mode 100644\nindex 0000000..09fd6a4\n"
-    "--- /dev/null\n+++ b/src/x/Loader.java\n@@ -0,0 +1,90 @@\n+/**"
+    "diff --git a/app/Empty.java b/app/Empty.java\ndeleted file mode 100644\nindex bbb..000\n"
+    "diff --git a/app/Full.java b/app/Full.java\nindex ccc..ddd 100644\n"
+    "--- a/app/Full.java\n+++ b/app/Full.java\n@@ -4 +4 @@ class Full\n-int x;"
 )
 MD_ONLY = "diff --git a/README.md b/README.md\nindex 1..2 100644\n--- a/README.md\n+++ b/README.md\n@@ -1 +1 @@\n-a\n+b\n"
 
@@ -30,7 +30,7 @@ def test_sections(spark):
     new = out["new"]["cleaned"]
     assert new.startswith("@@") and "+++" not in new and "---" not in new
     assert out["new"]["status"] == "trimmed" and out["new"]["lines_removed"] == 5
-    assert out["nohunk"]["cleaned"] == "@@ -0,0 +1,90 @@\n+/**"
+    assert out["nohunk"]["cleaned"] == "@@ -4 +4 @@ class Full\n-int x;"
     assert out["md"]["cleaned"] == "" and out["md"]["status"] == "deleted"
     assert out["plain"]["cleaned"] == "@@ -1 +1 @@\n-a\n+b\n" and out["plain"]["status"] == "unchanged"
     assert out["empty"]["status"] == "deleted"

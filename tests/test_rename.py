@@ -1,4 +1,4 @@
-"""Rename detection on inline patches: the situations of the original test cases plus own cases."""
+"""Rename detection on inline patches, one for each rule."""
 
 import pytest
 
@@ -6,38 +6,34 @@ from patchcraft.operators import rename as R
 
 # (patch_id, text, expected verdict or None for rejected, expected renames)
 CASES = [
-    ("catch rename-ex-e",
-     "@@ -9,8 +9,8 @@ class Scores {\n"
-     "             while (s.hasNext()) {\n"
-     "             }\n"
-     "-        } catch (IOException ex) {\n"
-     "+        } catch (IOException e) {\n"
-     "-            log(ex);\n"
-     "+            log(e);\n"
-     "         }\n"
-     "     }\n", "y", [("ex", "e")]),
-    ("multiline-b-a",
-     "@@ -2,10 +2,10 @@\n \n public class P {\n"
-     "-        int b = 10;\n+        int a = 10;\n"
-     "-        out(b * 2);\n+        out(a * 2);\n"
-     "-        out(b + 2);\n+        out(a + 2);\n"
-     "-        out(b ^ 2);\n+        out(a ^ 2);\n"
-     "-        out(b / 2);\n+        out(a / 2);\n"
-     "     }\n }\n", "y", [("b", "a")]),
-    ("package change",
-     "@@ -1,3 +1,3 @@\n import x.y;\n-import x.textsupport.Span;\n+import x.text.support.Span;\n \n"
-     "@@ -7,3 +7,3 @@\n */\n-package x.textsupport;\n+package x.text.support;\n \n", None, None),
-    ("add space",
-     "@@ -5,3 +5,3 @@\n         a.set(h);\n-        if(a.before(now)) {\n+        if (a.before(now) || a.equals(now)) {\n"
-     "             a.add(1);\n", None, None),
-    ("changed url",
-     "@@ -3,3 +3,3 @@\n\tint x = 0;\n-\tString U = \"http://a.example/v\";\n+\tString U = \"http://b.example.com/v.txt\";\n\tint y;\n",
-     None, None),
-    ("type name prose",
-     "@@ -1,4 +1,4 @@\n-    } catch (Throwable t) {\n+    } catch (RuntimeException e) {\n"
-     "-        f = \"failed (see logs)\";\n+        f = \"failed (cannot read status -- see logs)\";\n     }\n", None, None),
-    ("star import",
-     "@@ -1,3 +1,3 @@\n     a.add(\"c.t.core.*\");\n-    a.add(\"o.a.c.Base\");\n+    a.add(\"o.a.c.*\");\n \n", None, None),
+    # One name changed wherever it stands in two pairs, with context around and between them.
+    ("loop variable",
+     "@@ -40,6 +40,6 @@\n   // print the queue\n"
+     "-  for (Job item : queue)\n+  for (Job task : queue)\n"
+     "   {\n"
+     "-    printer.send(item.title());\n+    printer.send(task.title());\n"
+     "   }\n", "y", [("item", "task")]),
+    # The same rename in many pairs counts once.
+    ("many uses",
+     "@@ -1,4 +1,4 @@\n"
+     "-double w = read();\n+double width = read();\n"
+     "-area = w * w;\n+area = width * width;\n"
+     "-edge = 4 * w;\n+edge = 4 * width;\n"
+     " show(area, edge);\n", "y", [("w", "width")]),
+    # A changed package line rejects the patch, whatever else changes.
+    ("package line",
+     "@@ -1,2 +1,2 @@\n-package shop.cart;\n+package shop.basket;\n \n"
+     "@@ -8 +8 @@\n-Cart c;\n+Cart d;\n", None, None),
+    # Code added to a line is no rename.
+    ("longer condition", "@@ -3 +3 @@\n-while (ready) step();\n+while (ready && left > 0) step();\n", None, None),
+    # Words changed inside a literal with other delimiters.
+    ("literal", "@@ -3 +3 @@\n-ask(\"name? first\");\n+ask(\"name: first, last\");\n", None, None),
+    # A rename beside a line of prose that differs in length.
+    ("prose",
+     "@@ -5,2 +5,2 @@\n-Clock now = utc();\n+Clock here = utc();\n"
+     "-note = \"late\";\n+note = \"late by an hour, or more\";\n", None, None),
+    # An identifier against a sign.
+    ("wildcard", "@@ -2 +2 @@\n-import tools.Hammer;\n+import tools.*;\n", None, None),
     ("block", "@@ -1 +1 @@\n x\n-int b;\n-use(b);\n+int a;\n+use(a);\n y\n", "y", [("b", "a")]),
     ("block at end", "@@\n-int b;\n-use(b);\n+int a;\n+use(a);\n", "y", [("b", "a")]),
     ("conflict", "@@\n-x=b;\n+x=a;\n z\n-y=b;\n+y=c;\n", None, None),

@@ -23,12 +23,14 @@ def test_scan_patches_and_labels(spark):
     d = tempfile.mkdtemp(prefix="pc-scan-")
     _write(d, "yes/a b.diff", "@@\n-x\n+y\n")
     _write(d, "no/c.diff", "@@\n x\n")
+    _write(d, "no/a+b.diff", "@@\n y\n")
     _write(d, "no/.hidden.diff", "@@\n")
     _write(d, "no/big.diff", "@@\n" + "x" * 3000)
     _write(d, "no/notes.txt", "ignored")
     df = FS.label_from_path(FS.scan_patches(spark, d, max_file_kb=2))
     got = sorted((r["patch_id"], r["label"], r["n_bytes"]) for r in df.collect())
-    assert got == [("a b", 1, 9), ("c", 0, 6)]
+    assert got == [("a b", 1, 9), ("a+b", 0, 6), ("c", 0, 6)]
+    assert FS.scan_patches(spark, d).where("patch_id = 'big'").count() == 1      # no limit unless given
 
 
 def test_verdict_round_trip(spark):
@@ -57,6 +59,9 @@ def test_selection(spark):
     assert sel == {("0", 1), ("1", 0)}
     neg = [r["patch_id"] for r in S.presumed_negatives(patches, verdicts, n=3).orderBy("patch_id").collect()]
     assert neg == ["1", "2", "3"]
+    assert S.presumed_negatives(patches, verdicts).count() == 9                  # no limit unless given
+    chosen = [r["patch_id"] for r in S.select_examples(patches, verdicts).collect()]
+    assert sorted(chosen) == [str(i) for i in range(10)]                         # none twice
 
 
 def test_stream_clean(spark):

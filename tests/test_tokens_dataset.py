@@ -55,7 +55,8 @@ def test_split_dataset_invariants(spark):
     assert len(paths) == len(set(paths))                      # disjoint
     val = [r for r in s if r["split"] == "validation"]
     assert len(val) == 300 // 10
-    rest = [r for r in s if r["split"] != "validation"]
+    assert len(s) == 300                                      # nothing is lost: what balancing leaves out is "unused"
+    rest = [r for r in s if r["split"] in ("train", "test")]
     assert sum(r["label"] for r in rest) * 2 == len(rest)     # balanced
     train = [r for r in rest if r["split"] == "train"]
     assert len(train) == int(len(rest) / 5 * 4)
@@ -63,6 +64,26 @@ def test_split_dataset_invariants(spark):
     assert st["stable"]
 
 
+def test_split_fingerprint_of_many_rows(spark):
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("path"), F.lit("train").alias("split"))
+    one = D.split_fingerprint(rows).first()
+    assert one["n_rows"] == 200_000 and int(one["fingerprint"]) > 2**63
+    assert D.split_fingerprint(rows.repartition(7)).first() == one
+
+
+def test_load_has_no_limit_unless_given(spark):
+    df = spark.createDataFrame([("a", 1, "@@ x", 20_000), ("b", 0, "@@ y", 5), ("c", 0, "no", 5)], "path string, label int, text string, n_bytes long")
+    assert D.load_examples(df).count() == 2 and D.load_examples(df, max_file_kb=10).count() == 1
+    assert tuple(D.load_report(df, max_file_kb=10).first()) == (1, 1, 1)
+
+
+def test_token_ids_keep_every_token_without_a_length(spark):
+    df = spark.createDataFrame([("p", ["a", "b"] * 50), ("e", [])], "path string, tokens array<string>")
+    vocab = TK.top_k_tokens(TK.token_frequency(df), k=1)
+    got = {r["path"]: (r["ids"], r["n_unknown"]) for r in TK.token_ids(df, vocab).collect()}
+    assert got == {"p": ([2, 1] * 50, 50), "e": ([], 0)}
+
+
 def test_top_k_and_token_ids(spark):
     df = spark.createDataFrame([("p1", ["a", "b", "a"]), ("p2", ["c", "a"]), ("p3", [])], "path string, tokens array<string>")
     vocab = TK.top_k_tokens(TK.token_frequency(df), k=2)
