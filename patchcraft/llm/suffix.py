@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,7 +240,7 @@ def sorted_runs(rows: DataFrame, parts: int) -> DataFrame:
                 uses = [strings[s][1:] for s in ordered]
                 flat = [u for us in uses for u in us]
                 out.append((
-                    bucket, is_heavy, np.array(shared, np.int32).tobytes(), np.array([len(x) for x in rest], np.int32).tobytes(), b"".join(rest),
+                    bucket, is_heavy, np.array(shared, np.int32).tobytes(), np.array([len(x) for x in rest], np.int32).tobytes(), zstandard.compress(b"".join(rest)),
                     np.array([strings[s][0] for s in ordered], np.int32).tobytes(), np.array([len(u) for u in uses], np.int32).tobytes(),
                     np.array([u[0] for u in flat], np.int64).tobytes(), np.array([u[1] for u in flat], np.int32).tobytes(),
                 ))
@@ -305,7 +306,8 @@ def merge(runs: DataFrame) -> DataFrame:
         for r in frame.itertuples(index=False):
             sizes = np.frombuffer(r.sizes, np.int32)
             ends = np.cumsum(sizes).tolist()
-            rest = [r.rest[a:z] for a, z in zip([0, *ends[:-1]], ends)]
+            whole = zstandard.decompress(r.rest)
+            rest = [whole[a:z] for a, z in zip([0, *ends[:-1]], ends)]
             coded.append((np.frombuffer(r.shared, np.int32).tolist(), rest))
             anchors_.append(np.frombuffer(r.anchor, np.int32).tolist())
             stops = np.cumsum(np.frombuffer(r.uses, np.int32)).tolist()
