@@ -2,11 +2,14 @@
 
 Plan: filter commits (single parent) and changes (Java, both paths) where
 they are read; aggregate changes per commit (partial aggregation before
-the shuffle); join with commits on ``commit_id`` reusing that partitioning.
+the shuffle); join with commits on ``repo, commit_id`` reusing that
+partitioning.  Forks share commit ids, so the repository is part of the key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +36,85 @@ def java_change_filter(changes: DataFrame) -> DataFrame:
     return changes.where(is_java_change() & (F.octet_length("patch") > 0))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _upto(text: Column, place: Column) -> Column:
+    return F.substr(text, F.lit(1), place - 1)
+
+
+def _joined_below(head: Column, line: Column, added: Column) -> Column:
+    """Old end without newline: the removed ``line`` is kept if a line of ``added``, the run to the end, is the same."""
+    same = F.instr(added, F.concat(F.lit("\n+"), line, F.lit("\n")))
+    kept = F.concat(head, _upto(added, same), F.lit("\n "), line, F.substr(added, same + F.length(line) + 2))
+    return F.when(same > 0, kept).otherwise(F.concat(head, F.lit("\n-"), line, added))
+
+
+def _joined_above(head: Column, line: Column) -> Column:
+    """New end without newline: the added ``line`` is kept if a line of the removed run above is the same.
+
+    Run ends are found on the reversed text, where a line's sign comes last.
+    """
+    other = F.regexp_instr(F.reverse(head), F.lit(r"(?dm)^[^\n]*[^-+\n]$"))
+    block_at = F.when(other > 0, F.length(head) - other + 2).otherwise(F.lit(1))
+
+    def in_block(at: Column) -> Column:
+        return _let(F.substr(head, at), lambda block: _let(F.instr(F.concat(block, F.lit("\n+")), F.lit("\n+")), lambda plus: moved(at, block, plus)))
+
+    def moved(at: Column, block: Column, plus: Column) -> Column:
+        removed = F.concat(_upto(block, plus), F.lit("\n"))
+        back = F.instr(F.reverse(removed), F.concat(F.lit("\n"), F.reverse(line), F.lit("-\n")))
+        same = F.length(removed) - back - F.length(line) - 1
+        kept = F.concat(
+            _upto(head, at), _upto(removed, same), F.substr(block, plus), F.lit("\n "), line,
+            F.substr(removed, same + F.length(line) + 2),
+        )
+        return F.when(back > 0, kept).otherwise(F.concat(head, F.lit("\n+"), line, F.lit("\n")))
+
+    return _let(block_at, in_block)
+
+
+def _without_marker(c: Column) -> Column:
+    """``c`` begins with a newline and has the marker."""
+    marker = "\n" + fixed.NO_EOF_NEWLINE_MARKER
+    at = F.instr(c, F.lit(marker))
+    further = F.regexp_replace(F.substr(c, at + len(marker)), r"\n" + fixed.NO_EOF_NEWLINE_MARKER.replace("\\", "\\\\"), "")
+    rest = F.when(further.endswith("\n"), further).otherwise(F.concat(further, F.lit("\n")))
+
+    def by_sign(before: Column, own: Column) -> Column:
+        head, line, sign = _upto(before, F.length(before) - F.length(own)), F.substr(own, F.lit(2)), F.substr(own, F.lit(1), F.lit(1))
+        return (
+            F.when(sign == "-", _let(rest, lambda added: _joined_below(head, line, added)))
+            .when(sign == "+", _let(head, lambda h: _joined_above(h, line)))
+            .otherwise(F.concat(before, rest))
+        )
+
+    return _let(_upto(c, at), lambda before: _let(F.substring_index(before, "\n", -1), lambda own: by_sign(before, own)))
+
+
+def _without_idle_hunk(t: Column) -> Column:
+    """``t`` without its first newline, and without its last hunk if nothing is changed there."""
+    back = F.instr(F.reverse(t), F.lit("- @@\n"))
+    last = F.length(t) - back - 3
+    idle = (back > 0) & ~F.substr(t, last).rlike(r"(?dm)^[-+]")
+    left = F.when(idle, _upto(t, last + 1)).otherwise(t)
+    return F.when(t.rlike(r"(?dm)^[-+]"), F.substr(left, F.lit(2))).otherwise(F.lit(""))
+
+
 def normalise_eof_newline(text: Column | str) -> Column:
     """Treat a missing newline at end of file as present.
 
-    Only text carrying the marker is touched: marker lines go, and a removed
-    line followed by the identical added line (the pair the marker caused)
-    goes too.  If no changed line is left the file contributes nothing.
+    Only text of one file that carries the marker is touched: markers go, and
+    the marker's own line, if the run on the other side has the same line, is no
+    change but a context line.  Pairs elsewhere stay.  The last hunk
+    goes if no changed line is left in it; with none left at all the file
+    contributes nothing.
     """
     c = F.col(text) if isinstance(text, str) else text
-    marker = "(?m)^" + fixed.NO_EOF_NEWLINE_MARKER.replace("\\", "\\\\") + r"(\n|\z)"
-    no_marker = F.regexp_replace(c, marker, "")
-    no_pair = F.regexp_replace(no_marker, r"(?m)^-([^\n]*)\n\+\1(\n|\z)", "")
-    recomputed = F.when(no_pair.rlike(r"(?m)^[-+]"), no_pair).otherwise(F.lit(""))
-    return F.when(F.instr(c, fixed.NO_EOF_NEWLINE_MARKER) > 0, recomputed).otherwise(c)
+    fixed_text = _let(_let(F.concat(F.lit("\n"), c), _without_marker), _without_idle_hunk)
+    return F.when(F.instr(c, fixed.NO_EOF_NEWLINE_MARKER) > 0, fixed_text).otherwise(c)
 
 
 def change_texts(changes: DataFrame) -> DataFrame:
@@ -59,23 +128,24 @@ def change_texts(changes: DataFrame) -> DataFrame:
 
 
 def assemble_commit_patch(changes: DataFrame) -> DataFrame:
-    """``commit_id, text, n_java``: the commit's Java patches in change order.
+    """``repo, commit_id, text, n_java``: the commit's Java patches in change order.
 
     A commit appears when it has at least one change that is not "Java with
     an empty patch"; with no Java change its text is empty.  Ties on ``ord``
-    are broken by path and text.
+    are broken by path and text.  The patch of a commit is one row, so it is
+    bound by what a row can hold (2 GB).
     """
     java = is_java_change()
     empty = F.octet_length("patch") == 0
     t = change_texts(changes)
     piece = F.when(java & ~empty, F.struct("ord", "a_path", "text"))
-    per_commit = t.groupBy("commit_id").agg(
+    per_commit = t.groupBy("repo", "commit_id").agg(
         F.bool_or(~(java & empty)).alias("_written"),
         F.collect_list(piece).alias("_pieces"),
     )
     ordered = F.array_sort("_pieces")
     return per_commit.where("_written").select(
-        "commit_id",
+        "repo", "commit_id",
         F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"),
         F.size("_pieces").cast("long").alias("n_java"),
     )
@@ -85,7 +155,7 @@ def collect_patches(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """``repo, commit_id, text, n_java, is_empty`` for single-parent commits."""
     patches = assemble_commit_patch(changes)
     kept = commit_filter(commits).select("repo", "commit_id")
-    out = kept.join(patches, "commit_id")
+    out = kept.join(patches, ["repo", "commit_id"])
     return out.select(
         "repo", "commit_id", "text", "n_java", (F.length("text") == 0).alias("is_empty")
     )

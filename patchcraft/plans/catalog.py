@@ -152,19 +152,19 @@ def q_commit_filter(spark, sf):
 
 @query("java_change_filter")
 def q_java_change_filter(spark, sf):
-    return CO.java_change_filter(adapter_changes(spark, sf)).select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path")
+    return CO.java_change_filter(adapter_changes(spark, sf)).select("repo", "commit_id", F.col("ord").cast("long").alias("ord"), "a_path")
 
 
 @query("decode_lenient")
 def q_decode(spark, sf):
     ch = adapter_changes(spark, sf)
-    return ch.select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path", T.decode_lenient("patch").alias("text"))
+    return ch.select("repo", "commit_id", F.col("ord").cast("long").alias("ord"), "a_path", T.decode_lenient("patch").alias("text"))
 
 
 @query("normalise_newlines")
 def q_newlines(spark, sf):
     ch = adapter_changes(spark, sf)
-    return ch.select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path",
+    return ch.select("repo", "commit_id", F.col("ord").cast("long").alias("ord"), "a_path",
                      T.normalise_newlines(T.decode_lenient("patch")).alias("text"))
 
 
@@ -172,7 +172,7 @@ def q_newlines(spark, sf):
 def q_eof(spark, sf):
     ch = adapter_changes(spark, sf)
     t = CO.normalise_eof_newline(T.normalise_newlines(T.decode_lenient("patch")))
-    return ch.select("commit_id", F.col("ord").cast("long").alias("ord"), "a_path", t.alias("text"))
+    return ch.select("repo", "commit_id", F.col("ord").cast("long").alias("ord"), "a_path", t.alias("text"))
 
 
 @query("assemble_commit_patch")

@@ -260,42 +260,54 @@ templates AS (
 
 # ---- commits and changes straight from orders / lineitem
 COMMITS = """
-commits AS (
-  SELECT 'repo-' || substr(o_orderpriority, 1, 1) AS repo, md5(CAST(o_orderkey AS VARCHAR)) AS commit_id,
+order_commits AS (
+  SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS commit_id,
          CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 0
               WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 2
               WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END AS n_parents
   FROM orders
+),
+commits AS (
+  SELECT 'repo-' || (o_orderkey % 5) AS repo, commit_id, n_parents FROM order_commits
+  UNION ALL SELECT 'repo-fork', commit_id, n_parents FROM order_commits WHERE o_orderkey % 7 = 0
 )"""
 
 CHANGES = """
 changes AS (
-  SELECT md5(CAST(l_orderkey AS VARCHAR)) AS commit_id, CAST(l_linenumber AS BIGINT) AS ord,
+  SELECT repo, md5(CAST(l_orderkey AS VARCHAR)) AS commit_id, CAST(l_linenumber AS BIGINT) AS ord,
          CAST(l_quantity AS INTEGER) AS q, l_linestatus,
          CASE WHEN l_discount <> 0 THEN 'src/P' || l_partkey || CASE l_returnflag WHEN 'N' THEN '.java' WHEN 'A' THEN '.JAVA' ELSE '.md' END END AS a_path,
          l_discount <> 0 AND l_tax <> 0 AND l_returnflag IN ('N', 'A') AS is_java,
          CAST(l_quantity AS INTEGER) < 4 AS is_empty,
-         '-int v' || l_partkey || ' = ' || l_suppkey || ';' AS minus_line,
-         '+int v' || l_partkey || ' = ' || CASE WHEN CAST(l_quantity AS INTEGER) % 5 = 0 THEN l_suppkey ELSE l_linenumber END || ';' AS plus_line
-  FROM lineitem
+         variable || l_partkey || ' = ' || l_suppkey || ';' AS o,
+         variable || l_partkey || ' = ' || l_linenumber || ';' AS n
+  FROM (SELECT *, 'repo-' || (l_orderkey % 5) AS repo, 'int v' AS variable FROM lineitem
+        UNION ALL SELECT *, 'repo-fork', 'int f' FROM lineitem WHERE l_orderkey % 7 = 0)
 ),
-change_text AS (
+change_lines AS (
   SELECT *,
-    CASE WHEN is_empty THEN '' ELSE
-      '@@ -1 +1 @@' || eol || minus_line || eol ||
-      CASE WHEN q % 5 = 0 THEN '\\ No newline at end of file' || eol ELSE '' END || plus_line || eol END AS raw_text,
-    CASE WHEN is_empty THEN '' ELSE
-      '@@ -1 +1 @@' || chr(10) || minus_line || chr(10) ||
-      CASE WHEN q % 5 = 0 THEN '\\ No newline at end of file' || chr(10) ELSE '' END || plus_line || chr(10) END AS lf_text,
-    CASE WHEN is_empty OR q % 5 = 0 THEN '' ELSE
-      '@@ -1 +1 @@' || chr(10) || minus_line || chr(10) || plus_line || chr(10) END AS fixed_text
-  FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN chr(13) || chr(10) ELSE chr(10) END AS eol FROM changes)
+    CASE WHEN is_empty THEN ''
+         WHEN q % 5 <> 0 THEN '@@ -1 +1 @@~-' || o || '~+' || n || '~'
+         WHEN q % 3 = 1 THEN '@@ -1 +1 @@~-' || o || '~\\ No newline at end of file~+' || o || '~'
+         WHEN q % 3 = 2 THEN '@@ -1 +1 @@~-' || n || '~-' || o || '~\\ No newline at end of file~+int y;~+' || o || '~'
+         ELSE '@@ -1 +1 @@~-' || n || '~+' || n || '~@@ -1 +1 @@~-int z;~+' || o || '~\\ No newline at end of file~' END AS given,
+    CASE WHEN is_empty THEN ''
+         WHEN q % 5 <> 0 THEN '@@ -1 +1 @@~-' || o || '~+' || n || '~'
+         WHEN q % 3 = 1 THEN ''
+         WHEN q % 3 = 2 THEN '@@ -1 +1 @@~-' || n || '~+int y;~ ' || o || '~'
+         ELSE '@@ -1 +1 @@~-' || n || '~+' || n || '~@@ -1 +1 @@~-int z;~+' || o || '~' END AS wanted
+  FROM changes
+),
+change_text AS (
+  SELECT *, replace(given, '~', CASE WHEN l_linestatus = 'O' THEN chr(13) || chr(10) ELSE chr(10) END) AS raw_text,
+         replace(given, '~', chr(10)) AS lf_text, replace(wanted, '~', chr(10)) AS fixed_text
+  FROM change_lines
 ),
 assembled AS (
-  SELECT commit_id,
+  SELECT repo, commit_id,
          coalesce(string_agg(fixed_text, '' ORDER BY ord, a_path, fixed_text) FILTER (WHERE is_java AND NOT is_empty), '') AS text,
          count(*) FILTER (WHERE is_java AND NOT is_empty) AS n_java
-  FROM change_text GROUP BY commit_id
+  FROM change_text GROUP BY repo, commit_id
   HAVING bool_or(NOT (is_java AND is_empty))
 )"""
 
@@ -404,14 +416,14 @@ FROM chg2""", P, ALL_LINES),
     "balanced_filter": _q("SELECT repo, patch_id, n_minus AS n_removed, n_plus AS n_added, n_minus = n_plus AS balanced FROM pstats", P, ALL_LINES),
     "package_filter": _q("SELECT repo, patch_id, has_pkg AS has_package FROM pstats", P, ALL_LINES),
     "commit_filter": _q("SELECT repo, commit_id FROM commits WHERE n_parents = 1", COMMITS),
-    "java_change_filter": _q("SELECT commit_id, ord, a_path FROM changes WHERE is_java AND NOT is_empty", CHANGES),
-    "decode_lenient": _q("SELECT commit_id, ord, a_path, raw_text AS text FROM change_text", CHANGES),
-    "normalise_newlines": _q("SELECT commit_id, ord, a_path, lf_text AS text FROM change_text", CHANGES),
-    "normalise_eof_newline": _q("SELECT commit_id, ord, a_path, CASE WHEN q % 5 = 0 AND NOT is_empty THEN '' ELSE lf_text END AS text FROM change_text", CHANGES),
-    "assemble_commit_patch": _q("SELECT commit_id, text, n_java FROM assembled", CHANGES),
+    "java_change_filter": _q("SELECT repo, commit_id, ord, a_path FROM changes WHERE is_java AND NOT is_empty", CHANGES),
+    "decode_lenient": _q("SELECT repo, commit_id, ord, a_path, raw_text AS text FROM change_text", CHANGES),
+    "normalise_newlines": _q("SELECT repo, commit_id, ord, a_path, lf_text AS text FROM change_text", CHANGES),
+    "normalise_eof_newline": _q("SELECT repo, commit_id, ord, a_path, fixed_text AS text FROM change_text", CHANGES),
+    "assemble_commit_patch": _q("SELECT repo, commit_id, text, n_java FROM assembled", CHANGES),
     "collect_patches": _q("""
 SELECT c.repo, c.commit_id, a.text, a.n_java, a.text = '' AS is_empty
-FROM commits c JOIN assembled a ON c.commit_id = a.commit_id WHERE c.n_parents = 1""", COMMITS, CHANGES),
+FROM commits c JOIN assembled a ON c.repo = a.repo AND c.commit_id = a.commit_id WHERE c.n_parents = 1""", COMMITS, CHANGES),
     "java_sections": _q("SELECT patch_id, cleaned AS text FROM cleaned", COMBINED),
     "clean_patches": _q("""
 SELECT patch_id, cleaned, lines_removed,

@@ -178,10 +178,18 @@ def combined_from_documents(documents: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ commits
+def _repos(order_key: str) -> Column:
+    """One row for each repository with the commit of this order."""
+    k = F.col(order_key)
+    main = F.concat(F.lit("repo-"), (k % 5).cast("string"))
+    return F.explode(F.when(k % 7 == 0, F.array(main, F.lit("repo-fork"))).otherwise(F.array(main))).alias("repo")
+
+
 def commits_from_orders(orders: DataFrame) -> DataFrame:
-    """Orders as commits: repo from the priority, parents from status+priority.
+    """Orders as commits: repo from the key, parents from status+priority.
 
     Root commits (no parent), merges (two) and octopus merges (three) occur.
+    Every seventh order is also a commit, of the same id, of ``repo-fork``.
     Output: ``repo, commit_id, parents ARRAY<STRING>``.
     """
     k = F.col("o_orderkey")
@@ -193,7 +201,7 @@ def commits_from_orders(orders: DataFrame) -> DataFrame:
     )
     candidates = F.array(*[F.md5((k - i).cast("string")) for i in (1, 2, 3)])
     return orders.select(
-        F.concat(F.lit("repo-"), F.substring("o_orderpriority", 1, 1)).alias("repo"),
+        _repos("o_orderkey"),
         F.md5(k.cast("string")).alias("commit_id"),
         F.slice(candidates, 1, n_parents).alias("parents"),
     )
@@ -205,9 +213,12 @@ def changes_from_lineitem(lineitem: DataFrame) -> DataFrame:
     Path ``src/P<partkey>`` + ``.java`` (flag N), ``.JAVA`` (A) or ``.md`` (R);
     a new file has no old path (discount 0), a deleted one no new path (tax 0).
     Patches: empty when quantity < 4; CRLF line ends when line status is O;
-    a missing newline at end of file when quantity is a multiple of 5; one
-    invalid UTF-8 byte when quantity is a multiple of 7.
-    Output: ``commit_id, ord, a_path, b_path, patch BINARY``.
+    a missing newline at end of file when quantity is a multiple of 5, as the
+    only change (1 mod 3), below a run of other changes (2 mod 3) or
+    after a hunk whose removed and added line are the same (0 mod 3); one
+    invalid UTF-8 byte when quantity is a multiple of 7.  A fork changes other
+    names.
+    Output: ``repo, commit_id, ord, a_path, b_path, patch BINARY``.
     """
     q = F.col("l_quantity").cast("int")
     ext = (
@@ -216,18 +227,29 @@ def changes_from_lineitem(lineitem: DataFrame) -> DataFrame:
         .otherwise(".md")
     )
     path = F.concat(F.lit("src/P"), F.col("l_partkey").cast("string"), ext)
-    eol = F.when(F.col("l_linestatus") == "O", "\r\n").otherwise("\n")
-    body = F.concat(
-        F.lit("@@ -1 +1 @@"), eol,
-        F.lit("-int v"), F.col("l_partkey").cast("string"), F.lit(" = "), F.col("l_suppkey").cast("string"), F.lit(";"), eol,
-        F.when(q % 5 == 0, F.concat(F.lit(fixed.NO_EOF_NEWLINE_MARKER), eol)).otherwise(F.lit("")),
-        F.lit("+int v"), F.col("l_partkey").cast("string"), F.lit(" = "),
-        F.when(q % 5 == 0, F.col("l_suppkey")).otherwise(F.col("l_linenumber")).cast("string"),
-        F.lit(";"), eol,
+    name = F.concat(F.when(F.col("repo") == "repo-fork", "int f").otherwise("int v"), F.col("l_partkey").cast("string"), F.lit(" = "))
+    old = F.concat(name, F.col("l_suppkey").cast("string"), F.lit(";"))
+    new = F.concat(name, F.col("l_linenumber").cast("string"), F.lit(";"))
+    header, mark = F.lit("@@ -1 +1 @@"), F.lit(fixed.NO_EOF_NEWLINE_MARKER)
+
+    def signed(sign: str, line: Column) -> Column:
+        return F.concat(F.lit(sign), line)
+
+    alone = [header, signed("-", old), mark, signed("+", old)]
+    below = [header, signed("-", new), signed("-", old), mark, signed("+", F.lit("int y;")), signed("+", old)]
+    after = [header, signed("-", new), signed("+", new), header, signed("-", F.lit("int z;")), signed("+", old), mark]
+    lines = (
+        F.when(q % 5 != 0, F.array(header, signed("-", old), signed("+", new)))
+        .when(q % 3 == 1, F.array(*alone))
+        .when(q % 3 == 2, F.array(*below))
+        .otherwise(F.array(*after))
     )
+    body = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+    body = F.when(F.col("l_linestatus") == "O", F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body)
     raw = F.encode(F.when(q < 4, F.lit("")).otherwise(body), "UTF-8")
     patch = F.when(q % 7 == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
-    return lineitem.select(
+    return lineitem.select("*", _repos("l_orderkey")).select(
+        "repo",
         F.md5(F.col("l_orderkey").cast("string")).alias("commit_id"),
         F.col("l_linenumber").cast("int").alias("ord"),
         F.when(F.col("l_discount") != 0, path).alias("a_path"),

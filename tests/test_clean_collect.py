@@ -68,6 +68,28 @@ def test_convert_encoding(spark):
     assert got["utf16"] == ("UTF-16LE", text, True)
 
 
+def test_convert_encoding_of_broken_bytes(spark):
+    pair = "a\U0001f600b"
+    rows = [
+        ("odd", bytearray(b"\xff\xfea\x00b")),
+        ("alone", bytearray(b"\xfe\xff\xd8\x3d\x00a")),
+        ("low first", bytearray(b"\xff\xfea\x00\x00\xdea\x00")),
+        ("bom8", bytearray(b"\xef\xbb\xbfok\xff!")),
+        ("good le", bytearray(b"\xff\xfe" + pair.encode("utf-16-le"))),
+        ("good be", bytearray(b"\xfe\xff" + pair.encode("utf-16-be"))),
+        ("good bom8", bytearray(b"\xef\xbb\xbf" + pair.encode())),
+        ("empty", bytearray(b"")),
+        ("none", None),
+    ]
+    df = C.convert_encoding(spark.createDataFrame(rows, "id string, raw binary"))
+    got = {r["id"]: (r["charset_used"], r["text_decoded"], r["converted"]) for r in df.collect()}
+    assert [got[i][0] for i in ("odd", "alone", "low first", "bom8")] == ["lenient"] * 4
+    assert got["odd"][1] == "a\0b" and got["bom8"][1] == "ok!"
+    assert got["good le"] == ("UTF-16LE", pair, True) and got["good be"] == ("UTF-16BE", pair, True)
+    assert got["good bom8"] == ("UTF-8-BOM", pair, True)
+    assert got["empty"] == ("UTF-8", "", False) and got["none"] == (None, None, None)
+
+
 def test_eof_newline(spark):
     marker = "\\ No newline at end of file"
     only_newline = f"@@ -1 +1 @@\n-last\n{marker}\n+last\n"
@@ -77,6 +99,47 @@ def test_eof_newline(spark):
     assert out == ["", "@@ -1 +1 @@\n-old\n+new\n"]
 
 
+def _eof(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    return [r["x"] for r in df.select("i", CO.normalise_eof_newline("t").alias("x")).orderBy("i").collect()]
+
+
+def test_eof_newline_in_runs(spark):
+    m = "\\ No newline at end of file"
+    at = "@@ -1 +1 @@"
+    cases = [
+        ([at, "-x", "-last", m, "+y", "+last"], [at, "-x", "+y", " last"]),
+        ([at, "-last", m, "+last", "+more"], [at, " last", "+more"]),
+        ([at, "-last", m, "+last", "+more", m], [at, " last", "+more"]),
+        ([at, " a", "-last", "-more", "+last", m], [at, " a", " last", "-more"]),
+        ([at, "-x", "-last", "-more", "+y", "+last", m], [at, "-x", "+y", " last", "-more"]),
+        ([at, " a", "-b", " c", m], [at, " a", "-b", " c"]),
+        ([at, "-same", "+same", at, "-z", "+last", m], [at, "-same", "+same", at, "-z", "+last"]),
+        ([at, "-z", "+w", at, " k", "-last", m, "+last"], [at, "-z", "+w"]),
+        ([at, "-last", " k", "+last", m], [at, "-last", " k", "+last"]),
+        ([at, "-", "+", m], None),
+    ]
+    got = _eof(spark, *["\n".join(given) + "\n" for given, _ in cases])
+    assert got == ["" if want is None else "\n".join(want) + "\n" for _, want in cases]
+
+
+def test_eof_newline_of_a_long_run(spark):
+    m = "\\ No newline at end of file"
+    minus, plus = [f"-a{i}" for i in range(20000)], [f"+b{i}" for i in range(20000)]
+    text = "\n".join(["@@ -1 +1 @@", *minus, "-last", *plus, "+last", m])
+    assert _eof(spark, text) == ["\n".join(["@@ -1 +1 @@", *minus, *plus, " last"]) + "\n"]
+
+
+def test_forks_with_the_same_commit_id(spark):
+    commits = spark.createDataFrame([("r", "c", ["p"]), ("fork", "c", ["p"])], "repo string, commit_id string, parents array<string>")
+    changes = spark.createDataFrame(
+        [(repo, "c", 1, "A.java", "A.java", bytearray(f"@@ -1 +1 @@\n-a\n+{repo}\n".encode())) for repo in ("r", "fork")],
+        "repo string, commit_id string, ord int, a_path string, b_path string, patch binary",
+    )
+    out = {r["repo"]: r["text"] for r in CO.collect_patches(commits, changes).collect()}
+    assert out == {"r": "@@ -1 +1 @@\n-a\n+r\n", "fork": "@@ -1 +1 @@\n-a\n+fork\n"}
+
+
 def test_collect_patches(spark):
     commits = spark.createDataFrame(
         [("r", "c1", ["p"]), ("r", "c2", []), ("r", "c3", ["p", "q"]), ("r", "c4", ["p"]), ("r", "c5", ["p"])],
@@ -92,8 +155,8 @@ def test_collect_patches(spark):
         ("c5", 1, "A.java", "A.java", b""),
     ]
     changes = spark.createDataFrame(
-        [(c, o, a, b, bytearray(p)) for c, o, a, b, p in ch],
-        "commit_id string, ord int, a_path string, b_path string, patch binary",
+        [("r", c, o, a, b, bytearray(p)) for c, o, a, b, p in ch],
+        "repo string, commit_id string, ord int, a_path string, b_path string, patch binary",
     )
     out = {r["commit_id"]: r for r in CO.collect_patches(commits, changes).collect()}
     assert set(out) == {"c1", "c4"}          # c2 root, c3 merge, c5 only an empty Java patch
