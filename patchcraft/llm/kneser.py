@@ -230,7 +230,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     bad = ~(F.col("quality").eqNullSafe(1) & ~F.col("toxic").eqNullSafe(1))
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc_id")).agg((F.max(bad.cast("int")) == 0).alias("trusted")).where("trusted")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    # Only the trusted share of the text is exchanged; all text is read where it lies.
+    # Unless the trusted ids are few enough to broadcast, this join exchanges all texts once; all other steps read text where it lies.
     counted = written(count_grams(rows.join(named, "doc_id", "left_semi"), order=order), "trusted_grams")
     asked = written(count_grams(rows, order=order).select("gram"), "grams")
     found = entropies(rows, probabilities(counted, asked, order), keep=("lang",), order=order)
