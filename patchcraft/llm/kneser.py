@@ -1,31 +1,48 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams (operator 3).
 
-The model counts n-grams of character classes in trusted documents (labelled
-of good quality and not toxic).  Counts are sharded by n-gram: each map task
-adds up its own n-grams before the exchange, and the joins that turn counts
-into probabilities are joins of such tables on n-grams or their contexts.  An
-order below the highest counts in how many contexts an n-gram occurs.
-
-There are CLASSES = 64 character classes, so there are at most 64**4 (16.8
-million) n-grams of the highest order and the table of those that the corpus
-holds has a proven bound (12 bytes an entry, 200 MB); it goes to the tasks,
-which look up every place of every document.  A document's score is its cross
-entropy in bits a character.  Junk lies on both sides of what trusted text has
-(symbols and capitals above, repetition below), so documents pass between a low
-and a high threshold.  Thresholds come from the trusted quantiles of the
-document's language and length, widened by ``slack`` times their spread.
+The model counts n-grams of characters, as they are, in trusted documents
+(labelled of good quality and not toxic).  A task reads documents in blocks of
+about BLOCK_CHARS characters; a block gives one row for each distinct n-gram,
+with its count in the block's trusted documents, and one for each document,
+with the places of its n-grams among the block's and how often it has each.
+Counts and probabilities are tables sharded by n-gram, as large as the corpus
+makes them: the joins that turn counts into probabilities are joins of such
+tables on n-grams or their contexts, and a block's n-grams get theirs by a
+join too.  The answers meet the block's documents in an exchange by block,
+where each document's sum is added up.  Nothing is broadcast or collected but
+four counts of counts an order.  An order below the highest counts in how many
+contexts an n-gram occurs.
+
+A document's score is its cross entropy in bits a character.  Junk lies on
+both sides of what trusted text has (symbols and capitals above, repetition
+below), so documents pass between a low and a high threshold.  Thresholds come
+from the trusted quantiles of the document's language and length, widened by
+``slack`` times their spread.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import type_of, written
 
 ORDER = 4
+#: Stands before a text's first character; a noncharacter.
+BEFORE = "\U0010ffff"
+#: Code points there are: what the lowest order falls back on.
+CODE_POINTS = 0x110000
+#: Characters a block has, about; a longer document is a block of its own.
+BLOCK_CHARS = 1 << 21
 CLASSES, BITS = 64, 6
 #: The class before a text's first character.
 START = 0
@@ -133,6 +150,20 @@ def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
     return _text_only(docs, text_col).mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+class Coding(NamedTuple):
+    """How n-grams are written: their first and last classes as columns, and how many classes there are."""
+
+    context: Callable[[int], Column]
+    suffix: Callable[[int], Column]
+    alphabet: int
+
+
+#: Numbers of BITS bits a class, the latest lowest, as count_grams has them.
+CODED = Coding(lambda k: F.shiftright("gram", BITS), lambda k: F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)), CLASSES)
+#: Strings of characters, as blocks have them.
+CHARACTERS = Coding(lambda k: F.substring("gram", 1, k - 1), lambda k: F.right("gram", F.lit(k)) if k else F.lit(""), CODE_POINTS)
+
+
 def _discounts(counts: DataFrame) -> list[float]:
     """D1, D2, D3+ of modified Kneser-Ney from the counts of counts 1 to 4 (four numbers for the driver)."""
     row = counts.agg(*[F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(1, 5)]).first()
@@ -143,7 +174,7 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) if n[k] else 0.5 * k for k in (1, 2, 3)]
 
 
-def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER, coding: Coding = CODED) -> DataFrame:
     """``gram, bits``: minus the binary logarithm of the probability, after its context, of each n-gram of ``asked``.
 
     ``counted`` holds the counts of the trusted text.  Each order joins the
@@ -152,7 +183,7 @@ def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER) -> D
     """
     counts, wanted = {order: counted}, {order: asked.select("gram")}
     for k in range(order - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("gram")
+        shorter = coding.suffix(k).alias("gram")
         # In how many contexts an n-gram one class longer has it.
         counts[k] = written(counts[k + 1].select(shorter).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), f"continuations{k}")
         wanted[k] = wanted[k + 1].select(shorter).distinct()
@@ -160,12 +191,12 @@ def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER) -> D
     for k in range(1, order + 1):
         d = _discounts(counts[k])
         off = F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-        context = F.shiftright("gram", BITS).alias("context")
+        context = coding.context(k).alias("context")
         contexts = counts[k].groupBy(context).agg(F.sum("c").alias("total"), F.sum(off).alias("spare"))
         rows = wanted[k].select("gram", context).join(counts[k].withColumn("off", off), "gram", "left").join(contexts, "context", "left")
-        rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)))
+        rows = rows.withColumn("suffix", coding.suffix(k - 1))
         if below is None:
-            rows = rows.withColumn("lower", F.lit(1.0 / CLASSES))
+            rows = rows.withColumn("lower", F.lit(1.0 / coding.alphabet))
         else:
             rows = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(
@@ -175,31 +206,120 @@ def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER) -> D
     return below.select("gram", (-F.log2("p")).alias("bits"))
 
 
-def entropies(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), order: int = ORDER) -> DataFrame:
-    """``doc_id, *keep, n_chars, entropy`` (bits a character; null without any) of every row, over whole texts."""
-    spark = docs.sparkSession
-    found = table.toArrow()  # CLASSES ** order entries at most
-    sent = spark.sparkContext.broadcast((found.column("gram").to_numpy().astype(np.uint32), found.column("bits").to_numpy().astype(np.float32)))
+def local_grams(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of all texts, and for each character of the texts, one after the other, the place there of the n-gram that ends at it."""
+    lead = order - 1
+    joined = "".join([BEFORE * lead + t for t in texts])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    present = np.zeros(CODE_POINTS, bool)
+    present[points] = True
+    letters = int(present.sum())
+    now = (np.cumsum(present, dtype=np.int32) - 1)[points].astype(np.int64)
+    key, span = now, letters
+    for _ in range(lead):
+        if span * letters >= 1 << 63:
+            key, found = pd.factorize(key)
+            span = len(found)
+        longer = now.copy()
+        longer[1:] += key[:-1] * letters
+        key, span = longer, span * letters
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + lead) - sizes
+    own = np.ones(len(points), bool)
+    for j in range(lead):
+        own[starts - 1 - j] = False
+    ends = np.flatnonzero(own)
+    places, found = pd.factorize(key[ends])
+    last = np.empty(len(found), np.int64)
+    last[places] = ends
+    return [joined[i - lead : i + 1] for i in last.tolist()], places
+
+
+def _pack(places: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate([np.diff(places, prepend=0), counts]).astype("<u4").tobytes(), 1)
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(body), "<u4").astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def blocks(docs: DataFrame, order: int = ORDER, chars: int = BLOCK_CHARS) -> DataFrame:
+    """``block, place, gram, c, doc_id, lang, trusted, n_chars, body`` of ``docs(doc_id, lang, trusted, text)``.
+
+    A row with ``gram`` for each distinct n-gram of a block: its place there
+    and its count in trusted documents.  A row without for each document: its
+    place in the block and, in ``body``, its n-grams and their counts.
+    """
+
+    def rows_of(number, texts, fields):
+        grams, places = local_grams(texts, order)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        trusted = np.repeat(np.array(fields.column("trusted").to_pylist(), bool), sizes)
+        c = np.bincount(places[trusted], minlength=len(grams))
+        # Each document's n-grams, ascending.
+        pairs, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(1, len(grams)) + places, return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(1, len(grams)))
+        body = [_pack(pairs[a:b] - i * len(grams), n[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
+        for gram, place, count, ids, chars, packed in (
+            (pa.array(grams, pa.string()), np.arange(len(grams)), pa.array(c, pa.int64()), None, None, None),
+            (None, np.arange(len(texts)), None, fields, pa.array(sizes), pa.array(body, pa.binary())),
+        ):
+            m = len(place)
+            given = {"block": pa.array(np.full(m, number)), "place": pa.array(place.astype(np.int32)), "gram": gram, "c": count, "n_chars": chars, "body": packed}
+            if ids is not None:
+                given |= {k: ids.column(k) for k in ids.schema.names}
+            columns = [pa.nulls(m, kinds[k]) if given.get(k) is None else given[k] for k in names]
+            whole = pa.RecordBatch.from_arrays(columns, names=names)
+            for i in range(0, m, 1 << 14):
+                yield whole.slice(i, 1 << 14)
 
     def run(batches):
-        codes, bits = sent.value
-        dense = np.zeros(1 << (BITS * order), np.float32)
-        dense[codes] = bits
+        number, texts, parts, total = TaskContext.get().partitionId() << 33, [], [], 0
         for b in batches:
-            n, mean = [np.empty(0, np.int64)], [np.empty(0)]
-            for part in _slices(b.column(b.num_columns - 1)):
-                at, sizes = grams(part, order)
-                sums = np.concatenate([[0.0], np.cumsum(dense[at], dtype=np.float64)])
-                ends = np.cumsum(sizes)
-                n.append(sizes)
-                mean.append((sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1))
-            n, mean = np.concatenate(n), np.concatenate(mean)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), pa.array(mean, mask=n == 0)], names=[*names, "n_chars", "entropy"])
-
-    names = ["doc_id", *keep]
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fields = ", ".join(f"{c} {type_of(rows, c)}" for c in names)
-    return rows.mapInArrow(run, f"{fields}, n_chars long, entropy double")
+            fields, start = b.select(["doc_id", "lang", "trusted"]), 0
+            for i, t in enumerate(b.column("text").to_pylist()):
+                texts.append(t)
+                total += len(t)
+                if total >= chars:
+                    parts.append(fields.slice(start, i + 1 - start))
+                    yield from rows_of(number, texts, pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                    number, texts, parts, total, start = number + 1, [], [], 0, i + 1
+            parts.append(fields.slice(start))
+        if texts:
+            yield from rows_of(number, texts, pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+
+    rows = docs.select("doc_id", "lang", "trusted", F.coalesce("text", F.lit("")).alias("text"))
+    schema = f"block long, place int, gram string, c long, doc_id {type_of(rows, 'doc_id')}, lang string, trusted boolean, n_chars long, body binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    ids = to_arrow_schema(rows.select("doc_id").schema).field(0).type
+    kinds = dict(zip(names, [pa.int64(), pa.int32(), pa.string(), pa.int64(), ids, pa.string(), pa.bool_(), pa.int64(), pa.binary()]))
+    return rows.mapInArrow(run, schema)
+
+
+def entropies(spread: DataFrame, table: DataFrame) -> DataFrame:
+    """``doc_id, lang, trusted, n_chars, entropy`` (bits a character; null without any) of every document of ``blocks()``.
+
+    ``table(gram, bits)`` is joined with each block's n-grams; the answers and
+    the documents of one block, whose size is bounded, meet in one group.
+    """
+    names = ["doc_id", "lang", "trusted", "n_chars", "entropy"]
+    answers = spread.where("gram is not null").select("block", "place", "gram").join(table, "gram").select(F.col("block").alias("of"), F.col("place").alias("at"), "bits")
+    members = spread.where("gram is null").select("block", *names[:-1], "body")
+
+    def add(members: pa.Table, answers: pa.Table) -> pa.Table:
+        bits = np.zeros(answers.num_rows)
+        bits[answers.column("at").to_numpy()] = answers.column("bits").to_numpy()
+        sums = []
+        for body in members.column("body").to_pylist():
+            at, n = _unpack(body)
+            sums.append(float(bits[at] @ n))
+        n = members.column("n_chars").to_numpy()
+        mean = pa.array(np.array(sums) / np.maximum(n, 1), mask=n == 0)
+        return pa.table([*[members.column(c) for c in names[:-1]], mean], names=names)
+
+    fields = f"doc_id {type_of(spread, 'doc_id')}, lang string, trusted boolean, n_chars long, entropy double"
+    return members.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(add, fields)
 
 
 def thresholds(trusted: DataFrame, by: list[str], quantiles: tuple[float, float] = QUANTILES, slack: float = SLACK) -> DataFrame:
@@ -230,15 +350,14 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     bad = ~(F.col("quality").eqNullSafe(1) & ~F.col("toxic").eqNullSafe(1))
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc_id")).agg((F.max(bad.cast("int")) == 0).alias("trusted")).where("trusted")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    # Unless the trusted ids are few enough to broadcast, this join exchanges all texts once; all other steps read text where it lies.
-    counted = written(count_grams(rows.join(named, "doc_id", "left_semi"), order=order), "trusted_grams")
-    asked = written(count_grams(rows, order=order).select("gram"), "grams")
-    found = entropies(rows, probabilities(counted, asked, order), keep=("lang",), order=order)
-    scored = written(
-        found.join(named, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-        .withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")),
-        "scored",
-    )
+    # Always an exchange of all texts, so that the cost grows with the input and not in steps.
+    rows = rows.join(named.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    spread = written(blocks(rows, order), "blocks")
+    grams = spread.where("gram is not null")
+    counted = written(grams.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")), "trusted_grams")
+    asked = written(grams.select("gram").distinct(), "grams")
+    found = entropies(spread, probabilities(counted, asked, order, CHARACTERS))
+    scored = written(found.withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")), "scored")
     trusted = scored.where(F.col("trusted") & (F.col("n_chars") >= MIN_CHARS))
     levels = [["lang", "size"], ["size"], []]
     judged = scored

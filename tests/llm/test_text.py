@@ -242,3 +242,24 @@ def test_queries_cover_whole_tables(llm, name):
 
     sf = "/root/testdata/sf0.001"
     assert QUERIES[name](llm, sf).count() == llm.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_scrambled_letters_of_any_script_score_worse(llm):
+    rng = random.Random(6)
+    letters = "абвгдежзиклмнопрстуя"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(80)]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(100))
+    scramble = lambda t: re.sub(r"\w", lambda _: rng.choice(letters), t)
+    rows = [(i, prose(), "ru") for i in range(120)] + [(1000 + i, scramble(prose()), "ru") for i in range(20)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = llm.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in kneser.quality_classifier(docs, labels).collect()}
+    assert all(kept[i] for i in range(120)) and not any(kept[i] for i in kept if i >= 1000)
+
+
+def test_local_grams_are_those_of_each_text():
+    for texts in (["abcab", "", "日本x", "a"], [], [""], ["".join(map(chr, range(32, 0xD000))), "ab"]):
+        grams, places = kneser.local_grams(texts, 4)
+        padded = [kneser.BEFORE * 3 + t for t in texts]
+        assert [grams[i] for i in places] == [p[i : i + 4] for p, t in zip(padded, texts) for i in range(len(t))]
+        assert len(grams) == len(set(grams))
