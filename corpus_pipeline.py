@@ -10,28 +10,46 @@ from patchcraft.llm.common import read_docs, ship, written
 from patchcraft.llm.queries import WORD_BPE
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents whose id ``decided`` keeps; rows without an id stay, since nothing can name them."""
-    kept = decided.where("kept").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+#: Names each row; no column of the documents has this name.
+KEY = "pipeline_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with KEY, unique to each row and the same whenever it is read: id, file and place in the file.
+
+    Rows that are not just read from files are written first.  An id orders
+    before the place; a row without one comes before all others.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = written(docs, "keyed")
+    return docs.withColumn(KEY, F.struct("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+
+
+def _only(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows that ``decided`` keeps; its ``doc_id`` is their KEY."""
+    kept = decided.where("kept").select(F.col("doc_id").alias(KEY))
+    return keyed.join(kept, KEY, "left_semi").drop(KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is that of trusted text."""
     ship(spark)
-    return _only(docs, kneser.quality_classifier(docs, read_docs(spark, sf_dir, "labels")))
+    keyed = _keyed(docs)
+    return _only(keyed, kneser.quality_classifier(keyed, read_docs(spark, sf_dir, "labels"), key_col=KEY)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     ship(spark)
-    return _only(docs, exact.exact_dedup(docs))
+    keyed = _keyed(docs)
+    return _only(keyed, exact.exact_dedup(keyed, id_col=KEY)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints."""
+    """One row of each component of fingerprints."""
     ship(spark)
-    return _only(docs, simhash.simhash_near_dedup(docs))
+    keyed = _keyed(docs)
+    return _only(keyed, simhash.simhash_near_dedup(keyed, id_col=KEY)).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

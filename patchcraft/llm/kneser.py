@@ -334,9 +334,11 @@ def thresholds(trusted: DataFrame, by: list[str], quantiles: tuple[float, float]
     return found.select(*by, (F.col("mid") - reach(F.col("mid") - F.col("lo"))).alias("low"), (F.col("mid") + reach(F.col("hi") - F.col("mid"))).alias("high"), "n_trusted")
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, key_col: str | None = None) -> DataFrame:
     """One row for each input row: ``doc_id, lang, n_chars, perplexity, low, high, trusted, kept``.
 
+    Labels are found by ``id_col``; with ``key_col`` the result has that column as its ``doc_id``.
+
     ``labels(doc_id, quality, toxic)`` names the trusted rows: quality 1 and
     toxic not 1.  ``kept`` is false where the entropy lies outside the
     thresholds of the document's language and length, or of all trusted rows
@@ -349,9 +351,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """
     bad = ~(F.col("quality").eqNullSafe(1) & ~F.col("toxic").eqNullSafe(1))
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc_id")).agg((F.max(bad.cast("int")) == 0).alias("trusted")).where("trusted")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(key_col or id_col).alias("key"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     # Always an exchange of all texts, so that the cost grows with the input and not in steps.
     rows = rows.join(named.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    rows = rows.select(F.col("key").alias("doc_id"), "lang", "trusted", "text")
     spread = written(blocks(rows, order), "blocks")
     grams = spread.where("gram is not null")
     counted = written(grams.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")), "trusted_grams")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -53,3 +54,29 @@ def test_stages_on_odd_rows(llm, docs, corpus):
         assert set(rows.columns) == {"doc_id", "text", "lang", "kept", "fp", "row", "n_chars"}, name
     assert rows.where("doc_id is null").count() == 1
     assert stage(llm, rows.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_repeated_rows_and_rows_without_an_id_stay_once(llm):
+    import corpus_pipeline as C
+
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(90))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (4, d), (5, d[:200] + "\n" + d[200:]), (5, None), (None, "")]
+    for n in (2, 1):
+        docs = llm.createDataFrame(rows * n, "doc_id long, text string").withColumn("lang", F.lit("xx")).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+        for name, stage in C.STAGES[1:4]:
+            docs = C.written(stage(llm, docs, None), name)
+        squeezed = sorted(re.sub(r"\s", "", r["text"] or "") for r in docs.collect())
+        assert squeezed == sorted(re.sub(r"\s", "", t) for t in (a, b, c, d, ""))
+
+
+def test_quality_judges_rows_without_an_id(llm, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(100)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(100)), "xx") for i in range(100)] + [(None, "#$%& <|>* " * 60, "xx")] * 2
+    llm.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = C.quality(llm, llm.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
+    assert left.where("doc_id is null").count() == 0 and left.count() >= 96
