@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import type_of
@@ -177,8 +178,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     learn = rows.where(~held_out("doc_id") & F.col("lang").isNotNull())
     idf = inverse_frequencies(document_frequencies(learn))
 
-    # Of each language the rows of least hash: a share by its number of rows, cut to ``sample`` here.
-    number = F.xxhash64("doc_id")
+    # Of each language the rows of least number: a share by its count of rows, cut to ``sample`` before anything is collected.
     sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     share = lambda lang: F.lit(min(1.0, 1.2 * sample / sizes[lang]) * (1 << 30))
@@ -186,13 +186,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if languages:
         near = F.lit(False)
         for lang in languages:
-            near |= (F.col("lang") == lang) & (F.pmod(number, F.lit(1 << 30)) < share(lang))
-        found = _vectors(learn.where(near).withColumn("number", F.pmod(number, F.lit(1 << 30))), idf).collect()
-        left = dict.fromkeys(languages, sample)
-        for r in sorted(found, key=lambda r: (r["number"], r["lang"], r["at"])):
-            if left[r["lang"]]:
-                left[r["lang"]] -= 1
-                picked.append(r)
+            near |= (F.col("lang") == lang) & (F.col("number") < share(lang))
+        picked = sorted(_least(_vectors(_numbered(learn).where(near), idf), sample).collect(), key=lambda r: (r["number"], r["lang"], r["at"]))
     order = {lang: i for i, lang in enumerate(languages)}
     data = [((np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)), order[r["lang"]]) for r in picked]
     fit = [d for i, d in enumerate(data) if i % CALIBRATE]
@@ -221,6 +216,30 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {type_of(rows, 'doc_id')}, held_out boolean, lang_pred string, score double")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``, a hash of id, text and the row's own number, so that neither null nor repeated ids share one."""
+    return rows.withColumn("number", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 30)))
+
+
+def _least(rows: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows of least ``number`` of each language: of each task first, then of what the tasks have left."""
+
+    def run(batches):
+        left: dict[str, pa.Table] = {}
+        for b in batches:
+            whole = pa.Table.from_batches([b])
+            for lang in pc.unique(whole.column("lang")).to_pylist():
+                more = whole.filter(pc.equal(whole.column("lang"), lang))
+                both = pa.concat_tables([left[lang], more]) if lang in left else more
+                left[lang] = both.sort_by("number").slice(0, sample).combine_chunks()
+        for one in left.values():
+            yield from one.to_batches(max_chunksize=1 << 10)
+
+    near = rows.mapInArrow(run, rows.schema)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("number", "at"))
+    return near.withColumn("place_", place).where(F.col("place_") <= sample).drop("place_")
+
+
 def _vectors(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     """``number, lang, at, value`` of the rows with letters, the vector as int32 and float32 bytes."""
 

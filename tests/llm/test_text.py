@@ -263,3 +263,13 @@ def test_local_grams_are_those_of_each_text():
         padded = [kneser.BEFORE * 3 + t for t in texts]
         assert [grams[i] for i in places] == [p[i : i + 4] for p, t in zip(padded, texts) for i in range(len(t))]
         assert len(grams) == len(set(grams))
+
+
+def test_language_sample_is_bounded_whatever_the_ids(llm):
+    rows = llm.range(0, 6000, 1, 4).select(F.when(F.col("id") % 3 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    numbered = langid._numbered(rows)
+    assert numbered.select("number").distinct().count() > 5900
+    small = numbered.select("number", "lang", F.lit(b"").alias("at"), F.lit(b"").alias("value"))
+    want = {lang: sorted(r["number"] for r in small.collect() if r["lang"] == lang)[:50] for lang in "ab"}
+    got = langid._least(small, 50).collect()
+    assert {lang: sorted(r["number"] for r in got if r["lang"] == lang) for lang in "ab"} == want
