@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, kneser, langid, lines, packing, quality, simhash, suffix, token_counts
+from . import bpe, exact, kneser, langid, lines, merkle, packing, quality, simhash, suffix, token_counts
 from .common import read_docs, ship
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,12 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     pages = lines.line_dedup(read_docs(spark, sf_dir, "pages"))
     return pages.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark, sf_dir):
+    docs = read_docs(spark, sf_dir)
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.one_more(fields, "n_chars", F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    proved = merkle.manifest(docs, fields, shown=tampered)
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
