@@ -60,3 +60,19 @@ k AS (SELECT e.r, count(*) AS n_kept, string_agg(e.l, chr(10) ORDER BY i) AS tex
 SELECT page_id, host, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n_kept, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
 FROM n LEFT JOIN k USING (r)
 """
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.k, a.vec_id AS anchor_id, b.k AS other, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.k = s.k AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.k, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST)
+QUALIFY row_number() OVER w <= 5
+"""

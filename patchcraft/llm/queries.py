@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, kneser, langid, lines, merkle, packing, quality, simhash, suffix, token_counts
+from . import bpe, exact, kneser, langid, lines, merkle, negatives, packing, quality, simhash, suffix, token_counts
 from .common import read_docs, ship
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,13 @@ def op10(spark, sf_dir):
     return pages.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op12_hard_negatives")
+def op12(spark, sf_dir):
+    rows = read_docs(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 @query("op13_merkle_manifest")
 def op13(spark, sf_dir):
     docs = read_docs(spark, sf_dir)
