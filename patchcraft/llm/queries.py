@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, kneser, langid, lines, merkle, negatives, packing, quality, simhash, suffix, token_counts
+from . import bpe, exact, kneser, langid, lines, merkle, mixing, negatives, packing, quality, simhash, suffix, token_counts
 from .common import read_docs, ship
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,12 @@ def op10(spark, sf_dir):
     return pages.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op11_mix_sources")
+def op11(spark, sf_dir):
+    mixed = mixing.mix(read_docs(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 @query("op12_hard_negatives")
 def op12(spark, sf_dir):
     rows = read_docs(spark, sf_dir, "embeddings")
