@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 
 FAST = ["commit_filter", "java_change_filter", "normalise_eof_newline", "collect_patches",
         "java_sections", "clean_patches", "strip_headers", "changed_lines", "synthetic_edits", "exact_dedup"]

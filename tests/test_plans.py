@@ -44,7 +44,7 @@ def test_token_ids_broadcasts_the_bounded_vocabulary(spark):
 
 
 def test_single_split_table_is_spread_over_cores(spark):
-    from conftest import SF_SMALL
+    from samples import SF_SMALL
     from patchcraft.sources import tables as TB
 
     df = TB.read_table(spark, SF_SMALL, "documents")
