@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from . import linediff as LD
 
 
 def commit_filter(commits: DataFrame) -> DataFrame:
@@ -117,14 +118,39 @@ def normalise_eof_newline(text: Column | str) -> Column:
     return F.when(F.instr(c, fixed.NO_EOF_NEWLINE_MARKER) > 0, fixed_text).otherwise(c)
 
 
+def has_marker(raw: Column | str = "patch") -> Column:
+    """The patch says that a version lacks the newline at its end."""
+    return F.instr(T.decode_lenient(raw), fixed.NO_EOF_NEWLINE_MARKER) > 0
+
+
+def rediff(changes: DataFrame, where: Column, out: str = "rediffed") -> DataFrame:
+    """``out``: unified hunks made again from ``a_blob`` and ``b_blob`` where ``where`` holds and both are there, else null.
+
+    Both contents count as ending with a newline; a difference in nothing else
+    leaves an empty patch.
+    """
+    wanted = where & F.col("a_blob").isNotNull() & F.col("b_blob").isNotNull()
+    lines = lambda c: F.when(wanted, LD.text_lines(T.decode_lenient(c)))
+    sides = changes.withColumns({"_old": lines("a_blob"), "_new": lines("b_blob")})
+    return LD.with_patch(sides, "_old", "_new", out).drop("_old", "_new")
+
+
 def change_texts(changes: DataFrame) -> DataFrame:
-    """Per change: decoded, line-end normalised text; EOF newline fixed; ends with newline."""
+    """Per change: decoded, line-end normalised text; EOF newline fixed; ends with newline.
+
+    A patch with the marker of a missing newline is made again where the
+    change has both contents (``a_blob``, ``b_blob``); elsewhere the marker's
+    rules are applied to the patch itself.
+    """
     text = T.normalise_newlines(T.decode_lenient("patch"))
     fixed_eof = normalise_eof_newline(text)
+    if {"a_blob", "b_blob"} <= set(changes.columns):
+        changes = rediff(changes, has_marker(), "_rediffed")
+        fixed_eof = F.coalesce(T.normalise_newlines("_rediffed"), fixed_eof)
     ended = F.when(
         (F.length(fixed_eof) > 0) & ~fixed_eof.endswith("\n"), F.concat(fixed_eof, F.lit("\n"))
     ).otherwise(fixed_eof)
-    return changes.withColumn("text", ended)
+    return changes.withColumn("text", ended).drop("_rediffed")
 
 
 def assemble_commit_patch(changes: DataFrame) -> DataFrame:

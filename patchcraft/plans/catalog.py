@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import clean as C
 from ..operators import collect as CO
 from ..operators import dataset as D
 from ..operators import diff as DF
+from ..operators import linediff as LD
 from ..operators import model as M
 from ..operators import rename as R
 from ..operators import select as S
@@ -465,6 +467,59 @@ def q_changed_lines(spark, sf):
     return DF.changed_lines(TB.versions_from_documents(_docs(spark, sf)))
 
 
+def _revisions(spark, sf):
+    return TB.revisions_from_documents(_docs(spark, sf))
+
+
+def _count(script, sign):
+    return F.size(F.filter(script, lambda s: s["sign"] == sign)).cast("long")
+
+
+@query("line_diff")
+def q_line_diff(spark, sf):
+    """The script of every pair, told by its size and by the two texts that it holds."""
+    pairs = _revisions(spark, sf).select("pair_id", *[F.split(c, "\n", -1).alias(f"{c}_lines") for c in ("old", "new")])
+    script = F.col("script")
+    side = lambda sign: F.md5(F.array_join(F.transform(F.filter(script, lambda s: s["sign"] != sign), lambda s: s["line"]), "\n"))
+    return LD.with_script(pairs).select(
+        "pair_id", _count(script, " ").alias("n_kept"), _count(script, "-").alias("n_removed"), _count(script, "+").alias("n_added"),
+        side("+").alias("old_md5"), side("-").alias("new_md5"),
+    )
+
+
+@query("moved_lines")
+def q_moved_lines(spark, sf):
+    moved = LD.moved_lines(LD.line_script(_revisions(spark, sf)))
+    return moved.groupBy("pair_id").agg(F.sum("n_moved").alias("n_moved"))
+
+
+@query("unified_hunks")
+def q_unified_hunks(spark, sf):
+    """A patch of every pair, told by what applying and undoing it gives and by its changed lines."""
+    pairs = _revisions(spark, sf).select("pair_id", LD.text_lines("old").alias("old_lines"), LD.text_lines("new").alias("new_lines"))
+    patched = LD.apply_patch(LD.with_patch(pairs))
+    undone = LD.apply_patch(patched, lines="new_lines", out="undone_lines", reverse=True)
+    lines = lambda sign: F.regexp_count("patch", F.lit("(?md)^" + sign)).cast("long")
+    return undone.select(
+        "pair_id", lines("-").alias("n_removed"), lines(r"\+").alias("n_added"),
+        F.md5(LD.lines_text("patched_lines")).alias("patched_md5"), F.md5(LD.lines_text("undone_lines")).alias("undone_md5"),
+    )
+
+
+@query("rediff_changes")
+def q_rediff_changes(spark, sf):
+    """Patches of changes whose contents lack a last newline, made again from the contents and applied to the old one."""
+    changes = CO.java_change_filter(TB.blob_changes_from_documents(_docs(spark, sf)))
+    texts = CO.change_texts(changes.withColumn("rediffed", CO.has_marker()))
+    old = F.when(F.col("rediffed"), LD.text_lines(T.normalise_newlines(T.decode_lenient("a_blob"))))
+    applied = LD.apply_patch(texts.withColumn("old_lines", old), "text")
+    lines = lambda sign: F.when(F.col("rediffed"), F.regexp_count("text", F.lit("(?md)^" + sign))).cast("long")
+    return applied.select(
+        "repo", "commit_id", "rediffed", F.contains("text", F.lit(fixed.NO_EOF_NEWLINE_MARKER)).alias("has_marker"),
+        lines("-").alias("n_removed"), lines(r"\+").alias("n_added"), F.md5(LD.lines_text("patched_lines")).alias("patched_md5"),
+    )
+
+
 @query("synthetic_edits")
 def q_synthetic(spark, sf):
     e = DF.synthetic_edits(_docs(spark, sf), "doc_id", "text", variants=20)

@@ -158,7 +158,7 @@ ALL_LINES = _RENAME_LINES.replace("{KEPT}", "true")
 
 
 def with_ctes(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes) + "\n" + select
 
 
 def rename_verdicts() -> str:
@@ -389,6 +389,54 @@ edits AS (
 )"""
 
 
+REVISIONS = """
+doc_lines AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines, len(string_split(coalesce(text, ''), chr(10))) // 3 AS third FROM documents),
+edited AS (
+  SELECT doc_id, source, array_to_string(lines, chr(10)) AS old, array_to_string(CASE doc_id % 7
+      WHEN 0 THEN list_filter(list_transform(lines, lambda l, i: CASE WHEN (i - 1) % 7 = 3 THEN '# ' || l ELSE l END), lambda l, i: (i - 1) % 5 <> 2)
+      WHEN 1 THEN list_concat(lines[third + 1:], lines[1:third])
+      WHEN 2 THEN flatten(list_transform(lines, lambda l, i: CASE WHEN (i - 1) % 4 = 1 THEN [l, l] ELSE [l] END))
+      WHEN 3 THEN lines
+      WHEN 4 THEN CAST([] AS VARCHAR[])
+      WHEN 5 THEN list_reverse(lines)
+      ELSE list_concat(['first line'], list_transform(lines, lambda l, i: CASE WHEN (i - 1) % 3 = 0 THEN '!' || l ELSE l END)) END, chr(10)) AS new
+  FROM doc_lines),
+revisions AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS pair_id,
+    old || CASE WHEN doc_id % 2 = 0 AND old <> '' THEN chr(10) ELSE '' END AS old,
+    new || CASE WHEN doc_id % 3 = 0 AND new <> '' THEN chr(10) ELSE '' END AS new
+  FROM edited)"""
+
+#: ``sides(pair_id, a, b)``: the lines of both versions, as ``LCS`` compares them.
+ALL_SIDES = "sides AS (SELECT pair_id, string_split(old, chr(10)) AS a, string_split(new, chr(10)) AS b FROM revisions)"
+
+
+def _text_lines(c: str) -> str:
+    return f"CASE WHEN {c} = '' THEN CAST([] AS VARCHAR[]) WHEN ends_with({c}, chr(10)) THEN string_split({c}[:-2], chr(10)) ELSE string_split({c}, chr(10)) END"
+
+
+CRLF_SIDES = f"""
+crlf AS (SELECT doc_id, pair_id, CASE WHEN doc_id % 5 = 0 THEN replace(old, chr(10), chr(13) || chr(10)) ELSE old END AS old,
+  CASE WHEN doc_id % 5 = 0 THEN replace(new, chr(10), chr(13) || chr(10)) ELSE new END AS new FROM revisions),
+sides AS (SELECT pair_id, {_text_lines('old')} AS a, {_text_lines('new')} AS b FROM crlf)"""
+ENDED_SIDES = f"sides AS (SELECT pair_id, {_text_lines('old')} AS a, {_text_lines('new')} AS b FROM revisions)"
+
+#: Length of the longest common subsequence by its table, a row of the table a step.
+LCS = """
+steps AS (
+  SELECT pair_id, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS row FROM sides
+  UNION ALL
+  SELECT pair_id, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(best[1:j]))
+  FROM (SELECT *, list_transform(range(1, len(b) + 2), lambda j:
+          CASE WHEN j = 1 THEN 0 ELSE greatest(row[j], row[j - 1] + CASE WHEN a[i + 1] = b[j - 1] THEN 1 ELSE 0 END) END) AS best
+        FROM steps WHERE i < len(a))),
+lcs AS (SELECT pair_id, CAST(len(a) AS BIGINT) AS n_old, CAST(len(b) AS BIGINT) AS n_new, CAST(row[len(b) + 1] AS BIGINT) AS n_kept FROM steps WHERE i = len(a))"""
+
+
+def _ended(c: str) -> str:
+    return f"CASE WHEN {c} = '' OR ends_with({c}, chr(10)) THEN {c} ELSE {c} || chr(10) END"
+
+
 def _changed(src: str) -> str:
     return f"""
 o_lines AS (SELECT pair_id, line FROM {src}, unnest(string_split(old, chr(10))) AS u(line)),
@@ -511,6 +559,25 @@ WHERE word NOT IN (SELECT i.word FROM idents i JOIN templates t ON i.repo = t.re
         P, RENAME_LINES, VOCAB, TEMPLATES),
     "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
     "changed_lines": _q(CHANGED_SELECT, VERSIONS, _changed("versions")),
+    "line_diff": _q("""
+SELECT pair_id, n_kept, n_old - n_kept AS n_removed, n_new - n_kept AS n_added, md5(old) AS old_md5, md5(new) AS new_md5
+FROM revisions JOIN lcs USING (pair_id)""", REVISIONS, ALL_SIDES, LCS),
+    "moved_lines": _q("""
+SELECT pair_id, CAST(n_common - n_kept AS BIGINT) AS n_moved FROM lcs JOIN (
+  SELECT pair_id, sum(least(n_a, n_b)) AS n_common
+  FROM (SELECT pair_id, l, count(*) AS n_a FROM (SELECT pair_id, unnest(a) AS l FROM sides) GROUP BY ALL)
+  JOIN (SELECT pair_id, l, count(*) AS n_b FROM (SELECT pair_id, unnest(b) AS l FROM sides) GROUP BY ALL) USING (pair_id, l)
+  GROUP BY pair_id) USING (pair_id)
+WHERE n_common > n_kept""", REVISIONS, ALL_SIDES, LCS),
+    "unified_hunks": _q(f"""
+SELECT pair_id, n_old - n_kept AS n_removed, n_new - n_kept AS n_added, md5({_ended("new")}) AS patched_md5, md5({_ended("old")}) AS undone_md5
+FROM revisions JOIN lcs USING (pair_id)""", REVISIONS, ENDED_SIDES, LCS),
+    "rediff_changes": _q(f"""
+SELECT source AS repo, md5(pair_id) AS commit_id, rediffed, false AS has_marker,
+  CASE WHEN rediffed THEN n_old - n_kept END AS n_removed, CASE WHEN rediffed THEN n_new - n_kept END AS n_added,
+  CASE WHEN rediffed THEN md5({_ended("new")}) END AS patched_md5
+FROM (SELECT *, (old <> '' AND NOT ends_with(old, chr(10))) OR (new <> '' AND NOT ends_with(new, chr(10))) AS rediffed FROM revisions WHERE doc_id % 9 <> 0)
+JOIN lcs USING (pair_id)""", REVISIONS, CRLF_SIDES, LCS),
     "synthetic_edits": _q(CHANGED_SELECT, SYNTH, _changed("edits")),
     "select_by_verdict": _q("""
 SELECT repo, patch_id, CASE WHEN n_renames = 0 THEN 0 ELSE 1 END AS label FROM verdicts WHERE n_renames <= 2""", P, RENAME_LINES),

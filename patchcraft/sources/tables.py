@@ -277,6 +277,59 @@ def versions_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def revisions_from_documents(documents: DataFrame) -> DataFrame:
+    """Two versions of every document, with moves, copies, deletions and unlike ends.
+
+    ``doc_id % 7`` picks the change of the lines: 0 the edit of
+    ``versions_from_documents`` without its last line, 1 the first third moved
+    to the end, 2 every line at 1 mod 4 doubled, 3 none, 4 nothing left,
+    5 reversed, 6 a line put in front and ``!`` before lines at 0 mod 3.  The
+    old text ends with a newline for even ids, the new one (if not empty) for
+    ids that 3 divides.  Output: ``pair_id, old, new, doc_id, source``.
+    """
+    d = F.col("doc_id")
+    df = documents.select("doc_id", "source", F.inline(F.array(F.struct(F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")))))
+    lines = F.col("lines")
+    third = F.floor(F.size(lines) / 3).cast("int")
+    new = (
+        F.when(d % 7 == 0, F.filter(F.transform(lines, lambda l, i: F.when(i % 7 == 3, F.concat(F.lit("# "), l)).otherwise(l)), lambda l, i: i % 5 != 2))
+        .when(d % 7 == 1, F.concat(F.slice(lines, third + 1, F.size(lines) - third), F.slice(lines, 1, third)))
+        .when(d % 7 == 2, F.flatten(F.transform(lines, lambda l, i: F.when(i % 4 == 1, F.array(l, l)).otherwise(F.array(l)))))
+        .when(d % 7 == 3, lines)
+        .when(d % 7 == 4, F.array().cast("array<string>"))
+        .when(d % 7 == 5, F.reverse(lines))
+        .otherwise(F.concat(F.array(F.lit("first line")), F.transform(lines, lambda l, i: F.when(i % 3 == 0, F.concat(F.lit("!"), l)).otherwise(l))))
+    )
+    ended = lambda text, yes: F.when(yes & (text != ""), F.concat(text, F.lit("\n"))).otherwise(text)
+    df = df.select("doc_id", "source", "lines", F.array_join(new, "\n").alias("new"))
+    return df.select(
+        d.cast("string").alias("pair_id"), ended(F.array_join(lines, "\n"), d % 2 == 0).alias("old"), ended(F.col("new"), d % 3 == 0).alias("new"),
+        "doc_id", "source",
+    )
+
+
+def blob_changes_from_documents(documents: DataFrame) -> DataFrame:
+    """Changed files with both contents: the revisions of every document as a commit of ``source``.
+
+    Lines end with CRLF in both contents for ids that 5 divides; the old one
+    begins with an invalid byte for ids that 11 divides; every ninth path is no
+    Java file.  ``patch`` is a line each way, with the marker of a missing
+    newline where an end lacks it.
+    Output: ``repo, commit_id, ord, a_path, b_path, patch, a_blob, b_blob, doc_id``.
+    """
+    d, mark = F.col("doc_id"), F.lit(fixed.NO_EOF_NEWLINE_MARKER + "\n")
+    ends = lambda c: F.when((F.col(c) == "") | F.col(c).endswith("\n"), F.lit("")).otherwise(mark)
+    crlf = lambda c: F.when(d % 5 == 0, F.replace(F.col(c), F.lit("\n"), F.lit("\r\n"))).otherwise(F.col(c))
+    path = F.concat(F.lit("src/D"), F.col("pair_id"), F.when(d % 9 == 0, ".md").otherwise(".java"))
+    patch = F.concat(F.lit("@@ -1 +1 @@\n-old\n"), ends("old"), F.lit("+new\n"), ends("new"))
+    a_blob = F.encode(crlf("old"), "UTF-8")
+    return revisions_from_documents(documents).select(
+        F.col("source").alias("repo"), F.md5("pair_id").alias("commit_id"), F.lit(1).alias("ord"), path.alias("a_path"), path.alias("b_path"),
+        F.encode(patch, "UTF-8").alias("patch"), F.when(d % 11 == 0, F.concat(F.unhex(F.lit("FF")), a_blob)).otherwise(a_blob).alias("a_blob"),
+        F.encode(crlf("new"), "UTF-8").alias("b_blob"), "doc_id",
+    )
+
+
 def encoded_documents(documents: DataFrame) -> DataFrame:
     """Document text as bytes: UTF-8, ISO-8859-1, or UTF-16LE with byte-order mark.
 
