@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..operators import charset as CH
 from ..operators import clean as C
 from ..operators import collect as CO
 from ..operators import dataset as D
@@ -223,6 +224,30 @@ def q_convert(spark, sf):
     return e.select("doc_id", "charset", "charset_used", "converted", (F.col("text_decoded") == F.col("text")).alias("restored"))
 
 
+def _charsets(documents):
+    """A model of the documents whose charset is taken as known: three quarters of them, by id."""
+    samples = TB.charset_documents(documents.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0))
+    return CH.charset_model(CH.fit_charsets(samples))
+
+
+@query("detect_charset")
+def q_detect_charset(spark, sf):
+    docs = _docs(spark, sf)
+    found = C.convert_encoding(TB.charset_documents(docs), model=_charsets(docs))
+    return found.select("doc_id", "charset", "charset_used", (F.col("text_decoded") == F.col("text")).alias("restored"))
+
+
+@query("clean_patch_bytes")
+def q_clean_patch_bytes(spark, sf):
+    """Combined patches as bytes of eleven charsets, from the bytes to the cleaned text."""
+    docs = _docs(spark, sf)
+    named = TB.charset_documents(docs)
+    patches = TB.combined_from_documents(named.select("doc_id", "source", "text"))
+    raw = TB.encoded_text(patches.join(named.select(F.col("doc_id").cast("string").alias("patch_id"), "charset"), "patch_id"))
+    cleaned = C.clean_patch_bytes(raw.drop("text"), model=_charsets(docs))
+    return cleaned.select("patch_id", "charset_used", "cleaned", "lines_removed", "status")
+
+
 # ------------------------------------------------------------------ examples and tokens
 @query("load_examples")
 def q_load(spark, sf):

@@ -9,6 +9,7 @@ arrays and re-ordering keys), so the two do not share logic.
 from __future__ import annotations
 
 from ..functions import fixed
+from ..sources import tables as TB
 
 WORD = fixed.WORD_RE
 KW = ", ".join(f"'{k}'" for k in fixed.JAVA_KEYWORDS)
@@ -437,6 +438,18 @@ def _ended(c: str) -> str:
     return f"CASE WHEN {c} = '' OR ends_with({c}, chr(10)) THEN {c} ELSE {c} || chr(10) END"
 
 
+_SCRIPT_LETTERS = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TB.LETTERS) if x) + " END"
+CHARSETS = rf"""
+cdocs AS (
+  SELECT doc_id, source,
+    CASE WHEN doc_id % 11 <= 3 THEN coalesce(text, '')
+         ELSE translate(replace(lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')), chr(0), ''), 'abcdefghijklmnopqrstuvwxyz', {_SCRIPT_LETTERS}) END AS text,
+    CASE WHEN doc_id % 11 = 3 AND NOT (regexp_full_match(text, '[\x{{0}}-\x{{7F}}\x{{A0}}-\x{{FF}}]*') AND regexp_matches(text, '[\x{{A0}}-\x{{FF}}]')) THEN 'UTF-8'
+         WHEN doc_id % 11 > 3 AND NOT regexp_matches(text, '[A-Za-z]') THEN 'UTF-8'
+         ELSE {list(TB.CHARSETS)}[doc_id % 11 + 1] END AS charset
+  FROM documents)"""
+
+
 def _changed(src: str) -> str:
     return f"""
 o_lines AS (SELECT pair_id, line FROM {src}, unnest(string_split(old, chr(10))) AS u(line)),
@@ -477,6 +490,15 @@ FROM commits c JOIN assembled a ON c.repo = a.repo AND c.commit_id = a.commit_id
 SELECT patch_id, cleaned, lines_removed,
        CASE WHEN cleaned = '' THEN 'deleted' WHEN lines_removed <> 0 THEN 'trimmed' ELSE 'unchanged' END AS status
 FROM audit""", COMBINED),
+    "convert_encoding": r"""
+SELECT doc_id, charset, CASE WHEN charset = 'ISO-8859-1' AND NOT regexp_matches(text, '[^\x00-\x7F]') THEN 'UTF-8' ELSE charset END AS charset_used,
+  NOT (charset = 'UTF-8' OR (charset = 'ISO-8859-1' AND NOT regexp_matches(text, '[^\x00-\x7F]'))) AS converted, true AS restored
+FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'UTF-8' WHEN doc_id % 3 = 1 AND regexp_full_match(text, '(?s)[\x{0}-\x{FF}]*') THEN 'ISO-8859-1' ELSE 'UTF-16LE' END AS charset FROM documents)""",
+    "detect_charset": _q("SELECT doc_id, charset, charset AS charset_used, true AS restored FROM cdocs", CHARSETS),
+    "clean_patch_bytes": _q("""
+SELECT patch_id, charset AS charset_used, cleaned, lines_removed,
+       CASE WHEN cleaned = '' THEN 'deleted' WHEN lines_removed <> 0 THEN 'trimmed' ELSE 'unchanged' END AS status
+FROM audit JOIN (SELECT CAST(doc_id AS VARCHAR) AS patch_id, charset FROM cdocs) USING (patch_id)""", CHARSETS, COMBINED.replace("FROM documents", "FROM cdocs")),
     "drop_empty_patches": _q("SELECT patch_id FROM cleaned WHERE cleaned <> ''", COMBINED),
     "strip_headers": _q("SELECT patch_id, regexp_extract(text, '(?s)(?:^|\\n)(@@.*)', 1) AS text FROM combined", COMBINED),
     "require_hunk_start": _q("SELECT patch_id, starts_with(cleaned, '@@') AS starts_with_hunk FROM cleaned WHERE cleaned <> ''", COMBINED),

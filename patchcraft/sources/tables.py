@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import fixed
 from ..functions import text as T
@@ -330,6 +332,46 @@ def blob_changes_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Charsets of ``charset_documents`` by ``doc_id % 11``, and the letters that stand for a to z in their texts.
+CHARSETS = ("UTF-8", "UTF-16LE", "UTF-16BE", "windows-1252", "windows-1251", "KOI8-R", "Shift_JIS", "EUC-JP", "GB18030", "Big5", "EUC-KR")
+_CYRILLIC = "абцдефгхийклмнопярстувшжыз"
+_KANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+_HANZI = "的一是不了人我在有他上大中到子地也你就那要下以生自出"
+_HANGUL = "가나다라마바사아자차카타파하고노도로모보소오조초코토"
+LETTERS = ("", "", "", "", _CYRILLIC, _CYRILLIC, _KANA, _KANA, _HANZI, _HANZI, _HANGUL)
+
+
+@F.arrow_udf(BinaryType())
+def _encoded(text: pa.Array, charset: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else t.encode(c) for t, c in zip(text.to_pylist(), charset.to_pylist())], pa.binary())
+
+
+def charset_documents(documents: DataFrame) -> DataFrame:
+    """Documents as bytes of eleven charsets without byte-order marks.
+
+    Texts of the scripts other than Latin keep their ASCII characters but the
+    letters, which become letters of the script.  A text that windows-1252
+    cannot hold, or that is plain ASCII there, is UTF-8.
+    Output: ``doc_id, source, raw, charset, text``.
+    """
+    k = (F.col("doc_id") % len(CHARSETS)).cast("int")
+    plain = F.regexp_replace(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "")), "\0", "")
+    text = F.col("text")
+    for i, letters in enumerate(LETTERS):
+        if letters:
+            text = F.when(k == i, F.translate(plain, "abcdefghijklmnopqrstuvwxyz", letters)).otherwise(text)
+    latin = F.col("text").rlike(r"^[\x00-\x7F\xA0-\xFF]*$") & F.col("text").rlike(r"[\xA0-\xFF]")
+    named = F.element_at(F.array(*[F.lit(c) for c in CHARSETS]), k + 1)
+    charset = F.when((k == 3) & ~latin, "UTF-8").when((k > 3) & ~F.col("text").rlike("[A-Za-z]"), "UTF-8").otherwise(named)
+    made = documents.select("doc_id", "source", charset.alias("charset"), F.coalesce(text, F.lit("")).alias("text"))
+    return encoded_text(made)
+
+
+def encoded_text(df: DataFrame, text: str = "text", charset: str = "charset", out: str = "raw") -> DataFrame:
+    """``out``: the text in the bytes of the named charset."""
+    return df.withColumn(out, _encoded(text, charset))
+
+
 def encoded_documents(documents: DataFrame) -> DataFrame:
     """Document text as bytes: UTF-8, ISO-8859-1, or UTF-16LE with byte-order mark.
 
