@@ -21,6 +21,7 @@ from ..operators import dataset as D
 from ..operators import diff as DF
 from ..operators import linediff as LD
 from ..operators import model as M
+from ..operators import network as NET
 from ..operators import rename as R
 from ..operators import select as S
 from ..operators import tokens as TK
@@ -641,4 +642,30 @@ def q_accuracy(spark, sf):
 def q_train(spark, sf):
     s = D.split_dataset(loaded(spark, sf))
     _, history = M.train_classifier(s.where("split = 'train'"), s.where("split = 'test'"), iterations=(5, 10))
-    return history.select("max_iter", (F.col("test_accuracy") >= 0).alias("trained"))
+    return history
+
+
+def _trained_network(spark, sf):
+    s = D.split_dataset(loaded(spark, sf)).select("path", "label", "tokens", "split")
+    net, history = NET.train_network(s.where("split = 'train'"), s.where("split = 'test'"))
+    return net, history, s.where("split = 'validation'")
+
+
+@query("train_network")
+def q_train_network(spark, sf):
+    """Loss and test accuracy of every epoch of the embedding network."""
+    return _trained_network(spark, sf)[1]
+
+
+@query("evaluate_network")
+def q_evaluate_network(spark, sf):
+    """Matrix, accuracy and the larger class's share of the trained network on the validation examples."""
+    net, _, validation = _trained_network(spark, sf)
+    return M.report(NET.predict_network(net, validation))
+
+
+@query("network_errors")
+def q_network_errors(spark, sf):
+    """The validation examples that the trained network gets wrong, by path."""
+    net, _, validation = _trained_network(spark, sf)
+    return M.sort_errors(NET.predict_network(net, validation))
