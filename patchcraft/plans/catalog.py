@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..operators import charset as CH
 from ..operators import clean as C
 from ..operators import collect as CO
+from ..operators import comments as CM
 from ..operators import dataset as D
 from ..operators import diff as DF
 from ..operators import linediff as LD
@@ -61,6 +62,16 @@ def q_verdict_counts(spark, sf):
     return R.verdict_counts(R.rename_verdicts(adapter_patches(spark, sf)))
 
 
+@query("code_verdicts")
+def q_code_verdicts(spark, sf):
+    return CM.code_verdicts(TB.commented_patches_from_documents(_docs(spark, sf)))
+
+
+@query("code_patches")
+def q_code_patches(spark, sf):
+    return CM.code_patches(TB.commented_patches_from_documents(_docs(spark, sf)))
+
+
 # ------------------------------------------------------------------ shared inputs
 
 TRUNCATE_AT = 80

@@ -9,6 +9,7 @@ arrays and re-ordering keys), so the two do not share logic.
 from __future__ import annotations
 
 from ..functions import fixed
+from ..operators import comments as CM
 from ..sources import tables as TB
 
 WORD = fixed.WORD_RE
@@ -450,6 +451,68 @@ cdocs AS (
   FROM documents)"""
 
 
+_LEXEME = CM.LEXEME.replace("*+", "*").replace("'", "''")
+
+
+def _around(*parts: str) -> str:
+    """Every line between the given pieces; ``@`` is a newline."""
+    quoted = ["'" + part.replace("'", "''").replace("@", "' || chr(10) || '") + "'" for part in parts]
+    return f"list_transform(ls, lambda l: {' || l || '.join(quoted)})"
+
+
+_COMMENT, _OPENS = "x[1:2] IN ('//', '/*')", "x[1:2] = '/*' AND NOT (ends_with(x, '*/') AND length(x) >= 4)"
+COMMENTED = f"""
+cdoc AS (SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: l <> '') AS ls FROM documents),
+cpatches AS (
+  SELECT source AS repo, CAST(doc_id AS VARCHAR) AS patch_id, '@@ -1 +1 @@' || chr(10) || array_to_string(CASE doc_id % 6
+    WHEN 0 THEN {_around("-", " // one@+", " // two")}
+    WHEN 1 THEN list_concat([' /**'], {_around("- * ", "@+ * ", " more")}, [' */', ' int a;'])
+    WHEN 2 THEN {_around("+/* ", "@+ more */@ ", "")}
+    WHEN 3 THEN {_around("-int alpha = 1; /* ", " */@+int beta = 1; /* other ", " */")}
+    WHEN 4 THEN {_around('-String s = "// ', '" + x;@+String s = "// ', '" + y;')}
+    ELSE list_concat({_around("- ", "@+ ", " edited")}, [' */'], {_around("-int b; // ", "@+int c; //", "")}) END, chr(10)) || chr(10) AS text
+  FROM cdoc),
+cl AS (SELECT repo, patch_id, u.pos, u.line FROM cpatches, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, pos)),
+cside AS (
+  SELECT cl.*, s.side, row_number() OVER (PARTITION BY repo, patch_id, s.side ORDER BY pos) AS k,
+    regexp_extract_all(substr(line, 2), '{_LEXEME}', 1) AS out_lex, contains(substr(line, 2), '*/') AS closed,
+    CASE WHEN contains(substr(line, 2), '*/') THEN regexp_extract_all(substr(line, 2 + instr(substr(line, 2), '*/') + 1), '{_LEXEME}', 1) ELSE CAST([] AS VARCHAR[]) END AS in_lex,
+    regexp_matches(substr(line, 2), '^\\s*(\\*|$)') AS starred
+  FROM cl, (VALUES ('-'), ('+')) AS s(side) WHERE line[1] IN (s.side, ' ')),
+cfun AS (
+  SELECT *, len(list_filter(out_lex, lambda x: {_OPENS})) > 0 AS after_out, NOT closed OR len(list_filter(in_lex, lambda x: {_OPENS})) > 0 AS after_in,
+    contains(array_to_string(list_transform(out_lex, lambda x: CASE WHEN {_COMMENT} OR x[1] IN (chr(34), chr(39)) THEN ' ' ELSE x END), ''), '*/') AS stray,
+    len(list_filter(out_lex, lambda x: {_COMMENT})) > 0 AS out_comment
+  FROM cside),
+cbegan AS (
+  SELECT repo, patch_id, side, coalesce(arg_min(stray, pos) FILTER (stray OR out_comment), bool_and(starred) AND bool_or(contains(line, '*'))) AS began
+  FROM cfun GROUP BY ALL),
+cwalk AS (
+  SELECT f.repo, f.patch_id, f.side, f.k, began AS inside, CASE WHEN began THEN after_in ELSE after_out END AS next
+  FROM cfun f JOIN cbegan USING (repo, patch_id, side) WHERE k = 1
+  UNION ALL
+  SELECT f.repo, f.patch_id, f.side, f.k, w.next, CASE WHEN w.next THEN f.after_in ELSE f.after_out END
+  FROM cwalk w JOIN cfun f ON f.repo = w.repo AND f.patch_id = w.patch_id AND f.side = w.side AND f.k = w.k + 1),
+ccode AS (
+  SELECT f.*, w.inside, w.inside OR out_comment AS has_comment,
+    CASE WHEN w.inside OR out_comment THEN rtrim(array_to_string(list_transform(CASE WHEN w.inside THEN in_lex ELSE out_lex END,
+      lambda x: CASE WHEN {_COMMENT} THEN ' ' ELSE x END), '')) ELSE substr(line, 2) END AS code
+  FROM cfun f JOIN cwalk w USING (repo, patch_id, side, k)),
+cchanged AS (SELECT * FROM ccode WHERE line[1] = side AND NOT (has_comment AND trim(code) = '')),
+cflags AS (
+  SELECT c.repo, c.patch_id, bool_or(c.line[1] = c.side) AND bool_or(c.line[1] = c.side AND c.has_comment)
+    AND any_value(coalesce(o.code, '')) = any_value(coalesce(n.code, '')) AS only_comments
+  FROM ccode c
+  LEFT JOIN (SELECT repo, patch_id, string_agg(code || chr(1), '' ORDER BY pos) AS code FROM cchanged WHERE side = '-' GROUP BY ALL) o USING (repo, patch_id)
+  LEFT JOIN (SELECT repo, patch_id, string_agg(code || chr(1), '' ORDER BY pos) AS code FROM cchanged WHERE side = '+' GROUP BY ALL) n USING (repo, patch_id)
+  GROUP BY ALL),
+patches AS (
+  SELECT repo, patch_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM (
+    SELECT repo, patch_id, pos, line FROM cl WHERE line = '' OR line[1] NOT IN ('-', '+')
+    UNION ALL SELECT repo, patch_id, pos, side || code FROM cchanged)
+  GROUP BY ALL)"""
+
+
 def _changed(src: str) -> str:
     return f"""
 o_lines AS (SELECT pair_id, line FROM {src}, unnest(string_split(old, chr(10))) AS u(line)),
@@ -467,6 +530,14 @@ P = PATCHES
 ORACLES: dict[str, str] = {
     "rename_verdicts": rename_verdicts(),
     "verdict_counts": verdict_counts(),
+    "code_patches": _q("SELECT repo, patch_id, text, coalesce(only_comments, false) AS only_comments FROM patches LEFT JOIN cflags USING (repo, patch_id)", COMMENTED),
+    "code_verdicts": _q(r"""
+SELECT p.repo, p.patch_id, CASE WHEN only_comments THEN 'n' WHEN v.n_renames = 0 THEN 'n' WHEN v.n_renames <= 2 THEN 'y' WHEN v.n_renames > 2 THEN 'skip' END AS verdict,
+  CASE WHEN only_comments THEN 0 ELSE v.n_renames END AS n_renames, CASE WHEN NOT coalesce(only_comments, false) THEN v.message END AS message,
+  CASE WHEN only_comments THEN 'comment' WHEN v.repo IS NULL THEN coalesce(
+    CASE WHEN len(regexp_extract_all(p.text, '(?m)^-')) <> len(regexp_extract_all(p.text, '(?m)^\+')) THEN 'unbalanced' END,
+    CASE WHEN b.repo IS NOT NULL THEN 'not a rename' ELSE 'conflicting rename' END) END AS reason
+FROM patches p LEFT JOIN cflags USING (repo, patch_id) LEFT JOIN verdicts v USING (repo, patch_id) LEFT JOIN bad b USING (repo, patch_id)""", COMMENTED, RENAME_LINES),
     "rename_map": _q("SELECT repo, patch_id, n_renames, message FROM verdicts", P, RENAME_LINES),
     "change_runs": _q("SELECT DISTINCT repo, patch_id, CAST(i_start AS BIGINT) AS run_start, CAST(k_minus AS BIGINT) AS run_removed, CAST(k_plus AS BIGINT) AS run_added FROM islands", P, ALL_LINES),
     "align_runs": _q("""

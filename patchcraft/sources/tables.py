@@ -128,6 +128,36 @@ def patches_from_documents(documents: DataFrame) -> DataFrame:
     ).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
 
+def commented_patches_from_documents(documents: DataFrame) -> DataFrame:
+    """One patch per document that edits comments, code, or both; its lines stand in comments or strings.
+
+    ``doc_id % 6``: 0 the comment behind a line, 1 the lines of a docstring,
+    2 new block comments, 3 a rename beside an edited comment, 4 a rename
+    beside strings that look like comments, 5 a hunk that begins inside a
+    comment, then a rename beside a comment.  Output: ``repo, patch_id, text``.
+    """
+    case = F.col("doc_id") % 6
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda l: l != "")
+
+    def around(*parts: str) -> Column:
+        """Every line between the given pieces."""
+        return F.transform(lines, lambda l: F.concat(*[x for part in parts for x in (F.lit(part), l)][:-1]))
+
+    def text(*parts: Column | str) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.array(F.lit(p)) for p in parts])
+
+    body = (
+        F.when(case == 0, text(around("-", " // one\n+", " // two")))
+        .when(case == 1, text(" /**", around("- * ", "\n+ * ", " more"), " */", " int a;"))
+        .when(case == 2, text(around("+/* ", "\n+ more */\n ", "")))
+        .when(case == 3, text(around("-int alpha = 1; /* ", " */\n+int beta = 1; /* other ", " */")))
+        .when(case == 4, text(around('-String s = "// ', '" + x;\n+String s = "// ', '" + y;')))
+        .otherwise(text(around("- ", "\n+ ", " edited"), " */", around("-int b; // ", "\n+int c; //", "")))
+    )
+    head = F.lit("@@ -1 +1 @@\n")
+    return documents.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("patch_id"), F.concat(head, F.array_join(body, "\n"), F.lit("\n")).alias("text"))
+
+
 def examples_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents: quality 1 = yes, 0 = no; ``path`` is the document id.
 
