@@ -25,10 +25,14 @@ KEY = ["repo", "patch_id"]
 
 
 def with_cheap_checks(patches: DataFrame) -> DataFrame:
-    """Adds ``n_removed``, ``n_added``, ``has_package`` and ``reject_reason`` (row-local)."""
-    text = T.normalise_newlines("text")
+    """Adds ``n_removed``, ``n_added``, ``has_package`` and ``reject_reason`` (row-local).
+
+    The text with its line ends made alike comes out of a one-row generator:
+    the checks and the filter on them read it, none makes it again.
+    """
+    others = [c for c in patches.columns if c != "text"]
     return (
-        patches.withColumn("text", text)
+        patches.select(*others, F.inline(F.array(F.struct(T.normalise_newlines("text").alias("text")))))
         .withColumn("n_removed", T.count_lines_with_sign("text", "-"))
         .withColumn("n_added", T.count_lines_with_sign("text", "+"))
         .withColumn("has_package", T.has_package_line("text"))

@@ -110,9 +110,14 @@ def _draw(seed, *parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
-def _skip_excluded(p: Column, excluded_sorted: Column) -> Column:
-    """Map a position among non-excluded indices to the actual index."""
-    return F.aggregate(excluded_sorted, p, lambda acc, e: F.when(e <= acc, acc + 1).otherwise(acc))
+def _skips(excluded_sorted: Column) -> Column:
+    """Of each excluded index, the number of free ones before it."""
+    return F.transform(excluded_sorted, lambda e, i: e - i)
+
+
+def _skip_excluded(p: Column, skips: Column) -> Column:
+    """Map a position among non-excluded indices to the actual index: one further for each excluded one before it."""
+    return p + F.size(F.filter(skips, lambda before: before <= p))
 
 
 def sample_pairs(
@@ -152,17 +157,20 @@ def sample_pairs(
         .withColumn("excl_old", F.coalesce("excl_old", empty))
         .withColumn("excl_new", F.coalesce("excl_new", empty))
     )
+    # Each value that later ones name comes out of a generator, so none is computed twice.
+    t = t.select("*", F.inline(F.array(F.struct(_skips(F.col("excl_old")).alias("skip_old"), _skips(F.col("excl_new")).alias("skip_new")))))
     copies = t.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
     free_old = F.col("size_old") - F.size("excl_old")
-    same = (F.col("s_old") == F.col("s_new")).cast("long")
-    free_new = F.col("size_new") - F.size("excl_new") - same
+    same = F.col("s_old") == F.col("s_new")
+    free_new = F.col("size_new") - F.size("excl_new") - same.cast("long")
     d = copies.where((free_old > 0) & (free_new > 0))
-    d = d.withColumn("idx_old", _skip_excluded(_draw(seed, F.col("template_id"), F.col("copy"), F.lit("old")) % free_old, F.col("excl_old")))
-    # The new word also skips the old word when both come from one class.
-    excl_new = F.when(
-        F.col("s_old") == F.col("s_new"), F.array_sort(F.concat("excl_new", F.array("idx_old")))
-    ).otherwise(F.col("excl_new"))
-    d = d.withColumn("idx_new", _skip_excluded(_draw(seed, F.col("template_id"), F.col("copy"), F.lit("new")) % free_new, excl_new))
+    draws = F.struct(*[(_draw(seed, F.col("template_id"), F.col("copy"), F.lit(k)) % free).alias(f"draw_{k}") for k, free in (("old", free_old), ("new", free_new))])
+    d = d.select("*", F.inline(F.array(draws)))
+    d = d.select("*", F.inline(F.array(F.struct(_skip_excluded(F.col("draw_old"), F.col("skip_old")).alias("idx_old")))))
+    # The new word also skips the old word when both come from one class, in which all of excl_old is excl_new.
+    shifted = _skip_excluded(F.col("draw_new"), F.col("skip_new"))
+    past_old = _skip_excluded(F.col("draw_new") + 1, F.col("skip_new"))
+    d = d.withColumn("idx_new", F.when(same & (F.col("draw_old") <= F.col("draw_new")), past_old).otherwise(shifted))
     w_old = indexed.select(F.col("shape").alias("s_old"), F.col("idx").alias("idx_old"), F.col("word").alias("pair_old"))
     w_new = indexed.select(F.col("shape").alias("s_new"), F.col("idx").alias("idx_new"), F.col("word").alias("pair_new"))
     return d.join(w_old, ["s_old", "idx_old"]).join(w_new, ["s_new", "idx_new"]).select(
@@ -203,26 +211,42 @@ def spawn_templates(patches: DataFrame) -> DataFrame:
     )
 
 
-def spawn_patches(templates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Copies of each template with the rename replaced by the drawn pair.
+#: Stand for the two names in a template's text while copies are made.
+_OLD, _NEW = "\x00", "\x01"
 
-    On removed lines ``old`` becomes ``pair_old``; on added lines ``new``
-    becomes ``pair_new`` (whole words only); other lines are unchanged.
-    Output: ``repo, patch_id`` (``<template>-<copy>``), ``template_id, copy,
-    pair_old, pair_new, text``.
-    """
-    j = templates.join(pairs, "template_id")
-    old_pat, new_pat = _whole_word(F.col("old")), _whole_word(F.col("new"))
+
+def _rewritten(text: Column, old: Column, new: Column, old_as: Column, new_as: Column) -> Column:
+    """``old`` on removed lines and ``new`` on added ones, as whole words, in other words."""
 
     def rewrite(l: Column) -> Column:
         sign = F.substring(l, 1, 1)
         return (
-            F.when(sign == "-", F.regexp_replace(l, old_pat, F.col("pair_old")))
-            .when(sign == "+", F.regexp_replace(l, new_pat, F.col("pair_new")))
+            F.when(sign == "-", F.regexp_replace(l, _whole_word(old), old_as))
+            .when(sign == "+", F.regexp_replace(l, _whole_word(new), new_as))
             .otherwise(l)
         )
 
-    text = F.array_join(F.transform(F.split("text", "\n", -1), rewrite), "\n")
+    return F.array_join(F.transform(F.split(text, "\n", -1), rewrite), "\n")
+
+
+def spawn_patches(templates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Copies of each template with the rename replaced by the drawn pair.
+
+    On removed lines ``old`` becomes ``pair_old``; on added lines ``new``
+    becomes ``pair_new`` (whole words only); other lines are unchanged.  The
+    places of the names are found once a template, and a copy only puts its
+    words there; a text that holds the signs used for that is rewritten for
+    each copy.
+    Output: ``repo, patch_id`` (``<template>-<copy>``), ``template_id, copy,
+    pair_old, pair_new, text``.
+    """
+    old, new = F.col("old"), F.col("new")
+    clear = (F.instr("text", _OLD) == 0) & (F.instr("text", _NEW) == 0)
+    places = F.when(clear, _rewritten(F.col("text"), old, new, F.lit(_OLD), F.lit(_NEW)))
+    marked = templates.select("*", F.inline(F.array(F.struct(places.alias("marked")))))
+    j = marked.join(pairs, "template_id")
+    put = F.replace(F.replace(F.col("marked"), F.lit(_OLD), F.col("pair_old")), F.lit(_NEW), F.col("pair_new"))
+    text = F.coalesce(put, _rewritten(F.col("text"), old, new, F.col("pair_old"), F.col("pair_new")))
     return j.select(
         "repo",
         F.concat(F.col("patch_id"), F.lit("-"), F.col("copy").cast("string")).alias("patch_id"),

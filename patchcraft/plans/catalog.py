@@ -81,11 +81,9 @@ LIMIT_N = 20
 
 def adapter_examples(spark, sf):
     """Labelled patches: adapter patch text of every labelled document."""
-    p = adapter_patches(spark, sf)
-    labels = TB.read_table(spark, sf, "labels").select(
-        F.col("doc_id").cast("string").alias("patch_id"), F.col("quality").cast("int").alias("label")
-    )
-    return p.join(labels, "patch_id").select(
+    # Joined by id first: only labelled documents become patches.
+    labels = TB.read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return TB.patches_from_documents(_docs(spark, sf).join(labels, "doc_id"), keep=("label",)).select(
         F.concat_ws("/", "repo", F.when(F.col("label") == 1, "yes").otherwise("no"),
                     F.concat(F.col("patch_id"), F.lit(".diff"))).alias("path"),
         "label", "text", "n_bytes",

@@ -81,14 +81,16 @@ def _renamed_line(line: Column, idx: Column, case: Column, w1, w2, w3) -> Column
     return F.when(case == 4, F.concat(new, F.lit(" "))).otherwise(new)
 
 
-def patches_from_documents(documents: DataFrame) -> DataFrame:
+def patches_from_documents(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One patch per document: every non-empty line becomes a ``-old``/``+new`` pair.
 
     ``doc_id % 8`` picks the edit: 0 rename one word, 1 two words, 2 three
     words, 3 one word to two names (even/odd lines), 4 rename plus trailing
     space, 5 rename plus a package line, 6 identical pairs, 7 the case-0 edit
     written as one block of removals followed by the additions.
-    Output: ``repo, patch_id, text, n_bytes``.
+    Output: ``repo, patch_id, text, n_bytes`` and the ``keep`` columns of the
+    documents.  The text comes out of a one-row generator, so that rules on it
+    do not each build it again.
     """
     text = F.col("text")
     case = F.col("case")
@@ -116,7 +118,7 @@ def patches_from_documents(documents: DataFrame) -> DataFrame:
     patch = F.concat(header, body)
     prepared = _with_rename_words(
         documents.select(
-            "doc_id", "source", "text",
+            "doc_id", "source", "text", *keep,
             (F.col("doc_id") % 8).cast("int").alias("case"),
             F.filter(F.split(text, "\n", -1), lambda l: l != "").alias("lines"),
         )
@@ -124,8 +126,9 @@ def patches_from_documents(documents: DataFrame) -> DataFrame:
     return prepared.select(
         F.col("source").alias("repo"),
         F.col("doc_id").cast("string").alias("patch_id"),
-        patch.alias("text"),
-    ).withColumn("n_bytes", F.octet_length("text").cast("long"))
+        *keep,
+        F.inline(F.array(F.struct(patch.alias("text")))),
+    ).select("repo", "patch_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), *keep)
 
 
 def commented_patches_from_documents(documents: DataFrame) -> DataFrame:
