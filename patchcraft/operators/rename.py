@@ -15,7 +15,7 @@ patches spreads over every task; only one enormous patch would stay in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -112,15 +112,16 @@ def compare_pairs(paired: DataFrame) -> DataFrame:
     """
     # Identical lines differ nowhere: they skip tokenising.
     differs = F.col("old_line") != F.col("new_line")
-    paired = paired.withColumn("old_w", F.when(differs, T.word_tokens("old_line")).otherwise(F.array())) \
-        .withColumn("new_w", F.when(differs, T.word_tokens("new_line")).otherwise(F.array()))
+    words = [F.when(differs, T.word_tokens(c)).otherwise(F.array()).alias(w) for c, w in (("old_line", "old_w"), ("new_line", "new_w"))]
+    paired = paired.select("*", F.inline(F.array(F.struct(*words))))
     old_w, new_w = F.col("old_w"), F.col("new_w")
-    zipped = F.zip_with(old_w, new_w, lambda o, n: F.struct(o.alias("old"), n.alias("new")))
-    indexed = F.transform(
-        zipped,
-        lambda z, i: F.struct(F.col("akey").alias("akey"), i.alias("idx"), z["old"].alias("old"), z["new"].alias("new")),
-    )
-    diffs = F.filter(indexed, lambda z: z["old"] != z["new"])
+
+    def difference(old: Column, i: Column) -> Column:
+        """Null where the words are the same: a struct is made only of those that differ."""
+        new = F.get(new_w, i)
+        return F.when(old != new, F.struct(F.col("akey").alias("akey"), i.alias("idx"), old.alias("old"), new.alias("new")))
+
+    diffs = F.filter(F.transform(old_w, difference), lambda z: z.isNotNull())
 
     def good(z):
         return (
