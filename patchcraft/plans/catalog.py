@@ -7,6 +7,7 @@ entries read whole tables; none caps rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,11 @@ from ..operators import linediff as LD
 from ..operators import model as M
 from ..operators import network as NET
 from ..operators import rename as R
+from ..operators import seen as SE
 from ..operators import select as S
 from ..operators import tokens as TK
 from ..operators import vocab as V
+from ..session import shared_path
 from ..sources import tables as TB
 from ..sources.files import label_from_path
 
@@ -463,6 +466,21 @@ def q_dedup(spark, sf):
     return V.exact_dedup(_docs(spark, sf), "text", "doc_id")
 
 
+@query("dedup_by_batches")
+def q_dedup_by_batches(spark, sf):
+    """Documents in two batches, the second one also without the texts of the first."""
+    index = SE.SeenTexts(spark, shared_path(spark, "seen", uuid.uuid4().hex))
+    docs = _docs(spark, sf).select("doc_id", "text")
+    found = []
+    for batch in (0, 1):
+        path = shared_path(spark, "seen", uuid.uuid4().hex)
+        index.unseen(docs.where(F.col("doc_id") % 2 == batch), "text", "doc_id").write.parquet(path)
+        kept = spark.read.schema(docs.schema).parquet(path)
+        index.add(kept, "text", f"batch-{batch}")
+        found.append(kept.select("doc_id", F.lit(batch).alias("batch_no"), F.md5("text").alias("text_md5")))
+    return found[0].unionByName(found[1])
+
+
 @query("sample_pairs")
 def q_sample_pairs(spark, sf):
     patches = adapter_patches(spark, sf).persist()

@@ -651,6 +651,9 @@ SELECT word FROM vocab
 WHERE word NOT IN (SELECT i.word FROM idents i JOIN templates t ON i.repo = t.repo AND i.patch_id = t.patch_id)""",
         P, RENAME_LINES, VOCAB, TEMPLATES),
     "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
+    "dedup_by_batches": """
+SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS batch_no, md5(text) AS text_md5
+FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id % 2, doc_id) = 1""",
     "changed_lines": _q(CHANGED_SELECT, VERSIONS, _changed("versions")),
     "line_diff": _q("""
 SELECT pair_id, n_kept, n_old - n_kept AS n_removed, n_new - n_kept AS n_added, md5(old) AS old_md5, md5(new) AS new_md5
