@@ -19,6 +19,7 @@ import re
 import tempfile
 import uuid
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import type_of, written
-from .words import BLANK, CACHE, DIGIT, LETTER, UNPLAIN, byte_signs
+from .words import BLANK, CACHE, DIGIT, LETTER, UNPLAIN, Cache, byte_signs
 
 #: Words in the transducer, at most; what is collected for it is bounded by this.
 LEXICON = 1 << 15
@@ -59,6 +60,10 @@ class Vocabulary:
         for rank, pair in enumerate(file["model"]["merges"]):
             a, b = (to_bytes(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.ranks.setdefault((words[a], words[b]), (rank, words[a + b]))
+        self.rank = {pair: rank for pair, (rank, _) in self.ranks.items()}
+        self.made = [0] * len(file["model"]["merges"])
+        for rank, new in self.ranks.values():
+            self.made[rank] = new
         self.special = special
         self.text = {i: w for w, i in words.items()} | {i: s.encode() for s, i in special.items()}
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -66,18 +71,19 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: the pair of least rank is merged, leftmost first, until none has a rank."""
         ids = [self.byte[b] for b in word]
-        ranks = self.ranks
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = ranks.get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        rank, made = self.rank, self.made
+        last = len(self.made)  # no rank
+        order = [rank.get(p, last) for p in zip(ids, ids[1:])]
+        while order and (best := min(order)) < last:
+            i = order.index(best)
+            ids[i : i + 2] = [made[best]]
+            del order[i]
+            if i:
+                order[i - 1] = rank.get((ids[i - 1], ids[i]), last)
+            if i < len(order):
+                order[i] = rank.get((ids[i], ids[i + 1]), last)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -187,36 +193,25 @@ class Encoder:
     def __init__(self, tokenizer: str, lexicon: str | None = None):
         self.vocabulary = Vocabulary(tokenizer)
         self.lexicon = Transducer(lexicon) if lexicon else None
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Cache(self._part), Cache(self._word)
         text = self.vocabulary.text
         self.text = [text.get(i, b"") for i in range(max(text) + 1)]
 
     def _word(self, word: str) -> bytes:
-        if word in self.words:
-            return self.words[word]
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.lexicon.get(raw) if self.lexicon else None
-        out = np.array(self.vocabulary.merge(raw) if ids is None else ids, "<u4").tobytes()
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[word] = out
-        return out
+        return np.array(self.vocabulary.merge(raw) if ids is None else ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        out = b"".join([self._word(w) for w in _plain.findall(" " + part)])
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        self.parts[part] = out
-        return out
+        return b"".join(map(self.words.get, _plain.findall(" " + part)))
 
     def _ordinary(self, text: str) -> bytes:
         if UNPLAIN.search(text) or _UNEVEN.search(text):
-            return b"".join([self._word(w) for w in pre_tokens(text)])
+            return b"".join(map(self.words.get, pre_tokens(text)))
         # Every blank starts a part of its own, so the parts' ids follow each other.
         head, *parts = text.split(" ")
-        known = self.parts.get
-        return b"".join([self._word(w) for w in _plain.findall(head)] + [known(p) or self._part(p) for p in parts])
+        known, made = self.parts.now.get, self.parts.get
+        return b"".join([*map(self.words.get, _plain.findall(head)), *[known(p) or made(p) for p in parts]])
 
     def encode(self, text: str) -> bytes:
         split = self.vocabulary.special_split
@@ -245,20 +240,29 @@ def count_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n`` over all texts, added up in each task first (in steps of a bounded number of words)."""
 
     def run(batches):
-        counts: dict[str, int] = {}
+        # What stands between blanks is counted first and split once for all its places.
+        counts, parts = Counter(), Counter()
 
         def flush():
+            for p, n in parts.items():
+                for w in _plain.findall(" " + p):
+                    counts[w] += n
             words = list(counts)
             for i in range(0, len(words), 1 << 16):
                 part = words[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in part], pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
             counts.clear()
+            parts.clear()
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in pre_tokens(t):
-                    counts[w] = counts.get(w, 0) + 1
-                if len(counts) > CACHE:
+                if UNPLAIN.search(t) or _UNEVEN.search(t):
+                    counts.update(pre_tokens(t))
+                else:
+                    head, *rest = t.split(" ")
+                    counts.update(_plain.findall(head))
+                    parts.update(rest)
+                if len(counts) + len(parts) > CACHE:
                     yield from flush()
         yield from flush()
 

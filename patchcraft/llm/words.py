@@ -18,7 +18,7 @@ DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANK = " \t-\r"
 #: Characters outside printable ASCII, the blanks above and Latin letters and signs; also the capital that lower-cases to two.
 UNPLAIN = re.compile("[^ -~\t-\r\xa1-įı-ɏ]|<\\|")
-#: Entries after which a cache starts anew, so that memory stays bounded.
+#: Entries of a generation of a cache.
 CACHE = 300_000
 
 
@@ -29,6 +29,30 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Cache:
+    """Values of the keys met of late: two generations, so that memory is bounded and what comes often stays.
+
+    ``now`` is the young generation, for a quick look; ``get`` finds in the
+    old one or makes what is not there.  Once the young one is full it becomes
+    the old one, whose other keys are forgotten.
+    """
+
+    def __init__(self, make, most: int = CACHE):
+        self.make, self.most = make, most
+        self.now, self.old = {}, {}
+
+    def get(self, key):
+        value = self.now.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.make(key)
+            if len(self.now) >= self.most:
+                self.now, self.old = {}, self.now
+            self.now[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids, as little-endian unsigned 32-bit bytes, of whole texts."""
 
@@ -40,29 +64,20 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.signs = byte_signs()
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{BLANK}{LETTER}{DIGIT}]+").findall
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Cache(self._part), Cache(self._word)
 
     def _word(self, word: str) -> bytes:
         signs = word.encode().decode("latin-1").translate(self.signs)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+        return np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        ids = b"".join([self.words.get(w) or self._word(w) for w in self.split(part)])
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        self.parts[part] = ids
-        return ids
+        return b"".join(map(self.words.get, self.split(part)))
 
     def encode(self, text: str) -> bytes:
         if UNPLAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.parts.get
-        return b"".join([known(p) or self._part(p) for p in text.lower().split()])
+        known, made = self.parts.now.get, self.parts.get
+        return b"".join([known(p) or made(p) for p in text.lower().split()])
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -156,13 +156,53 @@ def test_edits_count_as_the_whole_text_does():
         for _ in range(5):
             a = rng.randint(0, len(t))
             b = min(len(t), a + rng.choice([0, 0, 1, 3, 30]))
-            new = "".join(rng.choice(" \nab's1") for _ in range(rng.choice([0, 1, 2, 6])))
+            new = "".join(rng.choice([*" \nab's1", "'", "r", "e", "v", "l", "ll", "'re", "'ve", "t", "m", "d"]) for _ in range(rng.choice([0, 1, 1, 2, 6])))
             after, _ = tree.edit(t, a, b, new, count)
             assert after == t[:a] + new + t[b:] and sum(tree.chars[tree.width :]) == len(after)
             assert tree.n_tokens == size(after), (t, a, b, new)
             t = after
 
 
+def test_an_edit_may_complete_a_contraction_that_began_in_the_leaf_before():
+    library, count = Tokenizer.from_file(BYTES), token_counts.TokenCounter(BYTES)
+    for tail, new in (("rx", "e"), ("vx", "e"), ("lx", "l"), ("x", "s"), ("x", "t")):
+        for left in range(1, 14):
+            text = "a" * left + "'" + tail + " and more of it"
+            for leaf in (1, 4, 8):
+                tree, at = token_counts.TokenTree.build(text, count, leaf), left + len(tail)
+                after, _ = tree.edit(text, at, at + 1, new, count)
+                assert tree.n_tokens == len(library.encode(after, add_special_tokens=False).ids), (after, leaf)
+
+
+def test_stored_trees_go_on_where_they_ended(llm, docs, empty):
+    library = Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    cut = lambda a, b, new: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(new).alias("new")))
+    long = llm.createDataFrame([(1, "the quick brown fox. " * 4000)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(long)
+    first = token_counts.count_with_edits(rows, cut(5, 9, " it's"), BYTES, keep_text=True).cache()
+    again = token_counts.count_with_edits(first, cut(40_000, 40_001, "'re"), BYTES, leaves=("leaf_chars", "leaf_tokens"), keep_text=True).cache()
+    got = again.collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(r["n_tokens_edited"] for r in first.collect())
+    for r in got:
+        assert r["n_tokens_edited"] == len(library.encode(r["text"], add_special_tokens=False).ids) and sum(r["leaf_chars"]) == len(r["text"])
+    # A tree that is not the text's is not used.
+    wrong = first.withColumn("leaf_chars", F.array(F.lit(1)))
+    assert [r["n_tokens"] for r in token_counts.count_with_edits(wrong, cut(0, 0, ""), BYTES, leaves=("leaf_chars", "leaf_tokens")).orderBy("doc_id", "n_tokens").collect()] == [
+        r["n_tokens"] for r in again.orderBy("doc_id", "n_tokens").collect()
+    ]
+    assert token_counts.count_with_edits(first.limit(0), cut(0, 0, ""), BYTES, leaves=("leaf_chars", "leaf_tokens")).count() == 0
+
+
+def test_caches_stay_bounded_and_keep_what_comes_often():
+    made = []
+    cache = token_counts.Cache(lambda k: made.append(k) or k + 1, most=10)
+    for i in range(500):
+        assert cache.get(7) == 8 and cache.get(1000 + i) == 1001 + i
+        assert len(cache.now) <= 10 and len(cache.old) <= 10
+    assert made.count(7) == 1
+
+
 def test_edits_read_little_of_a_long_text(llm, docs, empty):
     count, text = token_counts.TokenCounter(BYTES), "the quick brown fox. " * 5000
     tree = token_counts.TokenTree.build(text, count)
@@ -273,3 +313,26 @@ def test_language_sample_is_bounded_whatever_the_ids(llm):
     want = {lang: sorted(r["number"] for r in small.collect() if r["lang"] == lang)[:50] for lang in "ab"}
     got = langid._least(small, 50).collect()
     assert {lang: sorted(r["number"] for r in got if r["lang"] == lang) for lang in "ab"} == want
+
+
+def test_packing_hands_up_a_bounded_number_of_bins(llm):
+    """Pieces of which no two fit together: each partition but hands up a few, and none is put off to the root."""
+    rng = random.Random(6)
+    rows = [(i, 0, 0, rng.randint(2100, 4000), i) for i in range(3000)] + [(None, 0, 0, 1, 5)] * 1500
+    pieces = llm.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    read = []
+    real = packing.written
+    packing.written = lambda df, name: read.append(real(df, name)) or read[-1]
+    try:
+        got = packing.pack(real(pieces, "pieces"), leaf_pieces=300, fan_in=4).collect()
+    finally:
+        packing.written = real
+    assert len(got) == len(rows)
+    first, *later = read
+    assert first.groupBy("part").count().agg(F.max("count")).first()[0] < 600  # equal rows spread too
+    bins = lambda df: df.select("part", "origin", "bin").distinct().groupBy("part").count().agg(F.max("count")).first()[0]
+    assert all(bins(df.where("sequence_id < 0")) <= 5 for df in [first, *later[:-1]])
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) == 3000  # every long piece has its own sequence, the short ones fill them
