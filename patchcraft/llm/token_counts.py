@@ -2,7 +2,7 @@
 
 A document's pre-tokens are grouped into leaves of a segment tree that holds
 the tokens and characters below each node.  An edit re-reads the leaves it
-touches and, as boundary context, the one before (a pre-token may grow to the
+touches and, as boundary context, what stands up to two characters before (a pre-token may grow to the
 right) and those after up to the first pre-token boundary that old and new
 text share: from there on the split is as it was, since the split rule never
 looks back.  New counts go into the touched leaves and up to the root; nothing
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bpe import pre_tokens
 from .common import type_of
-from .words import CACHE, byte_signs
+from .words import Cache, byte_signs
 
 #: Characters of a leaf when it is built, at least.
 LEAF = 256
@@ -29,20 +29,13 @@ class TokenCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.signs, self.known = Tokenizer.from_file(path).model, byte_signs(), {}
+        self.model, self.signs, self.known = Tokenizer.from_file(path).model, byte_signs(), Cache(self._tokens)
+
+    def _tokens(self, word: str) -> int:
+        return len(self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)))
 
     def count(self, words: list[str]) -> int:
-        total = 0
-        for w in words:
-            n = self.known.get(w)
-            if n is None:
-                signs = w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
-                n = len(self.model.tokenize(signs))
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[w] = n
-            total += n
-        return total
+        return sum(map(self.known.get, words))
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -113,7 +106,8 @@ class TokenTree:
 
     def edit(self, text: str, start: int, stop: int, new: str, count: TokenCounter) -> tuple[str, int]:
         """Replaces ``text[start:stop]``; the new text and how many characters were read again."""
-        first, begin = self.find(max(0, start - 1))
+        # A pre-token that begins two characters before the edit may be a contraction that the edit completes.
+        first, begin = self.find(max(0, start - 2))
         last, last_begin = self.find(max(stop, start + 1) - 1 if stop > start else start)
         last, last_begin = max((last, last_begin), (first, begin))
         after = text[:start] + new + text[stop:]
@@ -144,33 +138,53 @@ class TokenTree:
         return after, read
 
 
-def count_with_edits(docs: DataFrame, edits: Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+def count_with_edits(
+    docs: DataFrame,
+    edits: Column,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    leaf: int = LEAF,
+    leaves: tuple[str, str] | None = None,
+    keep_text: bool = False,
+) -> DataFrame:
     """One row for each input row: ``doc_id, n_tokens, n_edits, n_tokens_edited, n_chars_read, leaf_chars, leaf_tokens``.
 
     ``edits`` is an array of ``struct<start, stop, new>`` (code points), applied
     in turn, each to the text the one before left; places outside the text
     are moved to its ends, null fields mean 0, ``start`` and "".  The leaf
-    columns are the tree after the edits.  Special tokens' strings are
-    ordinary text.  Null text counts as empty, a null array as no edit.
+    columns are the tree after the edits; with ``keep_text`` the edited text
+    follows as ``text``.  Given as ``leaves`` to a later call, the tree is
+    taken from them and only what the edits touch is encoded; a row whose
+    leaves are null or do not add up to its text gets a new tree.
+
+    Special tokens' strings are ordinary text.  Null text counts as empty, a
+    null array as no edit.  A very long text has more leaves, not larger ones.
     """
+    names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_read", "leaf_chars", "leaf_tokens", *["text"] * keep_text]
 
     def run(batches):
         count = counter(tokenizer)
         for b in batches:
             rows = []
-            for text, todo in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                tree = TokenTree.build(text, count, leaf)
+            for text, todo, chars, tokens in zip(*(b.column(j).to_pylist() for j in (1, 2, 3, 4))):
+                stored = bool(chars) and bool(tokens) and len(chars) == len(tokens) and sum(chars) == len(text)
+                tree = TokenTree(chars, tokens) if stored else TokenTree.build(text, count, leaf)
                 before, read = tree.n_tokens, 0
                 for e in todo or ():
                     start = min(max(e["start"] or 0, 0), len(text))
                     stop = min(max(start if e["stop"] is None else e["stop"], start), len(text))
                     text, n = tree.edit(text, start, stop, e["new"] or "", count)
                     read += n
-                leaves = slice(tree.width, tree.width + tree.n_leaves)
-                rows.append((before, len(todo or ()), tree.n_tokens, read, tree.chars[leaves], tree.tokens[leaves]))
-            types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2
+                own = slice(tree.width, tree.width + tree.n_leaves)
+                rows.append((before, len(todo or ()), tree.n_tokens, read, tree.chars[own], tree.tokens[own], text))
+            types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.string()] * keep_text
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]], names=names)
 
-    names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_read", "leaf_chars", "leaf_tokens"]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.cast("array<struct<start:bigint,stop:bigint,new:string>>").alias("edits"))
-    return rows.mapInArrow(run, f"doc_id {type_of(docs, id_col)}, n_tokens long, n_edits long, n_tokens_edited long, n_chars_read long, leaf_chars array<int>, leaf_tokens array<int>")
+    kept = [F.col(c).cast("array<int>") if leaves else F.lit(None).cast("array<int>") for c in leaves or ("", "")]
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        edits.cast("array<struct<start:bigint,stop:bigint,new:string>>").alias("edits"), kept[0].alias("chars"), kept[1].alias("tokens"),
+    )
+    schema = f"doc_id {type_of(docs, id_col)}, n_tokens long, n_edits long, n_tokens_edited long, n_chars_read long, leaf_chars array<int>, leaf_tokens array<int>"
+    return rows.mapInArrow(run, schema + ", text string" * keep_text)
