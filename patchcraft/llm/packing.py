@@ -2,11 +2,15 @@
 
 Documents become pieces of at most ``capacity`` tokens.  A round packs each
 partition on its own, largest item first, each into the fullest bin with room
-(best fit).  Bins that are nearly full are emitted; underfull bins go on, as
-items, to a round over a fraction of the partitions, up to one partition at
-the root.  What a partition hands up does not depend on its size (bins that
-are neither full nor fillable are the tail of one packing), so the root's
-input stays small however many partitions the first round has.
+(best fit).  The bins with the most room, one more than partitions meet in the
+next round, go on to it as items; all others are emitted.  The rounds run over
+fewer and fewer partitions, to one at the root.
+
+That bounds every later task by the number of partitions that meet there,
+whatever the lengths are, and costs next to nothing: after best fit at most one
+bin of a partition is under half full, so two bins can only be joined if one
+of them is such a bin, and for each of these as many bins go on that could take
+it, those with the most room.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .words import encoder
 
 CAPACITY = 4096
 END_ID = 1
-#: A bin with so few tokens free is emitted before the root round.
+#: A bin with so few tokens free is always emitted.
 SLACK = 8
 #: Documents in a partition of the first round, on average, and partitions that share one of the next.
 LEAF_PIECES, FAN_IN = 4_000, 8
@@ -84,13 +88,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(items: DataFrame, capacity: int, slack: int, level: int, root: bool) -> DataFrame:
+def _round(items: DataFrame, capacity: int, slack: int, level: int, handed: int) -> DataFrame:
     """Packs the items of each ``part`` anew.
 
     ``items`` has a row for each piece: the item it is in (``origin, bin``),
     that item's ``fill`` and the piece's ``offset`` there.  The result has the
     new ``bin``, ``fill`` and ``offset``, and ``sequence_id`` where the bin is
-    emitted.
+    emitted: all but the ``handed`` ones with the most room.
     """
 
     def pack_part(frame: pd.DataFrame) -> pd.DataFrame:
@@ -105,9 +109,11 @@ def _round(items: DataFrame, capacity: int, slack: int, level: int, root: bool)
                 fill += sizes[i]
             fills.append(fill)
         now = np.array(to, np.int64)[item]
-        fill = np.array(fills, np.int64)[now]
+        bin_fills = np.array(fills, np.int64)
+        emitted = capacity - bin_fills <= slack
+        emitted[np.argsort(bin_fills, kind="stable")[handed:]] = True
+        fill, done = bin_fills[now], emitted[now] | (not handed)
         part = frame["part"].to_numpy()
-        done = root | (capacity - fill <= slack)
         return frame.assign(
             origin=part, bin=now, fill=fill, offset=frame["offset"].to_numpy() + np.array(at, np.int64)[item],
             sequence_id=pd.Series(np.where(done, (level << 58) + (part << 28) + now, -1), index=frame.index),
@@ -123,14 +129,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, leaf_p
     its own partitions with the same outcome.
     """
     parts = max(1, -(-pieces.count() // leaf_pieces))
-    number = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # The row's own number too, so that pieces that are alike in all else do not share a partition.
+    number = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     items = pieces.select(
         F.pmod(number, F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("origin"),
         F.monotonically_increasing_id().alias("bin"), F.col("length").alias("fill"), F.lit(0).cast("long").alias("offset"), *pieces.columns,
     )
     emitted, level = [], 0
     while True:
-        bins = written(_round(items, capacity, slack, level, parts == 1), "bins")
+        bins = written(_round(items, capacity, slack, level, fan_in + 1 if parts > 1 else 0), "bins")
         emitted.append(bins.where("sequence_id >= 0"))
         if parts == 1:
             break
