@@ -19,7 +19,6 @@ import re
 import tempfile
 import uuid
 from bisect import bisect_left
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +192,7 @@ class Encoder:
     def __init__(self, tokenizer: str, lexicon: str | None = None):
         self.vocabulary = Vocabulary(tokenizer)
         self.lexicon = Transducer(lexicon) if lexicon else None
-        self.parts, self.words = Cache(self._part), Cache(self._word)
+        self.parts, self.words = Cache(self._part, CACHE * 4 // 3), Cache(self._word, CACHE // 2)  # words are asked for what parts do not know
         text = self.vocabulary.text
         self.text = [text.get(i, b"") for i in range(max(text) + 1)]
 
@@ -237,37 +236,28 @@ def encoder(tokenizer: str, lexicon: str | None) -> Encoder:
 
 
 def count_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, n`` over all texts, added up in each task first (in steps of a bounded number of words)."""
+    """``word, n`` over all texts.
 
-    def run(batches):
-        # What stands between blanks is counted first and split once for all its places.
-        counts, parts = Counter(), Counter()
-
-        def flush():
-            for p, n in parts.items():
-                for w in _plain.findall(" " + p):
-                    counts[w] += n
-            words = list(counts)
-            for i in range(0, len(words), 1 << 16):
-                part = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in part], pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
-            counts.clear()
-            parts.clear()
+    What stands between blanks, the blank before it included, is counted by
+    Spark and split once for all its places; a text that is not plain is split
+    as a whole.
+    """
+    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = F.col("text").rlike(UNPLAIN.pattern) | F.col("text").rlike(_UNEVEN.pattern.replace("\\Z", "\\z"))
+    parts = F.transform(F.split("text", " ", -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(" "), p)))
+    part = F.explode(F.when(whole, F.array("text")).otherwise(parts)).alias("part")
+    counted = text.select(part).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
+    def run(batches):
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if UNPLAIN.search(t) or _UNEVEN.search(t):
-                    counts.update(pre_tokens(t))
-                else:
-                    head, *rest = t.split(" ")
-                    counts.update(_plain.findall(head))
-                    parts.update(rest)
-                if len(counts) + len(parts) > CACHE:
-                    yield from flush()
-        yield from flush()
-
-    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return text.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            counts: dict[str, int] = {}
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for w in pre_tokens(t):
+                    counts[w] = counts.get(w, 0) + n
+            words = [w.encode("utf-8", "surrogatepass") for w in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    return counted.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = LEXICON) -> list[bytes]:
