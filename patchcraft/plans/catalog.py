@@ -21,9 +21,11 @@ from ..operators import collect as CO
 from ..operators import comments as CM
 from ..operators import dataset as D
 from ..operators import diff as DF
+from ..operators import interfaces as IF
 from ..operators import linediff as LD
 from ..operators import model as M
 from ..operators import network as NET
+from ..operators import pairing as PR
 from ..operators import rename as R
 from ..operators import seen as SE
 from ..operators import select as S
@@ -146,6 +148,26 @@ def q_pair_lines(spark, sf):
     return p.select("repo", "patch_id", F.col("akey").cast("long").alias("ord"), "old_line", "new_line")
 
 
+@query("pair_similar")
+def q_pair_similar(spark, sf):
+    """Runs with their pairs, told by how alike these are in all and whether they are in order."""
+    runs = PR.pair_similar(TB.mixed_patches_from_documents(_docs(spark, sf)))
+    at = lambda c: F.transform("pairs", lambda p: p[c])
+    in_order = F.lit(True)
+    for c in ("old_pos", "new_pos"):
+        in_order = in_order & (F.size(F.array_distinct(at(c))) == F.size("pairs")) & (F.array_sort(at(c)) == at(c))
+    total = F.aggregate("pairs", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p["likeness"], F.lit(0)))
+    return runs.select(
+        "repo", "patch_id", F.col("run_start").cast("long").alias("run_start"), F.col("n_removed").cast("long").alias("n_removed"),
+        F.col("n_added").cast("long").alias("n_added"), "plain", total.alias("likeness"), in_order.alias("in_order"),
+    )
+
+
+@query("interface_verdicts")
+def q_interface_verdicts(spark, sf):
+    return IF.interface_verdicts(*TB.interface_changes_from_documents(_docs(spark, sf)))
+
+
 @query("balanced_filter")
 def q_balanced(spark, sf):
     c = R.with_cheap_checks(adapter_patches(spark, sf))
@@ -201,6 +223,23 @@ def q_collect(spark, sf):
     return CO.collect_patches(adapter_commits(spark, sf), adapter_changes(spark, sf))
 
 
+@query("mined_dataset")
+def q_mined(spark, sf):
+    """The whole chain: collect, clean, label, select, load and split the patches of all commits."""
+    collected = CO.collect_patches(*TB.mined_from_documents(_docs(spark, sf))).where("not is_empty")
+    cleaned = C.drop_empty_patches(C.clean_patches(collected), "cleaned")
+    patches = cleaned.select("repo", F.col("commit_id").alias("patch_id"), F.col("cleaned").alias("text"), F.octet_length("cleaned").cast("long").alias("n_bytes"))
+    # Read by labelling and by both ways of selecting: written once.
+    folder = shared_path(spark, "mined", uuid.uuid4().hex)
+    patches.write.parquet(f"{folder}/patches")
+    patches = spark.read.schema(patches.schema).parquet(f"{folder}/patches")
+    found = R.rename_verdicts(patches).select("repo", "patch_id", "verdict")
+    found.write.parquet(f"{folder}/verdicts")
+    chosen = S.select_examples(patches, spark.read.schema(found.schema).parquet(f"{folder}/verdicts"))
+    path = F.concat_ws("/", "repo", F.when(F.col("label") == 1, "yes").otherwise("no"), F.concat("patch_id", F.lit(".diff")))
+    return D.split_dataset(D.load_examples(chosen.select(path.alias("path"), "label", "text", "n_bytes"))).select("path", "label", "n_tokens", "split")
+
+
 # ------------------------------------------------------------------ clean
 @query("java_sections")
 def q_java_sections(spark, sf):

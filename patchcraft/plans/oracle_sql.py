@@ -775,3 +775,99 @@ ORACLES["sample_pairs"] = _q("SELECT template_id, copy, pair_old, pair_new FROM
 ORACLES["spawn_patches"] = _q("""
 SELECT repo, patch_id, template_id, pair_old, pair_new, CAST(strlen(text) AS BIGINT) AS n_bytes FROM spawned""",
                               P, RENAME_LINES, VOCAB, TEMPLATES, PAIRS)
+
+# ---- the whole chain: merges and files that are no Java go before anything is labelled
+MINED = PATCHES.replace("FROM doc_w3\n)", "FROM doc_w3 WHERE doc_id % 9 <> 8 AND doc_id % 10 <> 9\n)")
+ORACLES["mined_dataset"] = _q("SELECT path, label, CAST(n_tokens AS BIGINT) AS n_tokens, split FROM splits", MINED, RENAME_LINES, """
+judged AS (
+  SELECT p.*, CASE WHEN v.n_renames BETWEEN 1 AND 2 THEN 1 ELSE 0 END AS label
+  FROM patches p LEFT JOIN verdicts v ON p.repo = v.repo AND p.patch_id = v.patch_id
+),
+examples AS (
+  SELECT repo || '/' || CASE WHEN label = 1 THEN 'yes' ELSE 'no' END || '/' || patch_id || '.diff' AS path,
+         CAST(label AS INTEGER) AS label, text, CAST(strlen(text) AS BIGINT) AS n_bytes
+  FROM judged
+)""", LOADED, SPLITS)
+
+# ---- likeness of runs: the greatest sum over alignments, one removal after the other over a list of sums
+ORACLES["pair_similar"] = _q("""
+SELECT r.repo, r.patch_id, r.run_start, r.k AS n_removed, r.m AS n_added, r.plain,
+       CAST(CASE WHEN r.plain THEN 0 ELSE coalesce(d.best[-1], 0) END AS BIGINT) AS likeness, true AS in_order
+FROM runs r LEFT JOIN dp d ON d.repo = r.repo AND d.patch_id = r.patch_id AND d.run_start = r.run_start AND d.i = r.k""", f"""
+doc_lines AS (
+  SELECT source AS repo, CAST(doc_id AS VARCHAR) AS patch_id, t.l, (t.n - 1 + doc_id) % 7 AS c, t.n
+  FROM documents, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: l <> '')) WITH ORDINALITY AS t(l, n)
+),
+made AS (
+  SELECT repo, patch_id, n, u.line, u.o
+  FROM doc_lines, unnest(CASE c
+    WHEN 0 THEN ['-' || l, '+' || l || ' edited'] WHEN 1 THEN ['-' || l] WHEN 2 THEN ['+new ' || l]
+    WHEN 3 THEN ['+' || l || '!', '-' || l] WHEN 4 THEN ['-' || l, '+other line', '+' || l || ' again']
+    WHEN 5 THEN ['-' || l, '-' || l || ' ' || l] ELSE [' ' || l] END) WITH ORDINALITY AS u(line, o)
+),
+placed AS (
+  SELECT repo, patch_id, row_number() OVER (PARTITION BY repo, patch_id ORDER BY n, o) AS pos, substr(line, 1, 1) AS sign, substr(line, 2) AS line FROM made
+),
+islands AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY repo, patch_id ORDER BY pos) AS island FROM placed WHERE sign IN ('-', '+')
+),
+numbered AS (
+  SELECT *, min(pos) OVER (PARTITION BY repo, patch_id, island) AS run_start,
+         row_number() OVER (PARTITION BY repo, patch_id, island, sign ORDER BY pos) AS j,
+         list_filter(regexp_extract_all(line, '{WORD}', 1), lambda w: NOT regexp_matches(w, '^[ \t\n\x0B\f\r]$')) AS words
+  FROM islands
+),
+by_place AS (
+  SELECT a.repo, a.patch_id, a.run_start, count(*) FILTER (WHERE b.pos = a.pos + 1) AS n_next
+  FROM numbered a JOIN numbered b ON a.repo = b.repo AND a.patch_id = b.patch_id AND a.run_start = b.run_start AND a.j = b.j
+  WHERE a.sign = '-' AND b.sign = '+' GROUP BY ALL
+),
+runs AS (
+  SELECT n.repo, n.patch_id, n.run_start, count(*) FILTER (WHERE sign = '-') AS k, count(*) FILTER (WHERE sign = '+') AS m,
+         coalesce(count(*) FILTER (WHERE sign = '-') = count(*) FILTER (WHERE sign = '+')
+           AND (max(pos) FILTER (WHERE sign = '-') < min(pos) FILTER (WHERE sign = '+') OR any_value(p.n_next) = count(*) FILTER (WHERE sign = '-')), false) AS plain
+  FROM numbered n LEFT JOIN by_place p ON n.repo = p.repo AND n.patch_id = p.patch_id AND n.run_start = p.run_start GROUP BY ALL
+),
+counted AS (
+  SELECT repo, patch_id, run_start, sign, j, w.word, count(*) AS c FROM numbered, unnest(words) AS w(word) GROUP BY ALL
+),
+shared AS (
+  SELECT o.repo, o.patch_id, o.run_start, o.j AS i, n.j, sum(least(o.c, n.c)) AS c
+  FROM counted o JOIN counted n ON o.repo = n.repo AND o.patch_id = n.patch_id AND o.run_start = n.run_start AND o.word = n.word
+  WHERE o.sign = '-' AND n.sign = '+' GROUP BY ALL
+),
+cells AS (
+  SELECT o.repo, o.patch_id, o.run_start, o.j AS i, n.j,
+         CAST(coalesce(2000 * s.c // greatest(len(o.words) + len(n.words), 1), 0) AS BIGINT) AS w
+  FROM numbered o JOIN numbered n ON o.repo = n.repo AND o.patch_id = n.patch_id AND o.run_start = n.run_start
+  LEFT JOIN shared s ON s.repo = o.repo AND s.patch_id = o.patch_id AND s.run_start = o.run_start AND s.i = o.j AND s.j = n.j
+  WHERE o.sign = '-' AND n.sign = '+'
+),
+gains AS (
+  SELECT repo, patch_id, run_start, i, list(CASE WHEN w >= 500 THEN w ELSE 0 END ORDER BY j) AS g FROM cells GROUP BY ALL
+),
+dp AS (
+  SELECT repo, patch_id, run_start, CAST(0 AS BIGINT) AS i, list_transform(range(m + 1), lambda x: CAST(0 AS BIGINT)) AS best FROM runs
+  UNION ALL
+  SELECT repo, patch_id, run_start, i, list_transform(range(1, len(cand) + 1), lambda x: list_max(cand[1:x])) FROM (
+    SELECT d.repo, d.patch_id, d.run_start, g.i,
+           list_transform(range(1, len(d.best) + 1), lambda x: CASE WHEN x = 1 THEN d.best[1] ELSE greatest(d.best[x], d.best[x - 1] + g.g[x - 1]) END) AS cand
+    FROM dp d JOIN gains g ON g.repo = d.repo AND g.patch_id = d.patch_id AND g.run_start = d.run_start AND g.i = d.i + 1)
+)""")
+
+# ---- what the adapter made each class for tells its verdict
+ORACLES["interface_verdicts"] = """
+WITH named AS (
+  SELECT source AS repo, md5(CAST(doc_id AS VARCHAR)) AS commit_id, CAST(doc_id AS VARCHAR) AS d, doc_id % 6 AS k,
+         'do_' || regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS m
+  FROM documents
+)
+SELECT repo, commit_id, 'src/I' || d || '.java' AS path, 'y' AS verdict, CAST(1 AS BIGINT) AS n_renames, CAST(0 AS BIGINT) AS n_caused,
+       CASE WHEN k = 4 THEN 'LEAST->MOST' ELSE m || '->' || m || '_r' END AS message, CAST(NULL AS VARCHAR) AS reason
+FROM named
+UNION ALL
+SELECT repo, commit_id, 'src/C' || d || '.java', CASE WHEN k IN (0, 1) THEN 'ignored' ELSE 'y' END, CASE WHEN k IN (0, 1) THEN 0 ELSE 1 END,
+       CASE WHEN k IN (0, 1, 3) THEN 1 ELSE 0 END,
+       CASE WHEN k IN (0, 1) THEN NULL WHEN k = 3 THEN 'old_v->new_v' ELSE m || '->' || m || '_r' END,
+       CASE WHEN k IN (0, 1) THEN 'interface method' END
+FROM named"""

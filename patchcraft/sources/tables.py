@@ -161,6 +161,92 @@ def commented_patches_from_documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("patch_id"), F.concat(head, F.array_join(body, "\n"), F.lit("\n")).alias("text"))
 
 
+def mixed_patches_from_documents(documents: DataFrame) -> DataFrame:
+    """One patch per document whose runs have unequal and mixed removals and additions.
+
+    Line i of a document (of its non-empty lines, from 0) is, by
+    ``(i + doc_id) % 7``: 0 removed and added with a word more, 1 removed,
+    2 added with a word in front, 3 added with a sign more and then removed, 4 removed, then two
+    additions, 5 a removal and one of twice the line, 6 a context line that ends
+    the run.  Output: ``repo, patch_id, text``.
+    """
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda l: l != "")
+
+    def changed(l: Column, i: Column) -> Column:
+        k = (i + F.col("doc_id")) % 7
+        made = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        return (
+            F.when(k == 0, made("-", l, "\n+", l, " edited"))
+            .when(k == 1, made("-", l))
+            .when(k == 2, made("+new ", l))
+            .when(k == 3, made("+", l, "!\n-", l))
+            .when(k == 4, made("-", l, "\n+other line\n+", l, " again"))
+            .when(k == 5, made("-", l, "\n-", l, " ", l))
+            .otherwise(made(" ", l))
+        )
+
+    text = F.concat(F.lit("@@ -1 +1 @@\n"), F.array_join(F.transform(lines, changed), "\n"), F.lit("\n"))
+    return documents.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("patch_id"), text.alias("text"))
+
+
+def interface_changes_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changed files and all files of repositories: a commit of an interface and a class for every document.
+
+    Both rename the method ``do_<first word>``.  ``doc_id % 6`` decides about
+    the class: 0 implements the interface, 1 implements one that extends it
+    and does not change, 2 implements none, 3 implements it and renames a
+    variable too, 4 implements it but only a constant of the interface is
+    renamed, 5 names it in a comment.  The document's lines are comments.
+    Output: ``changes(repo, commit_id, path, text, source)``, ``files(repo, source)``.
+    """
+    k = F.col("doc_id") % 6
+    name = F.concat(F.lit("do_"), F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda l: l != "")
+    notes = F.array_join(F.transform(lines, lambda l: F.concat(F.lit("// "), l, F.lit("\n"))), "")
+    context = F.array_join(F.transform(lines, lambda l: F.concat(F.lit(" // "), l, F.lit("\n"))), "")
+    d = F.col("doc_id").cast("string")
+    made = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    step = documents.select("source", d.alias("d"), k.alias("k"), F.inline(F.array(F.struct(name.alias("m"), notes.alias("notes"), context.alias("context")))))
+    d, k, m = F.col("d"), F.col("k"), F.col("m")
+    head = made("@@ -1 +1 @@\n", F.col("context"))
+    declared = made("-  void ", m, "(int a);\n+  void ", m, "_r(int a);\n")
+    iface = (
+        made("src/I", d, ".java"), made(head, F.when(k == 4, "-  int LEAST = 1;\n+  int MOST = 1;\n").otherwise(declared)),
+        made(F.col("notes"), "public interface I", d, " extends Base {\n  int LEAST = 1;\n  void ", m, "(int a);\n}\n"),
+    )
+    heading = made(
+        "class C", d,
+        F.when(k.isin(0, 3, 4), made(" implements I", d)).when(k == 1, made(" implements J", d))
+        .when(k == 5, made(" /* implements I", d, " */")).otherwise(""),
+        " {\n",
+    )
+    own = made(head, "-  public void ", m, "(int a) {\n+  public void ", m, "_r(int a) {\n", F.when(k == 3, "-    int old_v;\n+    int new_v;\n").otherwise(""))
+    cls = (made("src/C", d, ".java"), own, made(F.col("notes"), heading, "  public void ", m, "(int a) {\n    int old_v;\n  }\n}\n"))
+    files = [F.struct(path.alias("path"), text.alias("text"), source.alias("source")) for path, text, source in (iface, cls)]
+    changes = step.select(F.col("source").alias("repo"), F.md5("d").alias("commit_id"), F.inline(F.array(*files)))
+    between = step.select(F.col("source").alias("repo"), made("interface J", d, " extends I", d, " { }").alias("source"))
+    return changes, changes.select("repo", "source").unionByName(between)
+
+
+def mined_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commits and their changed files, whose patches are those of ``patches_from_documents``.
+
+    A commit for every document; ``doc_id % 9 = 8`` are merges, the files of
+    ``doc_id % 10 = 9`` are no Java.  Output: ``commits``, ``changes``.
+    """
+    patches = patches_from_documents(documents.select("doc_id", "source", "text"), keep=("doc_id",))
+    d = F.col("doc_id")
+    commits = documents.select(
+        F.col("source").alias("repo"), d.cast("string").alias("commit_id"),
+        F.when(d % 9 == 8, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p"))).alias("parents"),
+    )
+    path = F.concat(F.lit("src/D"), F.col("patch_id"), F.when(d % 10 == 9, ".md").otherwise(".java"))
+    changes = patches.select(
+        "repo", F.col("patch_id").alias("commit_id"), F.lit(1).alias("ord"), path.alias("a_path"), path.alias("b_path"), F.encode("text", "UTF-8").alias("patch")
+    )
+    return commits, changes
+
+
 def examples_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents: quality 1 = yes, 0 = no; ``path`` is the document id.
 
