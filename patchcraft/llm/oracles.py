@@ -38,9 +38,9 @@ WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[{SPACE}]', '', 'g')) AS text_sha256 FROM documents),
 k AS (
   SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
-    count(*) OVER (PARTITION BY text_sha256) AS group_size
+    count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS place
   FROM d)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 """
 
 ORACLES["op10_line_dedup"] = r"""

@@ -22,8 +22,10 @@ def test_exact_dedup_against_brute_force(docs, corpus):
         groups[re.sub("[\x20\x09-\x0d]", "", text)].append((-len(text), doc_id is None, doc_id))
     want = []
     for norm, members in groups.items():
-        keep = min(members, key=lambda m: (m[0], m[1], m[2] or 0))[2]
-        want += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for _, _, i in members]
+        members.sort(key=lambda m: (m[0], m[1], m[2] or 0))
+        keep = members[0][2]
+        # Of rows that agree in length and id exactly one stays.
+        want += [(i, keep, len(members), place == 0, hashlib.sha256(norm.encode()).hexdigest()) for place, (_, _, i) in enumerate(members)]
     got = [tuple(r) for r in exact.exact_dedup(docs).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
 
@@ -39,10 +41,28 @@ def test_chunks_follow_content_and_stay_in_bounds():
     assert b"".join(exact.chunks_of(b"a" * 100_000)) == b"a" * 100_000
 
 
-def test_chunk_dictionary_counts_uses(docs):
-    found = exact.recipes(docs)
-    uses = exact.chunk_dictionary(found).agg(F.sum("n_uses")).first()[0]
-    assert uses == found.select(F.sum(F.size("recipe"))).first()[0]
+def test_chunks_are_stored_once_and_recipes_rebuild_texts(llm, docs, corpus, monkeypatch):
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 4000)
+    blocks = exact.written(exact.block_rows(docs), "test_blocks")
+    chunks = exact.chunk_table(blocks)
+    names = {r["chunk"]: (bytes(r["sha256"]), r["n_bytes"]) for r in chunks.collect()}
+    assert len(names) == len(set(names.values())) == chunks.count()
+    stored = {(hashlib.sha256(c).digest(), len(c)): c for _, t, *_ in corpus for c in exact.chunks_of(exact.normalised((t or "").encode()))}
+    assert set(stored) == set(names.values())
+    found = exact.recipes(blocks, chunks).collect()
+    lists = {(r["block"], r["list"]): r["recipe"] for r in found if r["recipe"] is not None}
+    texts = Counter(b"".join(stored[names[c]] for c in lists[r["block"], r["list"]]) for r in found)
+    assert texts == Counter(exact.normalised((t or "").encode()) for _, t, *_ in corpus)
+    assert blocks.select("block").distinct().count() > 3
+
+
+def test_exact_dedup_of_hot_copies_and_rows_without_ids(llm):
+    long = "word " * 30_000
+    rows = [(None, "same  text")] * 3000 + [(i, "same text") for i in range(500)] + [(7, long), (8, long + "x"), (9, long.replace(" ", "\n"))]
+    found = exact.exact_dedup(llm.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    hot = [r for r in found if r["group_size"] == 3500]
+    assert len(hot) == 3500 and [r["doc_id"] for r in hot if r["kept"]] == [None]
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in found if r["group_size"] < 3500} == {(7, 7, True), (9, 7, False), (8, 8, True)}
 
 
 def fingerprint(text):
