@@ -1,17 +1,18 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams (operator 3).
 
 The model counts n-grams of characters, as they are, in trusted documents
-(labelled of good quality and not toxic).  A task reads documents in blocks of
-about BLOCK_CHARS characters; a block gives one row for each distinct n-gram,
-with its count in the block's trusted documents, and one for each document,
-with the places of its n-grams among the block's and how often it has each.
-Counts and probabilities are tables sharded by n-gram, as large as the corpus
-makes them: the joins that turn counts into probabilities are joins of such
-tables on n-grams or their contexts, and a block's n-grams get theirs by a
-join too.  The answers meet the block's documents in an exchange by block,
-where each document's sum is added up.  Nothing is broadcast or collected but
-four counts of counts an order.  An order below the highest counts in how many
-contexts an n-gram occurs.
+(labelled of good quality and not toxic).  Texts are packed once into blocks of
+about BLOCK_CHARS characters, in a table bucketed by block, and never move
+after that: what is known of a block meets it in its bucket.  First come the
+places of its trusted documents, and the block gives its distinct n-grams with
+their counts in trusted text, packed into one row for each shard of the n-gram
+space.  The counts, added up over blocks, are the model: tables sharded by
+n-gram, as large as the corpus makes them, whose joins on n-grams and contexts
+turn counts into probabilities.  Then each shard's probabilities are
+sorted before the shard's packed rows of all blocks, which stream past them, and
+the answers go back to the blocks, where each document's sum is added up.
+Nothing is broadcast or collected but four counts of counts an order.  An order
+below the highest counts in how many contexts an n-gram occurs.
 
 A document's score is its cross entropy in bits a character.  Junk lies on
 both sides of what trusted text has (symbols and capitals above, repetition
@@ -22,30 +23,30 @@ from the trusted quantiles of the document's language and length, widened by
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
-from typing import NamedTuple
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import shared_path
 from .common import type_of, written
 
 ORDER = 4
 #: Stands before a text's first character; a noncharacter.
-BEFORE = "\U0010ffff"
+BEFORE = 0x10FFFF
 #: Code points there are: what the lowest order falls back on.
 CODE_POINTS = 0x110000
 #: Characters a block has, about; a longer document is a block of its own.
-BLOCK_CHARS = 1 << 21
-CLASSES, BITS = 64, 6
-#: The class before a text's first character.
-START = 0
+BLOCK_CHARS = 1 << 22
+#: Shards of the n-gram space: a task holds the probabilities of one at a time.
+SHARDS = 256
 #: Quantiles of trusted documents and how many times their distance from the median a document may be away.
 QUANTILES, SLACK = (0.01, 0.99), 3.0
 #: Bits a character are counted in steps of 1/STEPS, so quantiles are exact over few distinct values.
@@ -54,116 +55,12 @@ STEPS = 200
 MIN_CHARS = 100
 #: Bits a character that a threshold is away from the median at least.
 LEAST_REACH = 0.3
+#: A discount is at least this, so that no n-gram is impossible where counts leave nothing to give away.
+LEAST_DISCOUNT = 0.01
 #: Trusted documents a (language, length) group needs to have its own thresholds.
 MIN_TRUSTED = 50
 
 
-def class_table() -> np.ndarray:
-    """The class of each code point below 0x250."""
-    table = np.empty(0x250, np.uint8)
-    for c in range(0x250):
-        s = chr(c)
-        if "a" <= s <= "z":
-            k = 1 + c - 97
-        elif s.isspace():
-            k = 28 if s == "\n" else 27
-        elif s.isdigit():
-            k = 29
-        elif "A" <= s <= "Z":
-            k = 30 if s in "AEIOU" else 31
-        elif s.isalpha():
-            k = 40 + c % 14 if s.islower() else 54
-        elif s in ".,":
-            k = 32 + ".,".index(s)
-        elif s in ";:":
-            k = 34
-        elif s in "!?":
-            k = 35
-        elif s in "'\"`":
-            k = 36
-        elif s in "()[]{}":
-            k = 37
-        elif s in "#*$%&|<>":
-            k = 38
-        else:
-            k = 39
-        table[c] = k
-    return table
-
-
-_TABLE = class_table()
-
-
-def classes(plain: list[str]) -> np.ndarray:
-    """The classes of the code points of all texts, one after the other."""
-    points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 55 + (points >> 7) % 8).astype(np.uint32)
-
-
-def grams(plain: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each code point, as a number, the latest class lowest; and how many each text has."""
-    sizes = np.fromiter(map(len, plain), np.int64, len(plain))
-    now = classes(plain)
-    starts = np.cumsum(sizes) - sizes
-    out = now.copy()
-    for k in range(1, order):
-        before = np.zeros_like(now)
-        before[k:] = now[:-k]
-        for j in range(k):
-            before[starts[sizes > j] + j] = START
-        out |= before << np.uint32(BITS * k)
-    return out, sizes
-
-
-def _slices(texts: pa.Array, points: int = 1 << 20):
-    """Runs of whole texts with about ``points`` code points, so that arrays stay small whatever the batch holds."""
-    part, n = [], 0
-    for t in texts.to_pylist():
-        part.append(t)
-        n += len(t)
-        if n >= points:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
-def _text_only(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``gram, c``: how often each n-gram occurs, added up in each task before the exchange."""
-
-    def run(batches):
-        # One dense counter a task: its size is fixed by the alphabet, not by the data.
-        counts = np.zeros(1 << (BITS * order), np.int64)
-        for b in batches:
-            for part in _slices(b.column(0)):
-                found, n = np.unique(grams(part, order)[0], return_counts=True)
-                counts[found] += n
-        seen = np.flatnonzero(counts)
-        for i in range(0, len(seen), 1 << 16):
-            part = seen[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["gram", "c"])
-
-    return _text_only(docs, text_col).mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-class Coding(NamedTuple):
-    """How n-grams are written: their first and last classes as columns, and how many classes there are."""
-
-    context: Callable[[int], Column]
-    suffix: Callable[[int], Column]
-    alphabet: int
-
-
-#: Numbers of BITS bits a class, the latest lowest, as count_grams has them.
-CODED = Coding(lambda k: F.shiftright("gram", BITS), lambda k: F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)), CLASSES)
-#: Strings of characters, as blocks have them.
-CHARACTERS = Coding(lambda k: F.substring("gram", 1, k - 1), lambda k: F.right("gram", F.lit(k)) if k else F.lit(""), CODE_POINTS)
-
-
 def _discounts(counts: DataFrame) -> list[float]:
     """D1, D2, D3+ of modified Kneser-Ney from the counts of counts 1 to 4 (four numbers for the driver)."""
     row = counts.agg(*[F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(1, 5)]).first()
@@ -171,32 +68,33 @@ def _discounts(counts: DataFrame) -> list[float]:
     if not (n[1] and n[2]):
         return [0.5, 0.75, 0.9]
     y = n[1] / (n[1] + 2 * n[2])
-    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) if n[k] else 0.5 * k for k in (1, 2, 3)]
+    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], LEAST_DISCOUNT), float(k)) if n[k] else 0.5 * k for k in (1, 2, 3)]
 
 
-def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER, coding: Coding = CODED) -> DataFrame:
+def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER, alphabet: int = CODE_POINTS) -> DataFrame:
     """``gram, bits``: minus the binary logarithm of the probability, after its context, of each n-gram of ``asked``.
 
     ``counted`` holds the counts of the trusted text.  Each order joins the
     n-grams asked for with their counts, with the totals of their contexts and
     with the probabilities of the order below.
     """
+    suffix = lambda k: F.right("gram", F.lit(k)) if k else F.lit("")
     counts, wanted = {order: counted}, {order: asked.select("gram")}
     for k in range(order - 1, 0, -1):
-        shorter = coding.suffix(k).alias("gram")
-        # In how many contexts an n-gram one class longer has it.
+        shorter = suffix(k).alias("gram")
+        # In how many contexts an n-gram one character longer has it.
         counts[k] = written(counts[k + 1].select(shorter).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), f"continuations{k}")
         wanted[k] = wanted[k + 1].select(shorter).distinct()
     below = None
     for k in range(1, order + 1):
         d = _discounts(counts[k])
         off = F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-        context = coding.context(k).alias("context")
+        context = F.substring("gram", 1, k - 1).alias("context")
         contexts = counts[k].groupBy(context).agg(F.sum("c").alias("total"), F.sum(off).alias("spare"))
         rows = wanted[k].select("gram", context).join(counts[k].withColumn("off", off), "gram", "left").join(contexts, "context", "left")
-        rows = rows.withColumn("suffix", coding.suffix(k - 1))
+        rows = rows.withColumn("suffix", suffix(k - 1))
         if below is None:
-            rows = rows.withColumn("lower", F.lit(1.0 / coding.alphabet))
+            rows = rows.withColumn("lower", F.lit(1.0 / alphabet))
         else:
             rows = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(
@@ -206,23 +104,23 @@ def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER, codi
     return below.select("gram", (-F.log2("p")).alias("bits"))
 
 
-def local_grams(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray]:
-    """The distinct n-grams of all texts, and for each character of the texts, one after the other, the place there of the n-gram that ends at it."""
+def local_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all texts, ascending, a row of code points each; and for each character of the texts, one after the other, the place there of the n-gram that ends at it."""
     lead = order - 1
-    joined = "".join([BEFORE * lead + t for t in texts])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    start = chr(BEFORE) * lead
+    points = np.frombuffer("".join([start + t for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
     present = np.zeros(CODE_POINTS, bool)
     present[points] = True
-    letters = int(present.sum())
+    letters = np.flatnonzero(present)
     now = (np.cumsum(present, dtype=np.int32) - 1)[points].astype(np.int64)
-    key, span = now, letters
+    key, span = now, max(1, len(letters))
     for _ in range(lead):
-        if span * letters >= 1 << 63:
-            key, found = pd.factorize(key)
+        if span * len(letters) >= 1 << 63:
+            found, key = np.unique(key, return_inverse=True)
             span = len(found)
         longer = now.copy()
-        longer[1:] += key[:-1] * letters
-        key, span = longer, span * letters
+        longer[1:] += key[:-1] * len(letters)
+        key, span = longer, span * len(letters)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(sizes + lead) - sizes
     own = np.ones(len(points), bool)
@@ -230,96 +128,234 @@ def local_grams(texts: list[str], order: int = ORDER) -> tuple[list[str], np.nda
         own[starts - 1 - j] = False
     ends = np.flatnonzero(own)
     places, found = pd.factorize(key[ends])
+    # Any place at which an n-gram ends shows its characters.
     last = np.empty(len(found), np.int64)
     last[places] = ends
-    return [joined[i - lead : i + 1] for i in last.tolist()], places
+    grams = points[last[:, None] + np.arange(-lead, 1)]
+    order_of = np.lexsort(grams.T[::-1])
+    rank = np.empty(len(found), np.int64)
+    rank[order_of] = np.arange(len(found))
+    return grams[order_of], rank[places]
 
 
-def _pack(places: np.ndarray, counts: np.ndarray) -> bytes:
-    return zlib.compress(np.concatenate([np.diff(places, prepend=0), counts]).astype("<u4").tobytes(), 1)
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each row of code points."""
+    mixed = np.zeros(len(grams), np.uint64)
+    for j in range(grams.shape[1]):
+        mixed = (mixed ^ grams[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(shards)).astype(np.int64)
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(body), "<u4").astype(np.int64)
-    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+def _in_shards(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts n-grams shard by shard, ascending in each, and where each shard begins there."""
+    shard = shard_of(grams, shards)
+    by_shard = np.argsort(shard, kind="stable")
+    return by_shard, np.searchsorted(shard[by_shard], np.arange(shards + 1))
 
 
-def blocks(docs: DataFrame, order: int = ORDER, chars: int = BLOCK_CHARS) -> DataFrame:
-    """``block, place, gram, c, doc_id, lang, trusted, n_chars, body`` of ``docs(doc_id, lang, trusted, text)``.
+def _packed(grams: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """Bytes of like weight together, which leaves little of the leading zeros and of what neighbours share."""
+    return pack.compress(np.ascontiguousarray(grams.astype("<u4").view(np.uint8).reshape(len(grams), -1).T).tobytes())
 
-    A row with ``gram`` for each distinct n-gram of a block: its place there
-    and its count in trusted documents.  A row without for each document: its
-    place in the block and, in ``body``, its n-grams and their counts.
-    """
 
-    def rows_of(number, texts, fields):
-        grams, places = local_grams(texts, order)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        trusted = np.repeat(np.array(fields.column("trusted").to_pylist(), bool), sizes)
-        c = np.bincount(places[trusted], minlength=len(grams))
-        # Each document's n-grams, ascending.
-        pairs, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(1, len(grams)) + places, return_counts=True)
-        cuts = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(1, len(grams)))
-        body = [_pack(pairs[a:b] - i * len(grams), n[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
-        for gram, place, count, ids, chars, packed in (
-            (pa.array(grams, pa.string()), np.arange(len(grams)), pa.array(c, pa.int64()), None, None, None),
-            (None, np.arange(len(texts)), None, fields, pa.array(sizes), pa.array(body, pa.binary())),
-        ):
-            m = len(place)
-            given = {"block": pa.array(np.full(m, number)), "place": pa.array(place.astype(np.int32)), "gram": gram, "c": count, "n_chars": chars, "body": packed}
-            if ids is not None:
-                given |= {k: ids.column(k) for k in ids.schema.names}
-            columns = [pa.nulls(m, kinds[k]) if given.get(k) is None else given[k] for k in names]
-            whole = pa.RecordBatch.from_arrays(columns, names=names)
-            for i in range(0, m, 1 << 14):
-                yield whole.slice(i, 1 << 14)
+def _unpacked(body: bytes, order: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4 * order, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")
+
+
+def _words(grams: np.ndarray) -> np.ndarray:
+    """Rows of code points as strings of fixed size, which numpy orders and searches."""
+    return np.ascontiguousarray(grams.astype("<u4")).view(f"<U{grams.shape[1]}").ravel()
+
+
+def blocks(docs: DataFrame, name: str, chars: int = BLOCK_CHARS) -> DataFrame:
+    """``block, place, doc_id, key, lang, n_chars, body`` of ``docs(doc_id, key, lang, text)``: a table of that name in the shared folder, bucketed by block.
+
+    A row for each document, with its place in its block, and one with
+    ``body`` for each block: all its texts, compressed.
+    """
+    rows = docs.select("doc_id", "key", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    arrow = to_arrow_schema(rows.select("doc_id", "key", "lang").schema)
+    kinds = {"block": pa.int64(), "place": pa.int32(), **{f.name: f.type for f in arrow}, "n_chars": pa.int64(), "body": pa.binary()}
+
+    def batch(n: int, given: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, kind) for k, kind in kinds.items()], names=list(kinds))
+
+    def block(number, texts, parts):
+        fields, n = pa.Table.from_batches(parts).combine_chunks().to_batches()[0], len(texts)
+        members = batch(n, {
+            "block": pa.array(np.full(n, number)), "place": pa.array(np.arange(n, dtype=np.int32)), "n_chars": pa.array(list(map(len, texts)), pa.int64()),
+            **{c: fields.column(c) for c in fields.schema.names},
+        })
+        for i in range(0, n, 1 << 13):
+            yield members.slice(i, 1 << 13)
+        body = zstandard.ZstdCompressor(3).compress("".join(texts).encode("utf-8", "surrogatepass"))
+        yield batch(1, {"block": pa.array([number], pa.int64()), "body": pa.array([body], pa.binary())})
 
     def run(batches):
         number, texts, parts, total = TaskContext.get().partitionId() << 33, [], [], 0
         for b in batches:
-            fields, start = b.select(["doc_id", "lang", "trusted"]), 0
+            fields, start = b.select(["doc_id", "key", "lang"]), 0
             for i, t in enumerate(b.column("text").to_pylist()):
                 texts.append(t)
-                total += len(t)
+                total += len(t) + 1
                 if total >= chars:
                     parts.append(fields.slice(start, i + 1 - start))
-                    yield from rows_of(number, texts, pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                    yield from block(number, texts, parts)
                     number, texts, parts, total, start = number + 1, [], [], 0, i + 1
-            parts.append(fields.slice(start))
+            if start < b.num_rows:
+                parts.append(fields.slice(start))
         if texts:
-            yield from rows_of(number, texts, pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+            yield from block(number, texts, parts)
+
+    schema = f"block long, place int, doc_id {type_of(rows, 'doc_id')}, key {type_of(rows, 'key')}, lang string, n_chars long, body binary"
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(run, schema).write.format("parquet").bucketBy(buckets, "block").option("path", shared_path(spark, "llm", name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def _texts(block: pa.Table) -> tuple[pa.Table, list[str]]:
+    """The documents of a block in their order, and their texts."""
+    with_body = block.column("body").is_valid()
+    (body,) = block.filter(with_body).column("body").to_pylist()
+    members = block.filter(pc.invert(with_body)).sort_by("place")
+    ends = np.cumsum(members.column("n_chars").to_numpy()).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass")
+    return members, [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def packed_grams(found: DataFrame, trusted: DataFrame, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
+    """``block, shard, grams, counts``: the distinct n-grams of each of ``blocks()``, a row a shard, with their counts in ``trusted(of, at)``."""
+
+    def run(block: pa.Table, flags: pa.Table) -> pa.Table:
+        _, texts = _texts(block)
+        grams, places = local_grams(texts, order)
+        good = np.zeros(len(texts), bool)
+        good[flags.column("at").to_numpy()] = True
+        c = np.bincount(places[np.repeat(good, list(map(len, texts)))], minlength=len(grams))
+        by_shard, cuts = _in_shards(grams, shards)
+        pack, rows = zstandard.ZstdCompressor(3), []
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            at = by_shard[cuts[shard] : cuts[shard + 1]]
+            rows.append((shard, _packed(grams[at], pack), pack.compress(c[at].astype("<u4").tobytes())))
+        number = block.column("block")[0].as_py()
+        return pa.table({
+            "block": pa.array([number] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()),
+            "grams": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
+        })
+
+    return found.groupBy("block").cogroup(trusted.groupBy("of")).applyInArrow(run, "block long, shard int, grams binary, counts binary")
+
+
+def counted_grams(packed: DataFrame, order: int = ORDER) -> DataFrame:
+    """``gram, c``: every n-gram of ``packed_grams()``, its counts added up; in each task first, then over all."""
+
+    def run(batches):
+        for b in batches:
+            for grams, counts in zip(b.column("grams").to_pylist(), b.column("counts").to_pylist()):
+                whole = _unpacked(grams, order).tobytes().decode("utf-32-le", "surrogatepass")
+                words = [whole[i : i + order] for i in range(0, len(whole), order)]
+                c = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c.astype(np.int64))], names=["gram", "c"])
+
+    return packed.select("grams", "counts").mapInArrow(_in_batches(run, 1 << 14), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def _in_batches(run, size: int):
+    """Joins small batches to such of about ``size`` rows."""
+
+    def joined(batches):
+        parts, n = [], 0
+        for b in run(batches):
+            parts.append(b)
+            n += b.num_rows
+            if n >= size:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                parts, n = [], 0
+        if n:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    return joined
 
-    rows = docs.select("doc_id", "lang", "trusted", F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"block long, place int, gram string, c long, doc_id {type_of(rows, 'doc_id')}, lang string, trusted boolean, n_chars long, body binary"
-    names = [x.split()[0] for x in schema.split(", ")]
-    ids = to_arrow_schema(rows.select("doc_id").schema).field(0).type
-    kinds = dict(zip(names, [pa.int64(), pa.int32(), pa.string(), pa.int64(), ids, pa.string(), pa.bool_(), pa.int64(), pa.binary()]))
-    return rows.mapInArrow(run, schema)
 
+def answers(packed: DataFrame, table: DataFrame, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
+    """``block, shard, bits``: for each row of ``packed_grams()`` the bits of its n-grams from ``table(gram, bits)``.
 
-def entropies(spread: DataFrame, table: DataFrame) -> DataFrame:
+    A task sorts its shards' part of the table before their rows and holds one
+    shard of the table at a time.
+    """
+
+    def pack(batches):
+        done = zstandard.ZstdCompressor(3)
+        for b in batches:
+            words = np.array(b.column("gram").to_pylist(), f"<U{order}")
+            grams = words.view("<u4").reshape(len(words), order)
+            bits = b.column("bits").to_numpy()
+            by_shard, cuts = _in_shards(grams, shards)
+            own = np.flatnonzero(np.diff(cuts)).tolist()
+            parts = [by_shard[cuts[k] : cuts[k + 1]] for k in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int32()), pa.nulls(len(own), pa.int64()), pa.array([_packed(grams[at], done) for at in parts], pa.binary()),
+                 pa.array([bits[at].tobytes() for at in parts], pa.binary())],
+                names=["shard", "block", "grams", "bits"],
+            )
+
+    def look_up(batches):
+        now, grams, bits, words, values = None, [], [], None, None
+        for b in batches:
+            out = []
+            for shard, block, body, given in zip(*[b.column(c).to_pylist() for c in ("shard", "block", "grams", "bits")]):
+                if shard != now:
+                    now, grams, bits, words = shard, [], [], None
+                if block is None:
+                    grams.append(_unpacked(body, order))
+                    bits.append(np.frombuffer(given, np.float64))
+                    continue
+                if words is None:
+                    words, values = _words(np.concatenate(grams)), np.concatenate(bits)
+                    by_word = np.argsort(words)
+                    words, values, grams, bits = words[by_word], values[by_word], [], []
+                asked = _words(_unpacked(body, order))
+                at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+                if not (words[at] == asked).all():
+                    raise ValueError("an n-gram of a block is not in the table")
+                out.append((block, shard, values[at].astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "shard", "bits"]
+            )
+
+    model = table.select("gram", "bits").mapInArrow(pack, "shard int, block long, grams binary, bits binary")
+    rows = model.unionByName(packed.select("shard", "block", "grams", F.lit(None).cast("binary").alias("bits")))
+    return rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("block")).mapInArrow(look_up, "block long, shard int, bits binary")
+
+
+def entropies(found: DataFrame, trusted: DataFrame, answered: DataFrame, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
     """``doc_id, lang, trusted, n_chars, entropy`` (bits a character; null without any) of every document of ``blocks()``.
 
-    ``table(gram, bits)`` is joined with each block's n-grams; the answers and
-    the documents of one block, whose size is bounded, meet in one group.
+    What ``answers()`` and ``trusted(of, at)`` say of a block meets it in its bucket; ``doc_id`` is the key.
     """
-    names = ["doc_id", "lang", "trusted", "n_chars", "entropy"]
-    answers = spread.where("gram is not null").select("block", "place", "gram").join(table, "gram").select(F.col("block").alias("of"), F.col("place").alias("at"), "bits")
-    members = spread.where("gram is null").select("block", *names[:-1], "body")
-
-    def add(members: pa.Table, answers: pa.Table) -> pa.Table:
-        bits = np.zeros(answers.num_rows)
-        bits[answers.column("at").to_numpy()] = answers.column("bits").to_numpy()
-        sums = []
-        for body in members.column("body").to_pylist():
-            at, n = _unpack(body)
-            sums.append(float(bits[at] @ n))
+
+    def run(block: pa.Table, said: pa.Table) -> pa.Table:
+        members, texts = _texts(block)
+        grams, places = local_grams(texts, order)
+        flags = said.column("bits").is_null()
+        good = np.zeros(len(texts), bool)
+        good[said.filter(flags).column("at").to_numpy()] = True
+        parts = said.filter(pc.invert(flags)).sort_by("at").column("bits").to_pylist()
+        bits = np.empty(len(grams))
+        if parts:
+            bits[_in_shards(grams, shards)[0]] = np.frombuffer(b"".join(parts), np.float32)
         n = members.column("n_chars").to_numpy()
-        mean = pa.array(np.array(sums) / np.maximum(n, 1), mask=n == 0)
-        return pa.table([*[members.column(c) for c in names[:-1]], mean], names=names)
+        total = np.add.reduceat(np.append(bits[places], 0.0), np.cumsum(n) - n)
+        mean = pa.array(np.where(n > 0, total, 0.0) / np.maximum(n, 1), mask=n == 0)
+        return pa.table([members.column("key"), members.column("lang"), pa.array(good), members.column("n_chars"), mean], names=["doc_id", "lang", "trusted", "n_chars", "entropy"])
 
-    fields = f"doc_id {type_of(spread, 'doc_id')}, lang string, trusted boolean, n_chars long, entropy double"
-    return members.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(add, fields)
+    flags = trusted.select("of", "at", F.lit(None).cast("binary").alias("bits"))
+    said = flags.unionByName(answered.select(F.col("block").alias("of"), F.col("shard").alias("at"), "bits"))
+    fields = f"doc_id {type_of(found, 'key')}, lang string, trusted boolean, n_chars long, entropy double"
+    return found.groupBy("block").cogroup(said.groupBy("of")).applyInArrow(run, fields)
 
 
 def thresholds(trusted: DataFrame, by: list[str], quantiles: tuple[float, float] = QUANTILES, slack: float = SLACK) -> DataFrame:
@@ -352,15 +388,16 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     bad = ~(F.col("quality").eqNullSafe(1) & ~F.col("toxic").eqNullSafe(1))
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc_id")).agg((F.max(bad.cast("int")) == 0).alias("trusted")).where("trusted")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(key_col or id_col).alias("key"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    # Always an exchange of all texts, so that the cost grows with the input and not in steps.
-    rows = rows.join(named.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    rows = rows.select(F.col("key").alias("doc_id"), "lang", "trusted", "text")
-    spread = written(blocks(rows, order), "blocks")
-    grams = spread.where("gram is not null")
-    counted = written(grams.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")), "trusted_grams")
-    asked = written(grams.select("gram").distinct(), "grams")
-    found = entropies(spread, probabilities(counted, asked, order, CHARACTERS))
+    name = f"kneser_blocks_{uuid.uuid4().hex}"
+    found = blocks(rows, name)
+    members = found.where("body is null and doc_id is not null").select("doc_id", F.col("block").alias("of"), F.col("place").alias("at"))
+    flags = written(members.join(named, "doc_id", "left_semi").select("of", "at"), "trusted")
+    packed = written(packed_grams(found, flags, order), "packed_grams")
+    counted = written(counted_grams(packed, order), "grams")
+    table = probabilities(counted.where("c > 0"), counted, order)
+    found = entropies(found, flags, answers(packed, table, order), order)
     scored = written(found.withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")), "scored")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     trusted = scored.where(F.col("trusted") & (F.col("n_chars") >= MIN_CHARS))
     levels = [["lang", "size"], ["size"], []]
     judged = scored

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -221,15 +222,78 @@ def test_edits_read_little_of_a_long_text(llm, docs, empty):
 
 def test_kneser_ney_probabilities_add_up(llm):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abc .") for _ in range(60)) for _ in range(30)]
-    rows = llm.createDataFrame([(t,) for t in texts], "text string")
-    counted = kneser.count_grams(rows, order=2).cache()
-    assert counted.agg(F.sum("c")).first()[0] == sum(map(len, texts))
-    contexts = [r[0] for r in counted.select(F.shiftright("gram", 6)).distinct().collect()]
-    asked = llm.createDataFrame([(c << 6 | k,) for c in contexts for k in range(64)], "gram int")
-    table = kneser.probabilities(counted, asked, order=2)
-    sums = table.groupBy(F.shiftright("gram", 6)).agg(F.sum(F.pow(F.lit(2.0), -F.col("bits"))).alias("p")).collect()
-    assert len(sums) == len(contexts) and all(abs(r["p"] - 1) < 1e-6 for r in sums)
+    letters = "abc .é日"
+    counts = Counter(t[i : i + 3] for t in ("".join(rng.choice(letters) for _ in range(60)) for _ in range(30)) for i in range(58))
+    counted = llm.createDataFrame(list(counts.items()), "gram string, c long").cache()
+    contexts = {g[:2] for g in counts}
+    asked = llm.createDataFrame([(c + x,) for c in contexts for x in letters], "gram string")
+    table = kneser.probabilities(counted, asked, order=3, alphabet=len(letters)).collect()
+    sums = defaultdict(float)
+    for r in table:
+        sums[r["gram"][:2]] += 2 ** -r["bits"]
+    assert set(sums) == contexts and all(abs(p - 1) < 1e-6 for p in sums.values())
+
+
+def _cross_entropy(trusted, text, order=4):
+    """Interpolated modified Kneser-Ney from its definition, one character after the other."""
+    lead = chr(kneser.BEFORE) * (order - 1)
+    counts = {order: Counter((lead + t)[i : i + order] for t in trusted for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discounts(c):
+        n = [0] + [sum(v == k for v in c.values()) for k in range(1, 5)]
+        if not (n[1] and n[2]):
+            return [0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(k - (k + 1) * y * n[k + 1] / n[k], kneser.LEAST_DISCOUNT), float(k)) if n[k] else 0.5 * k for k in (1, 2, 3)]
+
+    off = {k: discounts(counts[k]) for k in counts}
+    after = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            after[k][g[:-1]].append(v)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / kneser.CODE_POINTS
+        seen = after[k].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        c = counts[k].get(g, 0)
+        less = off[k][min(c, 3) - 1] if c else 0
+        return (max(c - less, 0) + sum(off[k][min(v, 3) - 1] for v in seen) * p(g[1:])) / sum(seen)
+
+    return -sum(math.log2(p((lead + text)[i : i + order])) for i in range(len(text))) / len(text) if text else None
+
+
+def test_perplexity_against_the_definition(llm, monkeypatch):
+    monkeypatch.setattr(kneser, "BLOCK_CHARS", 700)
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("aaab cé日\n\0😀") for _ in range(rng.randint(0, 250)))
+    rows = [(i, text(), "xx") for i in range(40)] + [(40, None, None), (41, "", "xx"), (None, "aab", "xx"), (3, "other", None), (42, "aab " * 600, "xx")]
+    labels = [(i, 1, 0) for i in range(0, 30, 2)] + [(3, 1, None), (4, 0, 0), (6, 1, 1), (None, 1, 0)]
+    good = {i for i, *_ in labels if i is not None} - {4, 6}
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = kneser.quality_classifier(docs, llm.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    trusted = [t or "" for i, t, _ in rows if i in good]
+    want = Counter((i, lang or "und", len(t or ""), i in good) for i, t, lang in rows)
+    assert Counter((r["doc_id"], r["lang"], r["n_chars"], r["trusted"]) for r in got) == want
+    expected = {(i, len(t or "")): _cross_entropy(trusted, t or "") for i, t, _ in rows}
+    for r in got:
+        e = expected[r["doc_id"], r["n_chars"]]
+        assert (r["perplexity"] is None) if e is None else abs(math.log2(r["perplexity"]) - e) < 1e-5
+
+
+def test_texts_stay_in_their_buckets(llm):
+    """Nothing but what is said of a block is exchanged to meet it."""
+    docs = llm.createDataFrame([(i, i, "xx", "some text") for i in range(50)], "doc_id long, key long, lang string, text string")
+    found = kneser.blocks(docs, "kneser_test_plan")
+    flags = llm.createDataFrame([(0, 0)], "of long, at int")
+    plan = kneser.packed_grams(found, flags)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(of#" in plan and "Bucketed: true" in plan
+    llm.sql("DROP TABLE kneser_test_plan")
 
 
 def test_quality_classifier_tells_junk_from_trusted_text(llm, empty):
@@ -300,7 +364,9 @@ def test_scrambled_letters_of_any_script_score_worse(llm):
 def test_local_grams_are_those_of_each_text():
     for texts in (["abcab", "", "日本x", "a"], [], [""], ["".join(map(chr, range(32, 0xD000))), "ab"]):
         grams, places = kneser.local_grams(texts, 4)
-        padded = [kneser.BEFORE * 3 + t for t in texts]
+        padded = [chr(kneser.BEFORE) * 3 + t for t in texts]
+        grams = ["".join(map(chr, g)) for g in grams.tolist()]
+        assert grams == sorted(grams)
         assert [grams[i] for i in places] == [p[i : i + 4] for p, t in zip(padded, texts) for i in range(len(t))]
         assert len(grams) == len(set(grams))
 
