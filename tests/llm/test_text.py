@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,11 +290,12 @@ def test_perplexity_against_the_definition(llm, monkeypatch):
 def test_texts_stay_in_their_buckets(llm):
     """Nothing but what is said of a block is exchanged to meet it."""
     docs = llm.createDataFrame([(i, i, "xx", "some text") for i in range(50)], "doc_id long, key long, lang string, text string")
-    found = kneser.blocks(docs, "kneser_test_plan")
+    name = f"kneser_test_{uuid.uuid4().hex}"
+    found = kneser.blocks(docs, name)
     flags = llm.createDataFrame([(0, 0)], "of long, at int")
     plan = kneser.packed_grams(found, flags)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(of#" in plan and "Bucketed: true" in plan
-    llm.sql("DROP TABLE kneser_test_plan")
+    llm.sql(f"DROP TABLE {name}")
 
 
 def test_quality_classifier_tells_junk_from_trusted_text(llm, empty):
