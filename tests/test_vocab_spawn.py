@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from patchcraft.operators import diff as DF
 from patchcraft.operators import rename as R
 from patchcraft.operators import vocab as V
+from samples import shuffled_records
 
 
 def test_identifiers(spark):
@@ -72,3 +73,17 @@ def test_synthetic_edits_one_line(spark):
     for r in e:
         old, new = r["old"].split("\n"), r["new"].split("\n")
         assert len(new) - len(old) == {"delete": -1, "add": 1, "both": 0}[r["choice"]]
+
+
+def test_changed_lines_of_rows_with_one_key_and_without(spark):
+    rows = [("p", "a\nb\nc", "a\nx\nc"), ("p", "x\nq", "q"), (None, "a\nb", "a\nb"), ("o", None, "n"), ("e", "", "")]
+    got = sorted((r["pair_id"] or "", r["sign"], r["line"], r["n"])
+                 for r in DF.changed_lines(spark.createDataFrame(rows, "pair_id string, old string, new string")).collect())
+    assert got == [("", "+", "a", 1), ("", "+", "b", 1), ("", "-", "a", 1), ("", "-", "b", 1), ("o", "+", "n", 1), ("p", "-", "b", 1)]
+
+
+def test_shuffle_of_edits_does_not_grow_with_the_text(spark):
+    text = "\n".join(f"line {i}" for i in range(300))
+    edits = DF.synthetic_edits(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", variants=20)
+    edits = edits.withColumn("pair_id", F.concat_ws(":", "doc_id", "variant"))
+    assert 0 < shuffled_records(DF.changed_lines(edits)) <= 40
