@@ -2,10 +2,14 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from patchcraft.operators import diff as DF
 from patchcraft.operators import rename as R
 from patchcraft.operators import tokens as TK
 from patchcraft.operators import vocab as V
+from patchcraft.sources import tables as TB
+from samples import SF_SMALL
 
 
 def _plan(df) -> str:
@@ -50,3 +54,25 @@ def test_single_split_table_is_spread_over_cores(spark):
     df = TB.read_table(spark, SF_SMALL, "documents")
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert df.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+
+
+def test_texts_of_one_row_group_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * 200) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    size = TB._size(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    monkeypatch.setattr(TB, "SPREAD_BELOW", 1)
+    for parts in (20, 40):  # as many parts as the size asks for, though one row group holds all rows
+        monkeypatch.setattr(TB, "TEXT_PART", -(-size // parts))
+        df = TB.read_texts(spark, str(tmp_path))
+        n = df.rdd.getNumPartitions()
+        assert n >= parts * 0.9
+        most = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+        assert most < 400 * 4 / parts + 10
+        assert sorted(map(tuple, df.collect())) == rows
+    monkeypatch.setattr(TB, "TEXT_PART", size)  # small enough parts are left where they are
+    assert TB.read_texts(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+
+
+def test_larger_side_is_not_dealt_to_the_partitions_of_the_smaller(spark):
+    labels = TB.read_table(spark, SF_SMALL, "labels", spread=False)
+    assert "RepartitionByExpression" not in labels._jdf.queryExecution().optimizedPlan().toString()
