@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from patchcraft.operators import collect as CO
 from patchcraft.operators import diff as DF
 from patchcraft.operators import rename as R
 from patchcraft.operators import tokens as TK
@@ -76,3 +77,13 @@ def test_texts_of_one_row_group_are_dealt_by_size(spark, tmp_path, monkeypatch):
 def test_larger_side_is_not_dealt_to_the_partitions_of_the_smaller(spark):
     labels = TB.read_table(spark, SF_SMALL, "labels", spread=False)
     assert "RepartitionByExpression" not in labels._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changes_are_exchanged_before_they_are_gathered(spark):
+    rows = [("r", "1", 2, "B.java", "B.java", b"@@\n+b\n"), ("r", "1", 1, "A.java", "A.java", b"@@\n+a"), ("r", "2", 1, "A.java", "A.java", b""),
+            ("r", "3", 1, "a.md", "a.md", b"x"), ("r", "4", 1, "A.java", "A.java", None), (None, "5", 1, "A.java", "A.java", b"@@\n"), ("r", "6", 1, "a.md", "a.md", None)]
+    df = CO.assemble_commit_patch(spark.createDataFrame(rows, "repo string, commit_id string, ord int, a_path string, b_path string, patch binary"))
+    plan = _plan(df)
+    assert len(_exchanges(df)) == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")  # plans are printed from the top
+    assert sorted((r["commit_id"], r["text"], r["n_java"]) for r in df.collect()) == [
+        ("1", "@@\n+a\n@@\n+b\n", 2), ("3", "", 0), ("5", "@@\n", 1), ("6", "", 0)]
