@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from patchcraft.functions import text as T
 from patchcraft.operators import dataset as D
 from patchcraft.operators import tokens as TK
+from samples import shuffled_records
 
 
 def _one(spark, expr, value):
@@ -92,3 +93,20 @@ def test_top_k_and_token_ids(spark):
     assert ids["p1"] == ([2, 3, 2, 0], 0)
     assert ids["p2"] == ([1, 2, 0, 0], 1)
     assert ids["p3"] == ([0, 0, 0, 0], 0)
+
+
+def test_token_ids_exchange_no_tokens(spark):
+    rows = [("p", ["a", "b", None] * 100), ("q", ["x"]), ("q", []), ("q", ["b", "x", "a"]), (None, ["a"]), (None, ["b"]), ("e", []), ("n", None)]
+    df = spark.createDataFrame(rows, "path string, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "token string, rank long")
+    lookup = vocab.select(F.col("token").alias("_tok"), (F.col("rank") + 1).cast("int").alias("_id"))
+    told = lambda out: sorted((r["path"] or "", r["ids"], r["n_unknown"]) for r in out.collect())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_records(TK.token_ids(df, vocab)) <= 2 * len(rows)
+        got = told(TK.token_ids(df, vocab))
+        assert got == told(TK._joined_ids(df, lookup, None, "path", "tokens"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got[1:] == [("e", [], 0), ("p", [2, 3, 1] * 100, 100), ("q", [], 0), ("q", [1, 3, 1, 2], 2)] and sorted(got[0][1]) == [2, 3]
