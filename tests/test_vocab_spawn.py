@@ -87,3 +87,18 @@ def test_shuffle_of_edits_does_not_grow_with_the_text(spark):
     edits = DF.synthetic_edits(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", variants=20)
     edits = edits.withColumn("pair_id", F.concat_ws(":", "doc_id", "variant"))
     assert 0 < shuffled_records(DF.changed_lines(edits)) <= 40
+
+
+def test_sampling_mines_the_vocabulary_once(spark):
+    mined = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(word):
+        mined.add(1)
+        return word
+
+    words = spark.createDataFrame([(w,) for w in "abcdef"], "word string").select(counted.asNondeterministic()("word").alias("word"))
+    t = spark.createDataFrame([("t", "b", "C", ["b", "c"]), ("t", "b", "C", ["d"])], "template_id string, old string, new string, words array<string>")
+    pairs = V.sample_pairs(words.unionByName(spark.createDataFrame([("Up",)], "word string")), t, 20).collect()
+    assert mined.value == 6
+    assert len(pairs) == 40 and {p["pair_old"] for p in pairs} <= set("aef") and {p["pair_new"] for p in pairs} == {"Up"}
