@@ -87,3 +87,16 @@ def test_changes_are_exchanged_before_they_are_gathered(spark):
     assert len(_exchanges(df)) == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")  # plans are printed from the top
     assert sorted((r["commit_id"], r["text"], r["n_java"]) for r in df.collect()) == [
         ("1", "@@\n+a\n@@\n+b\n", 2), ("3", "", 0), ("5", "@@\n", 1), ("6", "", 0)]
+
+
+def test_lines_of_patches_are_not_split_into_words(spark):
+    text = "ab = abc;\n\nif ab2 ab_c ab\nx.abc+ab y"
+    docs = spark.createDataFrame([(i, "s", text) for i in range(8)] + [(8, "s", "1 2"), (11, "s", None), (-1, "s", "ab")], "doc_id long, source string, text string")
+    made = TB.patches_from_documents(docs)
+    assert "[^\\p{L}\\p{N}_])" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["patch_id"]: [l[1:] for l in r["text"].split("\n") if l[:1] == "+"] for r in made.where("text is not null").collect()}
+    one = ["ab_1 = abc;", "if ab2 ab_c ab_1", "x.abc+ab_1 y"]
+    assert got == {
+        "0": one, "1": ["ab_1 = abc_1;", "if ab2 ab_c ab_1", "x.abc_1+ab_1 y"], "2": ["ab_1 = abc_1;", "if_1 ab2 ab_c ab_1", "x.abc_1+ab_1 y"],
+        "3": ["ab_1 = abc;", "if ab2 ab_c ab_2", "x.abc+ab_1 y"], "4": [l + " " for l in one], "5": one + ["package a.c;"], "6": text.replace("\n\n", "\n").split("\n"), "7": one, "8": ["1 2"], "-1": ["ab"],
+    }
