@@ -89,6 +89,27 @@ def test_changes_are_exchanged_before_they_are_gathered(spark):
         ("1", "@@\n+a\n@@\n+b\n", 2), ("3", "", 0), ("5", "@@\n", 1), ("6", "", 0)]
 
 
+def test_patches_of_line_items_are_made_once(spark):
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    item = lambda key, q, part=1, supp=2, status="F", flag="N": (key, part, supp, 3, q, 0.1, 0.1, flag, status)
+    rows = [item(1, 4.0), item(1, 4.0), item(2, 10.0, status="O"), item(3, 5.0), item(4, 30.0, flag="A"), item(5, 3.0), item(6, 14.0), item(7, 8.0), item(8, None, status=None),
+            item(9, 8.0, supp=None), item(10, 8.0, part=None), item(11, 8.0, flag=None), item(None, 8.0)]
+    made = TB.changes_from_lineitem(spark.createDataFrame(rows, schema))
+    plan = CO.assemble_commit_patch(made)._jdf.queryExecution().optimizedPlan().toString()
+    # Once a row in a generator: every rule that names the patch would make it again, in one method too large for the JVM to compile.
+    assert plan.count("int z;") == 1 and plan.count("int f") == 2 and "array_sort" not in plan
+    ids = {r["id"]: r["key"] for r in spark.createDataFrame([(k,) for k in range(1, 12)], "key long").selectExpr("key", "md5(cast(key as string)) id").collect()}
+    got = sorted(((ids.get(r["commit_id"], 0), r["repo"] or "", bytes(r["patch"])) for r in made.collect()))
+    h, mark, old, new = b"@@ -1 +1 @@\n", b"\\ No newline at end of file\n", b"int v1 = 2;\n", b"int v1 = 3;\n"
+    plain, after = h + b"-" + old + b"+" + new, h + b"-" + new + b"+" + new + h + b"-int z;\n+" + old + mark
+    assert got == sorted([
+        (1, "repo-1", plain), (1, "repo-1", plain), (2, "repo-2", (h + b"-" + old + mark + b"+" + old).replace(b"\n", b"\r\n")),
+        (3, "repo-3", h + b"-" + new + b"-" + old + mark + b"+int y;\n+" + old), (4, "repo-4", after), (5, "repo-0", b""), (6, "repo-1", plain + b"\xff"),
+        (7, "repo-2", plain), (7, "repo-fork", plain.replace(b"int v", b"int f")), (8, "repo-3", after), (9, "repo-4", h + b"+" + new), (10, "repo-0", h),
+        (11, "repo-1", plain), (0, "", plain),
+    ])
+
+
 def test_lines_of_patches_are_not_split_into_words(spark):
     text = "ab = abc;\n\nif ab2 ab_c ab\nx.abc+ab y"
     docs = spark.createDataFrame([(i, "s", text) for i in range(8)] + [(8, "s", "1 2"), (11, "s", None), (-1, "s", "ab")], "doc_id long, source string, text string")
