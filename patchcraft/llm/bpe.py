@@ -16,9 +16,10 @@ import json
 import mmap
 import os
 import re
+import sys
 import tempfile
 import uuid
-from bisect import bisect_left
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import type_of, written
-from .words import BLANK, CACHE, DIGIT, LETTER, UNPLAIN, Cache, byte_signs
+from .words import BLANK, CACHE, DIGIT, LETTER, UNPLAIN, UNPLAIN_SIGN, Cache, byte_signs, is_plain
 
 #: Words in the transducer, at most; what is collected for it is bounded by this.
 LEXICON = 1 << 15
@@ -38,12 +39,21 @@ _any = regex.compile(SPLIT)
 #: The same rule over plain characters (words.UNPLAIN), and a blank that it does not let end a part.
 _plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{BLANK}{LETTER}{DIGIT}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 _UNEVEN = re.compile(f"[{BLANK}](?: |\\Z)")
+_ONE_BLANK = bytes.maketrans(b"\t\x0b\f\r", b"\n\n\n\n")
+#: Stands before a part that has no blank before it; no plain character.
+_HEAD = "\x01"
 
 
 def pre_tokens(text: str) -> list[str]:
     return (_any if UNPLAIN.search(text) else _plain).findall(text)
 
 
+def _is_even(raw: bytes) -> bool:
+    """Nothing of _UNEVEN is in the text."""
+    flat = raw.translate(_ONE_BLANK)
+    return b"  " not in flat and b"\n " not in flat and not flat.endswith((b" ", b"\n"))
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level tokenizer file."""
 
@@ -168,44 +178,52 @@ class Transducer:
             parts.append(view[at : at + 4 * n].cast("i"))
             at += 4 * n
         self.first, self.targets, self.skips, self.finals, self.ends, self.ids = parts
-        self.labels = view[at : at + sizes[6]]
+        self.labels = bytes(view[at : at + sizes[6]])
         self.root = len(self.finals) - 1
 
     def get(self, word: bytes) -> list[int] | None:
         """The word's ids, None if it is not in the lexicon."""
-        state, place, first, labels = self.root, 0, self.first, self.labels
+        state, place, first, targets, skips, edge = self.root, 0, self.first, self.targets, self.skips, self.labels.find
         for c in word:
-            end = first[state + 1]
-            e = bisect_left(labels, c, first[state], end)
-            if e == end or labels[e] != c:
+            e = edge(c, first[state], first[state + 1])
+            if e < 0:
                 return None
-            place += self.skips[e]
-            state = self.targets[e]
+            place += skips[e]
+            state = targets[e]
         if not self.finals[state]:
             return None
         return self.ids[self.ends[place] : self.ends[place + 1]].tolist()
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids and decodes them."""
 
     def __init__(self, tokenizer: str, lexicon: str | None = None):
         self.vocabulary = Vocabulary(tokenizer)
         self.lexicon = Transducer(lexicon) if lexicon else None
-        self.parts, self.words = Cache(self._part, CACHE * 4 // 3), Cache(self._word, CACHE // 2)  # words are asked for what parts do not know
+        self.parts, self.words = Cache(self._part, CACHE * 2 // 3), Cache(self._word, CACHE * 7 // 6)  # a word costs more to make than a part of known words
         text = self.vocabulary.text
-        self.text = [text.get(i, b"") for i in range(max(text) + 1)]
+        self.text = pa.array([text.get(i, b"") for i in range(max(text) + 1)], pa.large_binary())
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.lexicon.get(raw) if self.lexicon else None
-        return np.array(self.vocabulary.merge(raw) if ids is None else ids, "<u4").tobytes()
+        return _packed(self.vocabulary.merge(raw) if ids is None else ids)
 
     def _part(self, part: str) -> bytes:
         return b"".join(map(self.words.get, _plain.findall(" " + part)))
 
     def _ordinary(self, text: str) -> bytes:
-        if UNPLAIN.search(text) or _UNEVEN.search(text):
+        raw = text.encode("utf-8", "surrogatepass")
+        if not (is_plain(text, raw) and _is_even(raw)):
             return b"".join(map(self.words.get, pre_tokens(text)))
         # Every blank starts a part of its own, so the parts' ids follow each other.
         head, *parts = text.split(" ")
@@ -220,7 +238,11 @@ class Encoder:
         return b"".join(np.array([special[p]], "<u4").tobytes() if p in special else self._ordinary(p) for p in split.split(text) if p)
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        taken = self.text.take(pa.array(np.frombuffer(ids, "<u4")))  # the values lie one behind the other
+        if not len(taken):
+            return ""
+        _, ends, values = taken.buffers()
+        return str(memoryview(values or b"")[: np.frombuffer(ends, "<i8")[len(taken)]], "utf-8", "replace")
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -243,16 +265,16 @@ def count_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     as a whole.
     """
     text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = F.col("text").rlike(UNPLAIN.pattern) | F.col("text").rlike(_UNEVEN.pattern.replace("\\Z", "\\z"))
-    parts = F.transform(F.split("text", " ", -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(" "), p)))
-    part = F.explode(F.when(whole, F.array("text")).otherwise(parts)).alias("part")
+    whole = F.contains("text", F.lit("<|")) | F.col("text").rlike(UNPLAIN_SIGN) | F.col("text").rlike(_UNEVEN.pattern.replace("\\Z", "\\z"))
+    headed = F.concat(F.lit(_HEAD), "text")
+    part = F.explode(F.when(whole, F.array(headed)).otherwise(F.split(headed, " ", -1))).alias("part")
     counted = text.select(part).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches):
         for b in batches:
             counts: dict[str, int] = {}
             for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in pre_tokens(t):
+                for w in pre_tokens(t[1:] if t[:1] == _HEAD else " " + t):
                     counts[w] = counts.get(w, 0) + n
             words = [w.encode("utf-8", "surrogatepass") for w in counts]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])

@@ -17,11 +17,20 @@ LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANK = " \t-\r"
 #: Characters outside printable ASCII, the blanks above and Latin letters and signs; also the capital that lower-cases to two.
-UNPLAIN = re.compile("[^ -~\t-\r\xa1-įı-ɏ]|<\\|")
+UNPLAIN_SIGN = "[^ -~\t-\r\xa1-įı-ɏ]"
+UNPLAIN = re.compile(UNPLAIN_SIGN + "|<\\|")
+#: Of the plain characters, those of one byte.
+_PLAIN_BYTES = bytes([*range(0x20, 0x7F), *range(0x09, 0x0E)])
 #: Entries of a generation of a cache.
 CACHE = 300_000
 
 
+def is_plain(text: str, raw: bytes) -> bool:
+    """Nothing of UNPLAIN is in ``text``, whose UTF-8 is ``raw``: only what bytes leave is searched."""
+    left = raw.translate(None, _PLAIN_BYTES)
+    return "<|" not in text and not (left and UNPLAIN.search(left.decode("utf-8", "surrogatepass")))
+
+
 def byte_signs() -> dict[int, str]:
     """The printable sign of each byte in byte-level vocabularies: itself if printable Latin-1, else from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from patchcraft.llm import bpe, kneser, langid, lines, packing, quality, token_counts
-from patchcraft.llm.words import WordEncoder
+from patchcraft.llm.words import UNPLAIN, WordEncoder, is_plain
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
@@ -134,6 +134,19 @@ def test_transducer_shares_suffixes():
     assert states < 20  # a tree would have over 30
 
 
+def test_pre_tokens_are_counted_as_whole_texts_are_split(spark):
+    texts = [*ODD, *fuzz(300), *fuzz(100, " \n\ta'"), "\x01a b", "\x01", "a \x01b", "a <|b", "a  b", "a\n b", "a b ", "a b\n", "a \n\tb c", None]
+    counted = bpe.count_pre_tokens(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = Counter(w.encode() for t in texts for w in bpe.pre_tokens(t or ""))
+    assert {bytes(r["word"]): r["n"] for r in counted.collect()} == want
+    assert "lambda" not in counted._jdf.queryExecution().optimizedPlan().toString()  # a function called for each part
+    for t in filter(None, texts):
+        raw = t.encode()
+        assert is_plain(t, raw) == (not UNPLAIN.search(t)) and bpe._is_even(raw) == (not bpe._UNEVEN.search(t)), t
+    coder = bpe.Encoder(BYTES)
+    assert coder.decode(b"") == "" and coder.decode(coder.encode("é")[:4]) == bpe.Vocabulary(BYTES).text[int.from_bytes(coder.encode("é")[:4], "little")].decode("utf-8", "replace")
+
+
 def test_encode_documents(docs, corpus, empty):
     library = Tokenizer.from_file(BYTES)
     ids = {r[0]: library.encode(r[1] or "", add_special_tokens=False).ids for r in corpus}
