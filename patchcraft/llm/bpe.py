@@ -20,6 +20,7 @@ import sys
 import tempfile
 import uuid
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,20 +80,20 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: the pair of least rank is merged, leftmost first, until none has a rank."""
-        ids = [self.byte[b] for b in word]
+        ids = [*map(self.byte.__getitem__, word)]
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank, made = self.rank, self.made
+        rank, made = self.rank.get, self.made
         last = len(self.made)  # no rank
-        order = [rank.get(p, last) for p in zip(ids, ids[1:])]
+        order = [*map(rank, zip(ids, ids[1:]), repeat(last))]
         while order and (best := min(order)) < last:
             i = order.index(best)
-            ids[i : i + 2] = [made[best]]
-            del order[i]
+            ids[i] = new = made[best]
+            del ids[i + 1], order[i]
             if i:
-                order[i - 1] = rank.get((ids[i - 1], ids[i]), last)
+                order[i - 1] = rank((ids[i - 1], new), last)
             if i < len(order):
-                order[i] = rank.get((ids[i], ids[i + 1]), last)
+                order[i] = rank((new, ids[i + 1]), last)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
