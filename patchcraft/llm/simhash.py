@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, type_of, written
+from .common import exchanged, id_and_bytes, type_of, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -96,7 +96,7 @@ def links(fps: DataFrame, pair_cell: int = PAIR_CELL) -> DataFrame:
     """Edges ``(a, b)`` over distinct fingerprints ``fps(fp)`` whose components are those of all pairs within 2 bits."""
     rows = fps.select("fp", segment_popcounts(F.col("fp")).alias("v")).select("fp", F.explode(_near_cells(F.col("v"))).alias("cell"))
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = written(rows.join(sizes, "cell"), "cells")
+    shared = written(rows.join(exchanged(sizes), "cell"), "cells")
 
     # At most ``pair_cell`` members come together here.
     small = shared.where(F.col("members") <= pair_cell).groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
@@ -108,7 +108,7 @@ def links(fps: DataFrame, pair_cell: int = PAIR_CELL) -> DataFrame:
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     points = full.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = points.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
+    stars = points.join(exchanged(least), "point").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -125,10 +125,10 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col, text_col, k), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(firsts.select("fp"), pair_cell))
-    classes = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = firsts.join(exchanged(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    named = classes.join(exchanged(ids), "root").select("fp", "component_id")
+    return prints.join(exchanged(named), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

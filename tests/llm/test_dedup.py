@@ -175,3 +175,17 @@ def test_components_of_a_long_chain(llm):
     rows = [(i + 1, i) for i in range(400)] + [(1000, 1001), (1001, 1002), (5000, 5000)]
     found = components.connected_components(llm.createDataFrame(rows, "a long, b long")).collect()
     assert {(r["node"], r["root"]) for r in found} == {(i, 0) for i in range(401)} | {(i, 1000) for i in (1000, 1001, 1002)}
+
+
+def test_no_table_of_near_dedup_is_broadcast(llm, docs, monkeypatch):
+    plans = []
+
+    def kept(df, name, write=simhash.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", kept)
+    monkeypatch.setattr(components, "written", kept)
+    plans.append(simhash.simhash_near_dedup(docs)._jdf.queryExecution().executedPlan().toString())
+    joins = sum(p.count("SortMergeJoin") for p in plans)
+    assert joins >= 6 and not any("Broadcast" in p for p in plans)  # small as these are, Spark would broadcast each
