@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchcraft.llm import exact, kneser, packing, simhash, suffix
-from patchcraft.llm.common import read_docs, ship, written
+from patchcraft.llm.common import exchanged, read_docs, ship, written
 from patchcraft.llm.queries import WORD_BPE
 
 
@@ -28,7 +28,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _only(keyed: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows that ``decided`` keeps; its ``doc_id`` is their KEY."""
     kept = decided.where("kept").select(F.col("doc_id").alias(KEY))
-    return keyed.join(kept, KEY, "left_semi").drop(KEY)
+    return keyed.join(exchanged(kept), KEY, "left_semi").drop(KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import shared_path
-from .common import type_of, written
+from .common import exchanged, type_of, written
 
 ORDER = 4
 #: Stands before a text's first character; a noncharacter.
@@ -91,12 +91,12 @@ def probabilities(counted: DataFrame, asked: DataFrame, order: int = ORDER, alph
         off = F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
         context = F.substring("gram", 1, k - 1).alias("context")
         contexts = counts[k].groupBy(context).agg(F.sum("c").alias("total"), F.sum(off).alias("spare"))
-        rows = wanted[k].select("gram", context).join(counts[k].withColumn("off", off), "gram", "left").join(contexts, "context", "left")
+        rows = wanted[k].select("gram", context).join(exchanged(counts[k].withColumn("off", off)), "gram", "left").join(exchanged(contexts), "context", "left")
         rows = rows.withColumn("suffix", suffix(k - 1))
         if below is None:
             rows = rows.withColumn("lower", F.lit(1.0 / alphabet))
         else:
-            rows = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            rows = rows.join(exchanged(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))), "suffix")
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(
             (F.greatest(F.coalesce("c", F.lit(0)) - F.coalesce("off", F.lit(0.0)), F.lit(0.0)) + F.col("spare") * F.col("lower")) / F.col("total")
         )
@@ -391,7 +391,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     name = f"kneser_blocks_{uuid.uuid4().hex}"
     found = blocks(rows, name)
     members = found.where("body is null and doc_id is not null").select("doc_id", F.col("block").alias("of"), F.col("place").alias("at"))
-    flags = written(members.join(named, "doc_id", "left_semi").select("of", "at"), "trusted")
+    flags = written(members.join(exchanged(named), "doc_id", "left_semi").select("of", "at"), "trusted")
     packed = written(packed_grams(found, flags, order), "packed_grams")
     counted = written(counted_grams(packed, order), "grams")
     table = probabilities(counted.where("c > 0"), counted, order)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import exchanged, written
 
 WINDOW, GRAM = 200, 32
 #: Occurrences of a gram up to which its suffixes are compared in one task.
@@ -369,7 +369,7 @@ def heavy_stretches(found: DataFrame) -> DataFrame:
                 out += [(key, start + a, length) for a, length in _ranges(flags)]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["key", "start", "n"])
 
-    rows = suffixes.join(single, ["key", "start"], "left")
+    rows = suffixes.join(exchanged(single), ["key", "start"], "left")
     return rows.select("key", "start", "n", "single").mapInArrow(run, "key long, start int, n int")
 
 
@@ -379,8 +379,8 @@ def repeated_windows(rows: DataFrame, light: int = LIGHT, merge_size: int = MERG
     total = grams.agg(F.sum("uses")).first()[0] or 0
     parts = max(1, -(-total // merge_size))
     mark = (F.col("lo").cast("long") * 2 + (F.col("uses") > light).cast("long")).alias("mark")
-    marks = anchors(rows).join(grams, "gram").select("key", mark).groupBy("key").agg(F.collect_set("mark").alias("marks"))
-    runs = sorted_runs(rows.join(marks, "key").select("key", "body", "marks"), parts)
+    marks = anchors(rows).join(exchanged(grams), "gram").select("key", mark).groupBy("key").agg(F.collect_set("mark").alias("marks"))
+    runs = sorted_runs(rows.join(exchanged(marks), "key").select("key", "body", "marks"), parts)
     found = written(merge(runs), "merged")
     return found.where(F.col("kind") == REPEATED).select("key", "start", "n").union(heavy_stretches(found))
 
@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(key, body.alias("body")).where(F.octet_length("body") >= WINDOW)
     stretches = repeated_windows(rows, light, merge_size).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
     whole = docs.select(key, F.col(id_col).alias("doc_id"), F.struct(*carry, F.lit(0).alias("_")).alias("row"), body.alias("body"))
-    joined = whole.join(stretches, "key", "left").drop("key")
+    joined = whole.join(exchanged(stretches), "key", "left").drop("key")
     types = {f.name: f.dataType.simpleString() for f in joined.schema}
 
     def run(batches):

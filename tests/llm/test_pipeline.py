@@ -80,3 +80,22 @@ def test_quality_judges_rows_without_an_id(llm, tmp_path):
     llm.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     left = C.quality(llm, llm.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
     assert left.where("doc_id is null").count() == 0 and left.count() >= 96
+
+
+def test_no_stage_broadcasts_a_table_that_grows(llm, docs, monkeypatch):
+    import corpus_pipeline as C
+    from patchcraft.llm import components, exact, kneser, simhash, suffix
+
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    write = C.written
+    for module in (C, components, exact, kneser, simhash, suffix):
+        monkeypatch.setattr(module, "written", lambda df, name: (seen(df), write(df, name))[1])
+    sf = "/root/testdata/sf0.001"
+    quality = C.quality(llm, docs, sf)
+    for name, stage in C.STAGES[1:4]:
+        seen(stage(llm, docs, sf))
+    assert not any("Broadcast" in p for p in plans) and sum(p.count("SortMergeJoin") for p in plans) > 25
+    # Of the first stage only the thresholds, a few rows of known size, go to all tasks.
+    last = quality._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in last and "BroadcastHashJoin [pipeline_row_key" not in last
